@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,8 +30,6 @@ def t_statistics(trees: DataFrame) -> DataFrame:
 
 def by_t_test(trees: DataFrame, level: float = 0.05) -> DataFrame:
     """t_statistics with p (one-sided) and selected; a feature that is the same in all trees is kept if above the mean."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def tail(t: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([math.nan if v != v else t_sf(v, n) for v, n in zip(t, df, strict=True)])
