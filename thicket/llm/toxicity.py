@@ -5,7 +5,7 @@ compounded, and such terms still meet. Labels pick the terms: of those in the la
 chi-square (at least LEAST_CHI2). Document frequencies of the terms are counted over all documents.
 
 Examples go to an inverted index in blocks of BLOCK examples; each term keeps its largest weight in every block. For a
-document, the sums of those bounds order the blocks, and blocks are scored exactly until no bound can reach the NEAREST-th
+document, the sums of those bounds order the blocks, and blocks are scored exactly, a few at a time, until no bound can reach the NEAREST-th
 best cosine, so the neighbours found are the exact ones (ties: all examples as near as the last are taken). Votes weigh by
 1 / (1 - cosine + 0.05), and by how many labelled rows an example stands for, with PRIOR votes of the base rate. A document without any
 term is as near to every example without one as to any: it gets the base rate among those.
@@ -115,6 +115,15 @@ class Index:
         self.base = (sum(self.votes[self.toxic == 1]) + self.rest[1]) / max(1e-9, sum(self.votes) + sum(self.rest))
         self.none = (self.rest[1] + PRIOR * self.base) / (sum(self.rest) + PRIOR) if examples else 0.0
         self.seen: dict = {}
+        self.laid = None
+
+    def postings(self) -> np.ndarray:
+        """The postings of each term (rows), block after block: laid out once in each worker, TERMS x 2 * PER_LABEL."""
+        if self.laid is None:
+            self.laid = np.zeros((len(self.idf), max(1, self.blocks) * self.block))
+            term = np.repeat(np.arange(len(self.idf)), np.diff(self.starts[:: max(1, self.blocks)]))
+            self.laid[term, self.rows] = self.values
+        return self.laid
 
     def unit(self, terms, times) -> np.ndarray:
         w = (1 + np.log(np.asarray(times, float))) * self.idf[np.asarray(terms)]
@@ -124,20 +133,19 @@ class Index:
         """Examples with a cosine above 0 and not below the k-th best, and their cosines, best first."""
         terms, q = np.asarray(terms), self.unit(terms, times)
         bound = q @ self.most[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        floor = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] < floor - 1e-9:
-                break
-            score = np.zeros(self.block)
-            for t, w in zip((terms * self.blocks + b).tolist(), q.tolist(), strict=True):
-                s = slice(self.starts[t], self.starts[t + 1])
-                score[self.rows[s] - b * self.block] += w * self.values[s]
-            own = np.flatnonzero(score > 0)
-            found, cosine = np.append(found, own + b * self.block), np.append(cosine, score[own])
+        floor, at, step = 0.0, 0, 4
+        while at < len(order) and bound[order[at]] >= floor - 1e-9:
+            own = (order[at : at + step, None] * self.block + np.arange(self.block)).ravel()
+            score = q @ self.postings()[np.ix_(terms, own)]
+            good = (score > 0) & (score >= floor - 1e-9)
+            found, cosine = np.append(found, own[good]), np.append(cosine, score[good])
             if len(cosine) >= k:
                 floor = np.partition(cosine, -k)[-k]
                 found, cosine = found[cosine >= floor - 1e-9], cosine[cosine >= floor - 1e-9]
+            at, step = at + step, step * 2
         order = np.lexsort((found, -np.round(cosine, 9)))
         return found[order], cosine[order]
 
