@@ -1,13 +1,11 @@
 """The stages in a row on the smallest tables, each held against its own input."""
 
-import sys
 from collections import Counter
 
 import corpus_pipeline
 from thicket.llm import best_fit_packing, minhash_dedup
 
-sys.path.insert(0, "tests/llm")
-from test_operators import AZ, brute_components  # noqa: E402
+from tests.llm.test_operators import AZ, brute_components
 
 
 def test_stages(spark, sf):

@@ -48,8 +48,9 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: in
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), first_finish (its virtual
-    finish time in the first pass; the n-th pass adds n times source_size / target). The document at which a source
+    """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted), start (words of its source
+    before it) and first_finish (its virtual finish time in the first pass; the n-th pass adds n times source_size / target).
+    The document at which a source
     reaches its target is cut there, so a source's taken words are its target rounded down."""
     sized = cut(
         docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).select(
@@ -68,18 +69,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     taken = sum(F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - start - k * F.col("source_size"))) for k in range(repeats))
     return own.join(o, F.col("s.source").eqNullSafe(F.col("o.source")) & (F.col("s.bucket") == F.col("o.bucket"))).select(
         "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"),
-        F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).alias("first_finish"), "draw",
+        start.alias("start"), F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target")).alias("first_finish"),
     )
 
 
 def schedule(docs: DataFrame, **options) -> DataFrame:
     """doc_id, pass, finish, words: what the mix takes in the global order of virtual finish times (a range sort)."""
-    m = mix(docs, **options)
-    repeats = options.get("repeats", REPEATS)
-    left = F.greatest(F.lit(0), F.least(F.col("size"), F.floor(F.col("target")) - F.round((F.col("first_finish")) * F.col("target")) + F.col("size") - F.col("pass") * F.col("source_size")))
+    passes = F.explode(F.array(*[F.lit(k) for k in range(options.get("repeats", REPEATS))]))
+    words = F.least(F.col("size"), F.floor("target") - F.col("start") - F.col("pass") * F.col("source_size"))
     return (
-        m.withColumn("pass", F.explode(F.array(*[F.lit(k) for k in range(repeats)])))
-        .withColumn("words", left.cast("long"))
+        mix(docs, **options)
+        .withColumn("pass", passes)
+        .withColumn("words", words.cast("long"))
         .where("words > 0")
         .select("doc_id", "pass", (F.col("first_finish") + F.col("pass") * F.col("source_size") / F.col("target")).alias("finish"), "words")
         .orderBy("finish", "doc_id", "pass")
