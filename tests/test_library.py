@@ -446,3 +446,43 @@ def test_pipeline(spark):
     assert fit.get_data("selected").count() > 0 and fit.tidy_clusters().count() == 180
     assert fit.summary()["samples"] == 60 and len(shared) == 60
     assert {r["block"] for r in fit.shared_fraction.collect()} == {"gene", "methyl"}
+
+
+def test_merging_joins_siblings_that_agree_less(spark, grown):
+    from thicket.operators import merging
+
+    e = leaves.embeddings_of(grown)
+    m = merging.merged_membership(grown, e, q=0.0, least=1)
+    before = {(r["tree"], r["sample_idx"]): r["leaf"] for r in grown.membership.collect()}
+    after = {(r["tree"], r["sample_idx"]): r["leaf"] for r in m.collect()}
+    assert set(before) == set(after)
+    for t in {k[0] for k in before}:
+        pairs = {(before[k], after[k]) for k in before if k[0] == t}
+        assert len({b for b, _ in pairs}) == len(pairs)  # whole leaves go together
+    alike = merging.merge_tree([1, -1, -1], [2, -1, -1], np.array([1, 1, 2, 2]), {1: 1, 2: 2}, [np.array([[1.0, 2], [1, 2], [5, 1], [5, 1]])], least=1)
+    assert alike.tolist() == [2, 2, 2, 2]
+
+
+def test_subsampled_connections(spark):
+    from thicket.plans import reconstruct
+
+    assert reconstruct.plan_of(10, 10) == (True, 1.0, 1.0) and reconstruct.plan_of(600, 10) == (False, 0.2, 1.0)
+    r = np.random.default_rng(7)
+    x, y = r.normal(size=(40, 30)), r.normal(size=(40, 24))
+    parts = reconstruct.fit_connections_subsampled(spark, {"X": (x, None), "Y": (y, None)}, [("Y", "X")], forest.Control(), n_sub=3, trees=3, small=10, least_y=6, least_x=8)[0]
+    assert len(parts) == 3 and all(len(p["x_columns"]) == 8 and len(p["y_columns"]) == 6 for p in parts)
+    imd = {q["var"]: q["imd"] for q in reconstruct.ensemble_importance(parts).collect()}
+    assert set(imd) == {int(c) for p in parts for c in p["x_columns"]} and max(imd.values()) <= 1
+    w = forest.average([leaves.forest_weights(p["forest"].membership) for p in parts], ["i", "j"], "w")
+    assert all(abs(s - 1) < 1e-9 for _, s in w.groupBy("i").agg(F.sum("w")).collect())
+
+
+def test_reconstruct_and_cluster(spark):
+    from thicket.plans import reconstruct
+
+    s, label = blocks_similarity([6, 6])
+    w = coo(spark, s / s.sum(1, keepdims=True), model="A_B").unionByName(coo(spark, s / s.sum(1, keepdims=True), model="B_A"))
+    scores = spark.createDataFrame([("A_B", "A", 1.0), ("B_A", "B", 1.0)], "model string, response string, score double")
+    for method in ("spectral", "pam", "alternating"):
+        got = reconstruct.reconstruct_and_cluster(w, scores, 12, 2, method, None, data=np.eye(12))
+        assert same_partition(got["labels"], label)

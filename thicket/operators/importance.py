@@ -21,6 +21,16 @@ def forest_mean(trees: DataFrame, n_trees: int, variables: DataFrame, by=()) ->
     return variables.join(sums, [*by, "var"], "left").fillna(0.0, ["imd"])
 
 
+def used_mean(trees: DataFrame, by=()) -> DataFrame:
+    """var, imd: the mean over the trees that use the variable."""
+    return trees.groupBy(*by, "var").agg(F.avg("imd").alias("imd"))
+
+
+def usage(trees: DataFrame, n_trees: int, by=()) -> DataFrame:
+    """var, share: the share of trees that use the variable."""
+    return trees.groupBy(*by, "var").agg((F.count("*") / n_trees).alias("share"))
+
+
 def require_features(imd: DataFrame, features: DataFrame) -> None:
     """Each model's features must be the block's, none more, none less."""
     models = imd.select("model", "block").distinct().join(features, "block")

@@ -83,5 +83,11 @@ def network(w: DataFrame, at: float | None = None, q: float = 0.75) -> DataFrame
     return pairs.withColumn("_c", F.expr(f"percentile(w, {q})").over(Window.partitionBy())).where("round(w, 12) > round(_c, 12)").drop("_c")
 
 
+def chords(w: DataFrame, groups: DataFrame, over: float = 0.0) -> DataFrame:
+    """i, j, w, group_i, group_j of the pairs above `over`, each once; groups: (i, group)."""
+    other = groups.select(F.col("i").alias("j"), F.col("group").alias("group_j"))
+    return w.where((F.col("i") < F.col("j")) & (F.col("w") > over)).join(groups.withColumnRenamed("group", "group_i"), "i").join(other, "j").select("i", "j", "w", "group_i", "group_j")
+
+
 def labels_frame(spark, samples: list, labels) -> DataFrame:
     return spark.createDataFrame([(int(i), int(c)) for i, c in zip(samples, labels, strict=True)], "sample_idx long, cluster int")

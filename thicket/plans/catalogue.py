@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thicket.functions import cluster as C
-from thicket.operators import filtering, forest, fusion, importance, leaves, metrics, reports, selection, simulate, tuning
+from thicket.operators import filtering, forest, fusion, importance, leaves, merging, metrics, reports, selection, simulate, tuning
 from thicket.operators import matrix as X
-from thicket.plans import pipeline
+from thicket.plans import pipeline, reconstruct
 from thicket.sources import blocks as B
 
 DIGITS = 8
@@ -480,6 +480,16 @@ def _(spark, sf):
     return importance.forest_mean(importance.per_tree(N(spark)), 12, _vars(spark))
 
 
+@query("imd_used_mean", T_SQL + f" SELECT var, {r('avg(imd)')} AS imd FROM d GROUP BY var")
+def _(spark, sf):
+    return importance.used_mean(importance.per_tree(N(spark)))
+
+
+@query("imd_usage", T_SQL + f" SELECT var, {r('count(*) / 12.0::DOUBLE')} AS share FROM d GROUP BY var")
+def _(spark, sf):
+    return importance.usage(importance.per_tree(N(spark)), 12)
+
+
 @query("imd_block_mean", I_SQL + f", b AS (SELECT feature, avg(imd) AS imd FROM (SELECT * FROM im WHERE feature < 'v6') GROUP BY feature) SELECT 'X' AS block, feature, {r('imd / sqrt(sum(imd * imd) OVER ())')} AS imd FROM b")
 def _(spark, sf):
     models = _imd(spark).where("feature < 'v6'").select(F.concat(F.lit("m"), "block").alias("model"), F.lit("X").alias("block"), "feature", "imd")
@@ -662,6 +672,12 @@ def _(spark, sf):
     return reports.network(X.nearest(X.second_order(X.prepare(W(spark, sf), 10)), 5))
 
 
+@query("chord_pairs", KNN_SQL + f" SELECT i, j, {r('w')} AS w, a.label AS group_i, b.label AS group_j FROM kn JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j WHERE i < j AND w > 0.01")
+def _(spark, sf):
+    groups = labels(spark, sf).select(F.col("sample_idx").alias("i"), F.col("cluster").alias("group"))
+    return reports.chords(X.nearest(X.second_order(X.prepare(W(spark, sf), 10)), 5), groups, 0.01)
+
+
 @query("tune_subset", "s AS (SELECT vec_id FROM embeddings ORDER BY md5('529:' || vec_id), vec_id LIMIT 100), " + TOP_SQL + f" SELECT i, j, {r('w')} AS w FROM p WHERE i IN (SELECT vec_id FROM s) AND j IN (SELECT vec_id FROM s)")
 def _(spark, sf):
     s = filtering.draw_samples(labels(spark, sf).select("sample_idx"), 100, 529)
@@ -793,6 +809,49 @@ def _(spark, sf):
     return leaves.enhanced_of(forest.fit(spark, b, a, forest.Control(trees=6, nodesize=10)))
 
 
+@query("merged_leaves")
+def _(spark, sf):
+    a, b, _l = two_blocks(spark, sf, 200)
+    f = forest.fit(spark, b, a, forest.Control(trees=6, nodesize=10))
+    return merging.merged_membership(f, leaves.embeddings_of(f))
+
+
+@query("reconstruct_spectral")
+def _(spark, sf):
+    n = labels(spark, sf).count()
+    return reports.labels_frame(spark, range(n), reconstruct.reconstruct_and_cluster(two_models(spark, sf), two_scores(spark), n, 4)["labels"])
+
+
+@query("ensemble_importance")
+def _(spark, sf):
+    a, b, _l = two_blocks(spark, sf, 150)
+    parts = reconstruct.fit_connections_subsampled(spark, {"A": (a, None), "B": (b, None)}, [("A", "B")], n_sub=3, trees=4, small=20, least_y=8, least_x=8)[0]
+    return reconstruct.ensemble_importance(parts)
+
+
+# the measuring set: 50 trees, all samples
+
+
+@query("bench_weights")
+def _(spark, sf):
+    e = B.from_arrays(B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id", "embedding"]), "vec_id", "embedding", {"A": (0, 50)})
+    m = e.select(F.col("feature_idx").alias("tree"), "sample_idx", F.floor(100 * F.col("value")).cast("int").alias("leaf"), F.lit(1).alias("inbag"))
+    return leaves.forest_weights(m)
+
+
+@query("bench_second_order")
+def _(spark, sf):
+    e = B.from_arrays(B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id", "embedding"]), "vec_id", "embedding", {"A": (0, 50)})
+    m = e.select(F.col("feature_idx").alias("tree"), "sample_idx", F.floor(100 * F.col("value")).cast("int").alias("leaf"), F.lit(1).alias("inbag"))
+    return X.second_order(X.prepare(leaves.forest_weights(m), 50))
+
+
+@query("bench_forest")
+def _(spark, sf):
+    a, b, _l = two_blocks(spark, sf)
+    return forest.fit(spark, b, a, forest.Control(trees=50)).nodes.drop("y_stats")
+
+
 @query("stability")
 def _(spark, sf):
     s, n = _similarity(spark, sf)
