@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,7 +31,8 @@ from thicket.llm._text import _ODD, by_bytes, mix, shingle_set, texts, words_by_
 BANDS, ROWS = 32, 5
 SHINGLE, PERCENT = 5, 80
 BINS = BANDS * ROWS
-STAR = 500  # edges of one centre that one copy of its set serves
+WIDER = 4  # each round takes so many times the centres of all before
+ROWS_PER_PART = 50_000  # of bucket rows, for the small tables between rounds
 _EDGES = (np.arange(BINS + 1, dtype=object) * 2**64 // BINS)
 _LOW = np.array([int(x) for x in _EDGES[:-1]], np.uint64)
 _TOP = np.array([int(x) - 1 for x in _EDGES[1:]], np.uint64)
@@ -84,8 +85,10 @@ def _sign(size: int):
 def _sets(size: int):
     def run(batches):
         for batch in by_bytes(batches, 4 << 20):
-            s = [shingle_set(w, size) for _, w in words_by_text(*texts(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in s], pa.binary()), pa.array([x.tobytes() for x in s], pa.binary())], names=["sid", "hashes"])
+            s = [shingle_set(w, size) for _, w in words_by_text(*texts(batch.column(1)))]
+            own = [v.as_py()[8:] == set_id(x) for v, x in zip(batch.column(0), s, strict=True)]  # not another text of that doc_id
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in s], pa.binary())], names=["v", "hashes"])
+            yield out.filter(pa.array(own, pa.bool_()))
 
     return run
 
@@ -105,82 +108,87 @@ def _confirm(percent: int):
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The edges (a, b) whose sets are similar. A centre's set is sent once for every STAR of its edges."""
-    parts = edges.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
-    first = sets.withColumnRenamed("sid", "a").join(parts, "a").select("a", F.col("hashes").alias("x"), "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    dealt = edges.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    pairs = dealt.join(sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y")), "b").join(first.drop("parts"), ["a", "part"])
+    """The edges (a, b) whose sets are similar. Sets are unique, so a centre with many edges makes a skewed join of light
+    rows with one set, which adaptive execution may split."""
+    one = edges.join(sets.select(F.col("v").alias("b"), F.col("hashes").alias("y")), "b")
+    pairs = one.join(sets.select(F.col("v").alias("a"), F.col("hashes").alias("x")), "a")
     return pairs.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary")
 
 
-def components(links: DataFrame, places: DataFrame) -> DataFrame:
-    """sid, label: the least (place, sid) of each linked class's component. Labels spread along the links and jump to
-    their label's label, a checkpoint each time, until none changes."""
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.select(F.col("a").alias("sid")).distinct().join(places, "sid").select("sid", F.struct("place", "sid").alias("label")))
+def vertex() -> Column:
+    """A class's place and set in one value, which sorts by place."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.expr("place ^ shiftleft(1L, 63)")), 16, "0")), F.col("sid"))
+
+
+def place_of(v: str) -> Column:
+    return F.expr(f"cast(conv(hex(substring({v}, 1, 8)), 16, -10) AS bigint) ^ shiftleft(1L, 63)")
+
+
+def components(links: DataFrame, parts: int) -> DataFrame:
+    """v, comp: the least vertex of its component, for each vertex of links (a, b) that isn't the least itself.
+
+    Large-star and small-star in turn: each vertex's larger, then smaller, neighbours are hung on its least one, until
+    every component is a star around its least vertex."""
+    edges, last = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
+    by = Window.partitionBy("u")
     while True:
-        told = both.join(labels, both["b"] == labels["sid"]).select(F.col("a").alias("sid"), "label")
-        least = labels.select("sid", "label", F.col("label").alias("old")).unionByName(told.withColumn("old", F.lit(None).cast(labels.schema["label"].dataType)))
-        least = cut(least.groupBy("sid").agg(F.min("label").alias("label"), F.min("old").alias("old")))
-        jump = least.select(F.col("sid").alias("at"), F.col("label").alias("further"))
-        new = least.join(jump, least["label.sid"] == jump["at"], "left").select("sid", F.least("label", F.coalesce("further", "label")).alias("label"), "old")
-        new = cut(new)
-        labels = new.select("sid", "label")
-        if new.where("label < old").isEmpty():
-            return labels
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.withColumn("m", F.least(F.min("v").over(by), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = large.withColumn("m", F.min("v").over(by)).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = cut(hung.select("e.*").where("u <> v").distinct().coalesce(parts))
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if now == last:
+            return edges.select(F.col("u").alias("v"), F.col("v").alias("comp"))
+        last = now
 
 
 def classes_with_components(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
-    """sid, rows, place of each class of equal non-empty sets, with the place of its component."""
+    """sid, rows, component (least place) of each class of equal non-empty sets."""
     big = F.lit((1 << 63) - 1).cast("long")
     classes = cut(
-        signed.where("n_shingles > 0").groupBy("sid").agg(F.count("*").alias("rows"), F.min(F.coalesce("doc_id", big)).alias("place"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        signed.where("n_shingles > 0")
+        .groupBy("sid")
+        .agg(F.count("*").alias("rows"), F.min(F.coalesce("doc_id", big)).alias("place"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("v", vertex())
+    )
+    key, by_v = Window.partitionBy("key"), Window.partitionBy("v")
+    order = key.orderBy(F.desc("degree"), "v")  # by degree over all bands, so of two classes the same one leads in every bucket
+    rows = cut(
+        classes.select("v", "n", F.explode("bands").alias("key"))
+        .withColumn("members", F.count("*").over(key))
+        .where("members > 1")
+        .withColumns({"degree": F.sum("members").over(by_v), "nth": F.row_number().over(by_v.orderBy("key"))})
+        .withColumns({"rank": F.row_number().over(order), "a": F.first("v").over(order), "m": F.first("n").over(order)})
+        .drop("degree")
     )
-    met = classes.select("sid", "place", "n", F.explode("bands").alias("key"))
-    full = met.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    rows = cut(met.join(full, "key"))
-    if rows.isEmpty():
+    found = rows.count()
+    if not found:
         return classes.select("sid", "rows", F.col("place").alias("component"))
-    degree = rows.groupBy("sid").agg(F.sum("members").alias("degree"))
-    order = Window.partitionBy("key").orderBy(F.desc("degree"), "place", "sid")
-    rows = cut(rows.join(degree, "sid").withColumn("rank", F.row_number().over(order)).select("key", "sid", "n", "members", "rank"))
-    fetch = rows.select("sid").distinct().join(classes.select("sid", "place"), "sid").select(F.col("place").alias("_place")).distinct()
-    wanted = docs.join(fetch, F.coalesce("doc_id", big) == F.col("_place"), "left_semi").select("text")
-    sets = cut(wanted.mapInArrow(_sets(size), "sid binary, hashes binary").dropDuplicates(["sid"]).join(rows.select("sid").distinct(), "sid", "left_semi"))
-    links = tested = labels = None
-    low, high = 1, 2
+    parts = max(8, found // ROWS_PER_PART)
+    fetch = rows.where("nth = 1").select("v", place_of("v").alias("_place"))
+    texts_of = docs.join(fetch, F.coalesce("doc_id", big) == F.col("_place")).select("v", "text")
+    sets = cut(texts_of.mapInArrow(_sets(size), "v binary, hashes binary").dropDuplicates(["v"]))
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    edges = rows.where((F.col("rank") > 1) & fits).select("a", F.col("v").alias("b"))
+    open_rows, labels, low = rows.select("key", "v", "n", "members", "rank"), None, 2
     while True:
-        open_rows = rows.where(F.col("members") > low)
-        if labels is not None:
-            own = open_rows.join(labels.select("sid", F.col("label.sid").alias("comp")), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-            several = own.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-            open_rows = own.join(several, "key", "left_semi")
-        else:
-            open_rows = open_rows.withColumn("comp", F.col("sid"))
-        open_rows = cut(open_rows)
-        if open_rows.isEmpty():
-            break
-        centre = open_rows.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("sid").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("rank").alias("r"))
-        fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-        edges = centre.join(open_rows, "key").where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("comp")) & fits)
-        # each pair one way round, so that it is the same edge in every bucket
-        edges = edges.select(F.col("a"), F.col("sid").alias("b")).distinct()
-        pair = lambda e: e.select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"))
-        edges = edges.withColumns({"p": F.least("a", "b"), "q": F.greatest("a", "b")})
-        if tested is not None:
-            edges = edges.join(tested, ["p", "q"], "left_anti")
-        edges = cut(edges.groupBy("p", "q").agg(F.min("a").alias("a"), F.min("b").alias("b")).select(
-            F.when(F.col("a") == F.col("b"), F.col("p")).otherwise(F.col("a")).alias("a"), F.when(F.col("a") == F.col("b"), F.col("q")).otherwise(F.col("b")).alias("b")
-        ))
-        good = cut(confirm(edges, sets, percent))
-        tested = pair(edges) if tested is None else tested.unionByName(pair(edges))
-        links = good if links is None else links.unionByName(good)
+        good = cut(confirm(cut(edges.distinct().coalesce(parts)), sets, percent).coalesce(parts))
         if not good.isEmpty():
-            labels = components(links, classes.select("sid", "place"))
-        low, high = high, high * 4
+            links = good if labels is None else good.unionByName(labels.select(F.col("v").alias("a"), F.col("comp").alias("b")))
+            labels = components(links, parts)
+        open_rows = open_rows.where(F.col("members") > low)
+        own = open_rows.withColumn("comp", F.col("v")) if labels is None else open_rows.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        own = own.withColumns({"least": F.min("comp").over(key), "most": F.max("comp").over(key)}).where("least <> most").drop("least", "most")
+        own = cut(own.coalesce(parts))
+        if own.isEmpty():
+            break
+        high = low * WIDER
+        centre = own.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("v").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("rank").alias("r"))
+        edges = centre.join(own, "key").where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("comp")) & fits).select("a", F.col("v").alias("b"))
+        open_rows, low = own.drop("comp"), high
     if labels is None:
         return classes.select("sid", "rows", F.col("place").alias("component"))
-    return classes.join(labels, "sid", "left").select("sid", "rows", F.coalesce("label.place", "place").alias("component"))
+    return classes.select("sid", "rows", "v", "place").join(labels, "v", "left").select("sid", "rows", F.coalesce(place_of("comp"), "place").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
