@@ -248,7 +248,7 @@ def classes_with_components(docs: DataFrame, signed: DataFrame, size: int, perce
             if own.isEmpty():
                 break
             own = own.join(shared_with_others(own.select("v").distinct(), sets), "v").join(classes.select("v", "sketch"), "v")
-            own = several(own.where(F.min("n").over(key) <= largest("n", "shared", percent)))
+            own = several(own.withColumn("smallest", F.min("n").over(key)).where(F.col("smallest") <= largest("n", "shared", percent)).drop("smallest"))
         own = cut(own.coalesce(parts))
         if own.isEmpty():
             break
