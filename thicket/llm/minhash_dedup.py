@@ -7,13 +7,15 @@ its own. ROWS neighbouring bins make a band, and sets that agree on a band meet
 
 Equal sets are one class from the start, so copies never make pairs. In a bucket, edges go from its centre (the class that
 meets most others over all its bands, so the original of a family of copies) to the rest: a star. Edges are confirmed on
-full sets, confirmed ones are joined to components, and a bucket whose classes are then in one component is closed. Where
-several components remain, further centres follow, WIDER times as many in each round, against classes of other components
-only, until every bucket is closed or has had every class as centre. A large family costs its size, not its square: a
-class whose shingles are too often its own, so that it can't be similar to any open class of its bucket's sizes, leaves
-the bucket first (an exact bound), and what meets by chance, as texts around one common passage do, is told apart in the
-join itself by the two low bits of every bin: a pair is dropped there only if more bins differ than a similar pair's
-would in one case of 10^9. There is no cap on buckets or candidates.
+full sets, confirmed ones are joined to components, and a bucket whose classes are then in one component is closed.
+
+What is left in open buckets, as texts around one common passage are, is dealt anew by an exact rule. Put all shingles in
+one order, rare before frequent; then two sets of at least that similarity share a shingle among the first n - ceil(0.8 n)
++ 1 of each, and the first one that they share leaves enough behind it in both. A class goes to a bucket for each of its
+first shingles, and only pairs of different components with room for the overlap behind the shared one become edges: texts
+with a passage in common meet at their own words, not at the passage. Any order is exact; this one goes by counts in CELLS
+cells, whose size is fixed. Centres follow in rounds, WIDER times as many in each, until every bucket is closed or has had
+every class as centre. There is no cap on buckets or candidates.
 
 Texts without words, and null, have an empty set and are linked with nothing. A null doc_id comes after all others.
 Repeated rows of equal text are one class and each gets a row. An empty table gives an empty result; further columns are
@@ -21,8 +23,6 @@ ignored."""
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,6 +37,8 @@ BANDS, ROWS = 32, 5
 SHINGLE, PERCENT = 5, 80
 BINS = BANDS * ROWS
 WIDER = 16  # each round takes so many times the centres of all before
+CELL_BITS = 22
+CELLS = 1 << CELL_BITS
 ROWS_PER_PART = 50_000  # of bucket rows, for the small tables between rounds
 _EDGES = (np.arange(BINS + 1, dtype=object) * 2**64 // BINS)
 _LOW = np.array([int(x) for x in _EDGES[:-1]], np.uint64)
@@ -44,10 +46,7 @@ _TOP = np.array([int(x) - 1 for x in _EDGES[1:]], np.uint64)
 _rng = np.random.default_rng(7)
 _TURN = np.argsort(_rng.random((BINS, BINS)), axis=1)
 _BAND = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
-SIGNED = "doc_id long, text_key long, n_shingles long, sid binary, bands array<long>, sketch array<long>"
-#: Chance that two sets at the wanted similarity differ in more bins' low bits than `most_apart` allows.
-MISS = 1e-9
-WORDS = -(-BINS // 64)
+SIGNED = "doc_id long, text_key long, n_shingles long, sid binary, bands array<long>"
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -70,30 +69,6 @@ def bands(least: np.ndarray) -> np.ndarray:
     return mix(h).view(np.int64)
 
 
-def sketch(least: np.ndarray) -> np.ndarray:
-    """The two low bits of each bin's hash: first all low ones, then all high ones, as WORDS numbers each."""
-    bits = np.zeros((2, WORDS * 64), np.uint8)
-    bits[0, :BINS], bits[1, :BINS] = least & np.uint64(1), (least >> np.uint64(1)) & np.uint64(1)
-    return np.packbits(bits, axis=1).ravel().view(np.int64)
-
-
-def most_apart(percent: int, bins: int = BINS, miss: float = MISS) -> int:
-    """The most bins whose two bits may differ: pairs at the wanted similarity go beyond it with a chance below `miss`."""
-    differ = (1 - percent / 100) * 0.75
-    tail, k = 0.0, bins
-    while k >= 0:
-        tail += math.comb(bins, k) * differ**k * (1 - differ) ** (bins - k)
-        if tail > miss:
-            return k
-        k -= 1
-    return 0
-
-
-def apart(a: str, b: str) -> Column:
-    """Bins in which two sketches differ."""
-    return F.expr(" + ".join(f"bit_count(({a}[{k}] ^ {b}[{k}]) | ({a}[{k + WORDS}] ^ {b}[{k + WORDS}]))" for k in range(WORDS)))
-
-
 def set_id(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
@@ -101,19 +76,15 @@ def set_id(s: np.ndarray) -> bytes:
 def _sign(size: int):
     def run(batches):
         for batch in by_bytes(batches, 4 << 20):
-            n, sids, found, low = [], [], [], []
+            n, sids, found = [], [], []
             for _, words in words_by_text(*texts(batch.column(2))):
                 s = shingle_set(words, size)
                 n.append(len(s))
                 sids.append(set_id(s))
-                least = signature(s) if len(s) else None
-                found.append(bands(least) if len(s) else np.zeros(0, np.int64))
-                low.append(sketch(least) if len(s) else np.zeros(0, np.int64))
-            lists = []
-            for parts in (found, low):
-                offs = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                lists.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sids, pa.binary()), *lists], names=["doc_id", "text_key", "n_shingles", "sid", "bands", "sketch"])
+                found.append(bands(signature(s)) if len(s) else np.zeros(0, np.int64))
+            offs = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sids, pa.binary()), lists], names=["doc_id", "text_key", "n_shingles", "sid", "bands"])
 
     return run
 
@@ -178,26 +149,47 @@ def components(links: DataFrame, parts: int) -> DataFrame:
         last = now
 
 
-def _explode(batches):
+def cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _tally(batches):
+    times = np.zeros(CELLS, np.int32)
     for batch in batches:
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
-        ids = np.repeat(np.asarray(batch.column(0)), [len(x) for x in sets])
-        h = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        for k in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 100_000]), pa.array(h[k : k + 100_000])], names=["id", "h"])
+        for x in batch.column(0):
+            np.add.at(times, cell(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+    found = np.flatnonzero(times)
+    for k in range(0, len(found), 100_000):
+        part = found[k : k + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(times[part].astype(np.int64))], names=["cell", "times"])
 
 
-def shared_with_others(classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """v, shared: how many of a class's shingles another one of these classes has too."""
-    held = cut(classes.join(sets, "v").withColumn("id", F.monotonically_increasing_id()))
-    holders = held.select("id", "hashes").mapInArrow(_explode, "id long, h long").groupBy("h").agg(F.count("*").alias("k"), F.min("id").alias("id"))
-    alone = holders.where("k = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    return held.select("id", "v", (F.length("hashes") / 8).cast("long").alias("size")).join(alone, "id", "left").select("v", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+def cell_counts(sets: DataFrame) -> np.ndarray:
+    """Number of shingles of all sets in each cell, as far as 32 bits go: CELLS numbers, whatever the input."""
+    got = sets.select("hashes").mapInArrow(_tally, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).toArrow()
+    out = np.zeros(CELLS, np.int32)
+    out[got["cell"].to_numpy()] = np.minimum(got["times"].to_numpy(), (1 << 31) - 1)
+    return out
 
 
-def largest(n: str, shared: str, percent: int) -> Column:
-    """The largest set that one of size n can be similar to if it shares no more than `shared`."""
-    return F.floor(F.col(shared) * (100 + percent) / percent) - F.col(n)
+def first_shingles(s: np.ndarray, times: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the first n - ceil(n * percent / 100) + 1 shingles, rare ones first, that another set may have, and their places."""
+    own = times[cell(s)]
+    order = np.lexsort((s, own))[: len(s) - -(-len(s) * percent // 100) + 1]
+    place = np.flatnonzero(own[order] > 1)
+    return s[order[place]].view(np.int64), place + 1
+
+
+def _first(counts, percent: int):
+    def run(batches):
+        for batch in batches:
+            for part in by_bytes([batch], 1 << 20):
+                got = [first_shingles(np.frombuffer(x.as_buffer(), np.uint64), counts.value, percent) for x in part.column(3)]
+                row = pa.array(np.repeat(np.arange(part.num_rows), [len(k) for k, _ in got]))
+                keys, places = (np.concatenate(x) if got else np.zeros(0, np.int64) for x in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([*[part.column(k).take(row) for k in range(3)], pa.array(keys), pa.array(places)], names=["v", "comp", "n", "key", "pos"])
+
+    return run
 
 
 def several(rows: DataFrame) -> DataFrame:
@@ -212,7 +204,7 @@ def classes_with_components(docs: DataFrame, signed: DataFrame, size: int, perce
     classes = cut(
         signed.where("n_shingles > 0")
         .groupBy("sid")
-        .agg(F.count("*").alias("rows"), F.min(F.coalesce("doc_id", big)).alias("place"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        .agg(F.count("*").alias("rows"), F.min(F.coalesce("doc_id", big)).alias("place"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
         .withColumn("v", vertex())
     )
     key, by_v = Window.partitionBy("key"), Window.partitionBy("v")
@@ -234,29 +226,31 @@ def classes_with_components(docs: DataFrame, signed: DataFrame, size: int, perce
     sets = cut(texts_of.mapInArrow(_sets(size), "v binary, hashes binary").dropDuplicates(["v"]))
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     edges = rows.where((F.col("rank") > 1) & fits).select("a", F.col("v").alias("b"))
-    open_rows, labels, low = rows.select("key", "v", "n", "members", "rank"), None, 2
-    while True:
+    labels = None
+
+    def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
         good = cut(confirm(cut(edges.distinct().coalesce(parts)), sets, percent))
-        if not good.isEmpty():
-            links = good if labels is None else good.unionByName(labels.select(F.col("v").alias("a"), F.col("comp").alias("b")))
-            labels = components(links, parts)
-        open_rows = open_rows.where(F.col("members") > low)
-        own = open_rows.withColumn("comp", F.col("v")) if labels is None else open_rows.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-        own = several(own)
-        if "shared" not in own.columns:
-            own = cut(own.coalesce(parts))
-            if own.isEmpty():
-                break
-            own = own.join(shared_with_others(own.select("v").distinct(), sets), "v").join(classes.select("v", "sketch"), "v")
-            own = several(own.withColumn("smallest", F.min("n").over(key)).where(F.col("smallest") <= largest("n", "shared", percent)).drop("smallest"))
-        own = cut(own.coalesce(parts))
-        if own.isEmpty():
-            break
-        high = low * WIDER
-        centre = own.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("v").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("rank").alias("r"), F.col("sketch").alias("s"), F.col("shared").alias("t"))
-        near = (F.col("n") <= largest("m", "t", percent)) & (F.col("m") <= largest("n", "shared", percent)) & (apart("s", "sketch") <= most_apart(percent))
-        edges = centre.join(own, "key").where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("comp")) & fits & near).select("a", F.col("v").alias("b"))
-        open_rows, low = own.drop("comp"), high
+        if good.isEmpty():
+            return labels
+        return components(good if labels is None else good.unionByName(labels.select(F.col("v").alias("a"), F.col("comp").alias("b"))), parts)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("comp", F.col("v")) if labels is None else rows.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+
+    labels = joined(labels, edges)
+    held = cut(several(labelled(rows.where("members > 2").select("key", "v", "n"))).select("v", "comp", "n").distinct().join(sets, "v"))
+    if not held.isEmpty():
+        counts = docs.sparkSession.sparkContext.broadcast(cell_counts(held))
+        firsts = held.select("v", "comp", "n", "hashes").mapInArrow(_first(counts, percent), "v binary, comp binary, n long, key long, pos long")
+        open_rows, low, high = cut(several(firsts).withColumn("rank", F.row_number().over(key.orderBy(F.desc("n"), "v")))), 1, 2
+        room = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
+        near = fits & (room * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+        while not open_rows.isEmpty():
+            centre = open_rows.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("v").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("rank").alias("r"), F.col("pos").alias("at"))
+            edges = centre.join(open_rows, "key").where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("comp")) & near).select("a", F.col("v").alias("b"))
+            labels = joined(labels, edges)
+            left = open_rows.drop("comp").withColumn("last", F.max("rank").over(key)).where(F.col("last") > high).drop("last")
+            open_rows, low, high = cut(several(labelled(left)).coalesce(parts)), high, high * WIDER
     if labels is None:
         return classes.select("sid", "rows", F.col("place").alias("component"))
     return classes.select("sid", "rows", "v", "place").join(labels, "v", "left").select("sid", "rows", F.coalesce(place_of("comp"), "place").alias("component"))
