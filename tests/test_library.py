@@ -486,3 +486,18 @@ def test_reconstruct_and_cluster(spark):
     for method in ("spectral", "pam", "alternating"):
         got = reconstruct.reconstruct_and_cluster(w, scores, 12, 2, method, None, data=np.eye(12))
         assert same_partition(got["labels"], label)
+
+
+def test_kinds_and_their_tops():
+    from thicket.operators.filtering import tops_by_kind
+    from thicket.sources.blocks import kind_of
+
+    names = {"miRNA": "mirna", "micro_rna": "mirna", "dnam": "methylation", "CpG": "methylation", "prot": "protein", "protox": "unknown", "mRNA": "rna", "Expression": "rna", "x": "unknown"}
+    assert {n: kind_of(n) for n in names} == names
+    assert [filtering.top_of("mirna", 0, n) for n in (149, 150)] == [500, 1000]
+    assert [filtering.top_of("methyl", 0, n) for n in (100, 101, 250, 251, 500, 501)] == [5000, 10000, 10000, 15000, 15000, 20000]
+    assert filtering.top_of("gene", 0, 10, by_kind={"mRNA": 7.9}) == 7 and filtering.top_of("gene", 0, 10) == 5000
+    assert filtering.top_of("mirna", 0, 10, by_kind={"mirna": float("inf")}) == 500
+    assert filtering.top_of("b", 1, 10, "manual", manual={"2": 3}) == 3 and filtering.top_of("b", 1, 10, "manual", manual=[4]) == float("inf")
+    with pytest.warns(UserWarning):
+        assert tops_by_kind({"other": 3, "dnam": 2}) == {"methylation": 2.0}

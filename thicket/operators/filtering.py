@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,27 +11,53 @@ from pyspark.sql.window import Window
 
 from thicket.sources.blocks import kind_of
 
+# Features kept of each kind, by sample count where it matters, and other names of the kinds.
 DEFAULT_TOP = {"rna": 5000, "protein": math.inf, "unknown": math.inf}
+MIRNA_TOP = ((149, 500), (math.inf, 1000))
+METHYLATION_TOP = ((100, 5000), (250, 10000), (500, 15000), (math.inf, 20000))
+ALIASES = {
+    "mrna": "rna",
+    "expression": "rna",
+    "transcript": "rna",
+    "gene": "rna",
+    "micro_rna": "mirna",
+    "mi_rna": "mirna",
+    "methyl": "methylation",
+    "methy": "methylation",
+    "dnam": "methylation",
+    "prot": "protein",
+    "rppa": "protein",
+}
 
 
 def default_top(kind: str, samples: int) -> float:
-    if kind == "mirna":
-        return 500 if samples < 150 else 1000
-    if kind == "methylation":
-        return next((n for limit, n in ((100, 5000), (250, 10000), (500, 15000)) if samples <= limit), 20000)
-    return DEFAULT_TOP.get(kind, math.inf)
+    steps = {"mirna": MIRNA_TOP, "methylation": METHYLATION_TOP}.get(kind)
+    if steps is None:
+        return DEFAULT_TOP[kind]
+    return next(n for limit, n in steps if samples <= limit)
+
+
+def tops_by_kind(wanted: dict | None) -> dict[str, float]:
+    """Wanted tops by kind; other names of a kind count as it, a name of no kind is left out with a warning."""
+    named = {ALIASES.get(str(k).lower(), str(k).lower()): v for k, v in (wanted or {}).items()}
+    kinds = {*DEFAULT_TOP, "mirna", "methylation"}
+    if odd := sorted(set(named) - kinds):
+        warnings.warn(f"no kind of block is named {', '.join(odd)}", stacklevel=2)
+    return {k: float(v) for k, v in named.items() if k in kinds}
 
 
 def top_of(block: str, place: int, samples: int, mode: str = "auto", by_kind: dict | None = None, manual=None) -> float:
-    """How many features a block keeps: inf is all. manual: by name, by place as text, or a list by place."""
+    """How many features a block keeps: inf is all. manual: by name, by place (from 1) as text, or a list by place."""
     if mode == "none":
         return math.inf
     if mode == "manual":
         n = manual.get(block, manual.get(str(place + 1))) if isinstance(manual, dict) else manual[place] if manual and place < len(manual) else None
     else:
         kind = kind_of(block)
-        n = (by_kind or {}).get(kind, default_top(kind, samples))
-    return math.inf if n is None or not math.isfinite(n) or n <= 0 else int(n)
+        n = tops_by_kind(by_kind).get(kind)
+        if n is None or kind in ("mirna", "methylation") and not math.isfinite(n):
+            n = default_top(kind, samples)
+    return math.inf if n is None or not math.isfinite(n) or n <= 0 else max(1, math.floor(n))
 
 
 def feature_stats(long: DataFrame) -> DataFrame:

@@ -15,7 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-KINDS = ((r"mirna|mir[^a-z]|^mir$", "mirna"), (r"meth|cpg|450k|850k|epic", "methylation"), (r"prot|rppa", "protein"), (r"rna|gene|expr|transcript", "rna"))
+# The patterns that tell a block's kind by its lower-cased name, the first that fits.
+KINDS = (
+    (r"mirna|micro.?rna", "mirna"),
+    (r"meth|methyl|dnam|cpg|450k|850k", "methylation"),
+    (r"protein|rppa|prot\b", "protein"),
+    (r"rna|mrna|gene|expr|transcript", "rna"),
+)
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
