@@ -389,9 +389,10 @@ def test_sketches(spark, odd):
 
 def test_sketches_merge_and_count():
     a, b = (np.unique(np.random.default_rng(s).integers(0, 2**64, 5000, dtype=np.uint64)) for s in (1, 2))
-    whole = np.unique(np.concatenate([a, b[:2500]]))
+    b = b[::2]  # every second one: the least half of b would not be evenly spread, as hashes are
+    whole = np.unique(np.concatenate([a, b]))
     k = sketches.K
-    assert (sketches.merge(a[:k], b[:2500][:k]) == whole[:k]).all()
+    assert (sketches.merge(a[:k], b[:k]) == whole[:k]).all()
     assert sketches.distinct_count(whole[:k]) == pytest.approx(len(whole), rel=0.3)
     assert sketches.containment(a[:k], whole[:k]) > 0.6
     assert (sketches.decode(sketches.encode(a[:k])) == a[:k]).all() and base64.b64decode(sketches.encode(a[:3]))
@@ -457,3 +458,42 @@ def test_empty_tables(spark, none, odd):
     blank = spark.createDataFrame(rows([None, "", None]), DOCS)
     assert minhash_dedup.near_duplicates(blank).where("kept").count() == 3
     assert mixing.mix(blank).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    d = spark.createDataFrame(rows(["a b c", "A B C", "d e f g", None, "a b c"], sources=["x"] * 5), DOCS)
+    names = ["times", "text_key", "text_sha256", "_size", "_time", "_key", "_sha", "start", "target", "comp", "v"]
+    more = d.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    for f in (mixing.resample, exact_dedup.keep_one, minhash_dedup.keep_one, lambda x: language_id.keep_identified(x, language_id.Model({"en": ["a b c d"]}))):
+        plain, got = f(d), f(more)
+        assert got.columns == more.columns
+        found = got.collect()
+        assert sorted(r["doc_id"] for r in found) == sorted(r["doc_id"] for r in plain.collect()) and found
+        assert all(r[n] == f"{n}{r['doc_id']}" for r in found for n in names)
+
+
+def test_texts_that_share_a_passage_are_told_apart(spark):
+    r = random.Random(6)
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join([*(f"w{r.randrange(10**9)}" for _ in range(n)), *passage]) for n in [12, 20, 40] * 25]
+    texts += [t + " end" for t in texts[::7]]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows(texts), DOCS), 2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(brute_components(list(enumerate(texts)), 2)))
+
+
+def test_first_shingles_hold_one_of_each_similar_pair():
+    r = np.random.default_rng(4)
+    times = np.zeros(minhash_dedup.CELLS, np.int32)
+    sets = []
+    for _ in range(60):
+        base = r.integers(0, 2**64, 80, dtype=np.uint64)
+        sets += [np.unique(np.append(base[k:], r.integers(0, 2**64, k, dtype=np.uint64))) for k in (0, 3, 6, 9)]
+    for s in sets:
+        np.add.at(times, minhash_dedup.cell(s), 1)
+    first = [dict(zip(*minhash_dedup.first_shingles(s, times, 80), strict=True)) for s in sets]
+    for a in range(len(sets)):
+        for b in range(a):
+            same = len(np.intersect1d(sets[a], sets[b]))
+            n = len(sets[a]) + len(sets[b])
+            met = any(180 * (1 + min(len(sets[a]) - first[a][k], len(sets[b]) - first[b][k])) >= 80 * n for k in first[a].keys() & first[b].keys())
+            assert met or 100 * same < 80 * (n - same)

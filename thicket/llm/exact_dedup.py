@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thicket.llm._common import cut, join_groups, read
+from thicket.llm._common import cut, join_groups, read, unused
 from thicket.llm._text import LOWER, by_bytes, texts
 
 LEAST, MASK_BITS, MOST = 256, 10, 8192
@@ -112,14 +112,12 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one for each distinct text, with the columns of docs."""
     stay = cut(exact_dedup(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times")))
-    again = stay.where("times > 1").isEmpty()
+    again, sha = not stay.where("times > 1").isEmpty(), unused(docs, "_sha")
     low = F.translate(F.coalesce(docs["text"], F.lit("")), UPPER_AZ, LOWER_AZ)
-    keyed = docs.withColumn("_sha", F.sha2(low, 256)).alias("d")
+    keyed = docs.withColumn(sha, F.sha2(low, 256)).alias("d")
     s = stay.alias("s")
-    out = keyed.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._sha") == F.col("s.text_sha256")), "left_semi")
-    if not again:
-        out = out.dropDuplicates(["doc_id", "_sha"])
-    return out.drop("_sha")
+    out = keyed.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{sha}") == F.col("s.text_sha256")), "left_semi")
+    return (out.dropDuplicates(["doc_id", sha]) if again else out).drop(sha)
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thicket.llm._common import cut, join_groups, read
+from thicket.llm._common import cut, join_groups, read, unused
 from thicket.llm._text import _ODD, by_bytes, mix, shingle_set, texts, words_by_text
 
 BANDS, ROWS = 32, 5
@@ -270,11 +270,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, one of each component, with the columns of docs."""
     stay = cut(near_duplicates(docs, size, percent).where("kept").groupBy("doc_id", "text_key").agg(F.count("*").alias("times")))
-    again = not stay.where("times > 1").isEmpty()
-    d = docs.withColumn("_key", F.xxhash64("text")).alias("d")
+    again, key = not stay.where("times > 1").isEmpty(), unused(docs, "_key")
+    d = docs.withColumn(key, F.xxhash64("text")).alias("d")
     s = stay.alias("s")
-    out = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d._key") == F.col("s.text_key")), "left_semi")
-    return (out.dropDuplicates(["doc_id", "_key"]) if again else out).drop("_key")
+    out = d.join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col(f"d.{key}") == F.col("s.text_key")), "left_semi")
+    return (out.dropDuplicates(["doc_id", key]) if again else out).drop(key)
 
 
 def op7_minhash_dedup(spark, sf_dir):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from thicket.llm._common import cut, read
+from thicket.llm._common import cut, read, unused
 
 WEIGHTS, SHARE, REPEATS, SEED = (5, 2, 1), 1.5, 2, "7"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,9 +93,10 @@ def resample(docs: DataFrame, **options) -> DataFrame:
     m = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", times.alias("times")).where("times > 0")
     m = m.groupBy("_id", "size").agg(F.max("times").alias("times"))
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    d = docs.withColumn("_size", words).alias("d")
-    joined = d.join(m.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m._id")) & (F.col("_size") == F.col("m.size")))
-    return joined.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    own = unused(docs, "_size")
+    d = docs.withColumn(own, words).alias("d")
+    joined = d.join(m.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m._id")) & (F.col(f"d.{own}") == F.col("m.size")))
+    return joined.withColumn(unused(docs, "_time"), F.explode(F.sequence(F.lit(1), F.col("m.times")))).select(*[F.col(f"d.`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark, sf_dir):
