@@ -441,6 +441,27 @@ def test_nearest_examples_are_exact():
         assert np.allclose(value, np.sort(cosine[index.ids[found]])[::-1])
 
 
+def test_toxicity_learns_rare_and_short_words(spark):
+    """Each insult is in two labelled texts, too few for a floor on chi-square; some have three letters or fewer."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(4, 7))) for _ in range(400)]
+    short = ["".join(r.choice("uvwxyz") for _ in range(3)) for _ in range(40)]
+    texts, toxic = [], []
+    for i in range(600):
+        w = [r.choice(words) for _ in range(6)]
+        if i % 5 == 0:
+            w[3:3] = [short[i // 5 % 40]] * 4
+        texts.append(" ".join(w))
+        toxic.append(int(i % 5 == 0))
+    d = spark.createDataFrame(rows(texts), DOCS)
+    got = {x["doc_id"]: x for x in toxicity.score_toxicity(d, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")).collect()}
+    learned = [short[i // 5 % 40] for i in range(0, 600, 5) if not got[i]["held_out"]]
+    bad = [i for i in range(0, 600, 5) if got[i]["held_out"] and short[i // 5 % 40] in learned]
+    assert len(bad) > 20 and all(short[i // 5 % 40] in texts[got[i]["evidence"][0]].split() for i in bad)
+    clean = [got[i]["score"] for i in range(600) if i % 5 and got[i]["held_out"]]
+    assert min(got[i]["score"] for i in bad) > np.mean(clean)
+
+
 def test_empty_tables(spark, none, odd):
     assert minhash_dedup.near_duplicates(none).count() == 0
     assert minhash_dedup.keep_one(none).count() == 0

@@ -1,19 +1,20 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under exact cosine of weighted TF-IDF.
 
-Terms are runs of five bytes within a word, the space before it included, A-Z lower-cased: insults are inflected and
-compounded, and such terms still meet. Labels pick the terms: of those in the labelled sample, the TERMS with the highest
-chi-square (at least LEAST_CHI2). Document frequencies of the terms are counted over all documents.
+Terms are runs of five bytes within a word, the space before it included, and whole words of three bytes or fewer; A-Z
+lower-cased. Insults are inflected and compounded, and such terms still meet. Every term of every example is indexed, whatever
+its label, length or rank. A term weighs by idf, times LEAST_Z plus the root of its chi-square between the examples' labels:
+so no term is without weight, and those that tell the labels apart count most. Document frequencies are counted over all
+documents. Terms that no example has can't meet one, so they are left out, also from a document's norm.
 
-Examples go to an inverted index in blocks of BLOCK examples; each term keeps its largest weight in every block. For a
-document, the sums of those bounds order the blocks, and blocks are scored exactly, a few at a time, until no bound can reach the NEAREST-th
-best cosine, so the neighbours found are the exact ones (ties: all examples as near as the last are taken). Votes weigh by
-1 / (1 - cosine + 0.05), and by how many labelled rows an example stands for, with PRIOR votes of the base rate. A document without any
-term is as near to every example without one as to any: it gets the base rate among those.
+A document is compared with all examples: frequent terms (in SHARE of the examples, DENSE of them at most) by a matrix
+product, the others by their postings; what comes within SLACK of the NEAREST-th best is computed anew in double precision, so
+the neighbours found are the exact ones (ties: all examples as near as the last are taken). Votes weigh by
+1 / (1 - cosine + 0.05), and by how many labelled rows an example stands for, with PRIOR votes of the base rate. A document
+without any term is as near to every example without one as to any: it gets the base rate among those.
 
-Examples are a bounded sample: at most PER_LABEL learnable rows of each label, by hash of doc_id; the index has at most
-2 * PER_LABEL rows of TERMS terms, and is broadcast. Learnable: label not null, crc32(doc_id as text) mod 3 not 1.
-Null text counts as empty. Without examples every score is 0. Repeated rows each count; an empty table gives an empty
-result; further columns are ignored."""
+Examples are a bounded sample: at most PER_LABEL learnable rows of each label, by hash of doc_id; their index is broadcast.
+Learnable: label not null, crc32(doc_id as text) mod 3 not 1. Null text counts as empty. Without examples every score is 0.
+Repeated rows each count; an empty table gives an empty result; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -25,11 +26,9 @@ from pyspark.sql import functions as F
 from thicket.llm._common import cut, read
 from thicket.llm._text import LOWER, SPACE, by_bytes, texts
 
-PER_LABEL, TERMS, LEAST_CHI2, LEAST_DF, BLOCK, NEAREST, PRIOR, CUTOFF = 4096, 1024, 30.0, 5, 64, 15, 0.5, 0.7
+PER_LABEL, LEAST_Z, BLOCK, NEAREST, PRIOR, CUTOFF = 4096, 0.25, 128, 15, 0.5, 0.7
+SHARE, DENSE, SLACK = 1 / 16, 4096, 1e-4
 FOLDS, HELD = 3, 1
-_MASK = np.uint64((1 << 40) - 1)
-_HASH = np.uint64(0x9E3779B97F4A7C15)
-_SHIFT = np.uint64(44)
 
 
 def grams(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,10 +41,16 @@ def grams(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     raw[SPACE[raw]] = 0x20
     b[at] = raw
     word = b != 0x20
-    ok = word[1:-7] & word[2:-6] & word[3:-5] & word[4:-4]
-    w = np.ndarray((len(b) - 7,), dtype="<u8", buffer=b, strides=(1,))[: len(ok)]
-    i = np.flatnonzero(ok)
-    return w[i] & _MASK, np.searchsorted(offs[:-1] - offs[0] + np.arange(n), i, "right") - 1
+    w = np.ndarray((len(b) - 8,), dtype="<u8", buffer=b, strides=(1,))
+    at = [word[k : k + len(w)] for k in range(5)]
+    bits = np.where(at[1] & at[2] & at[3] & at[4], 40, 0)
+    first = ~at[0] & at[1]
+    for size in (1, 2, 3):  # a whole word with the spaces around it
+        first &= at[size]
+        bits[first & ~at[size + 1]] = 8 * (size + 2)
+    i = np.flatnonzero(bits)
+    g = w[i] & ((np.uint64(1) << bits[i].astype(np.uint64)) - np.uint64(1))
+    return g, np.searchsorted(offs[:-1] - offs[0] + np.arange(n), i, "right") - 1
 
 
 def _term_counts(batches):
@@ -63,30 +68,48 @@ def _term_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(terms[s].astype(np.int64)), pa.array(one[s]), pa.array((all_ - one)[s])], names=["term", "toxic", "clean"])
 
 
-def _features(terms: np.ndarray):
-    """doc_id and the places of a text's terms in `terms`, with their counts."""
+def features(terms: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of texts, the places of their terms in `terms` (sorted), and how often each occurs."""
+    g, of = grams(*texts(column))
+    if not len(terms):
+        return np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place = np.minimum(np.searchsorted(terms, g), len(terms) - 1)
+    same = terms[place] == g
+    keys, times = np.unique(of[same] * len(terms) + place[same], return_counts=True)
+    rows, place = np.divmod(keys, len(terms))
+    return np.searchsorted(rows, np.arange(len(column) + 1)), place, times
+
+
+def _frequencies(vocabulary):
+    """Each task's documents, and in how many of them each term is (term -1: the documents)."""
 
     def run(batches):
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(terms * _HASH) >> _SHIFT] = True
+        terms = vocabulary.value
+        df, total = np.zeros(len(terms), np.int64), 0
+        for part in by_bytes(batches, 2 << 20):
+            df += np.bincount(features(terms, part.column(0))[1], minlength=len(terms))
+            total += part.num_rows
+        found = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total])], names=["term", "df"])
+        for k in range(0, len(found), 100_000):
+            part = found[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(df[part])], names=["term", "df"])
+
+    return run
+
+
+def _examples(vocabulary):
+    def run(batches):
         for batch in by_bytes(batches, 2 << 20):
-            g, of = grams(*texts(batch.column(1)))
-            hit = np.flatnonzero(maybe[(g * _HASH) >> _SHIFT])
-            g, of = g[hit], of[hit]
-            place = np.searchsorted(terms, g)
-            place[place == len(terms)] = 0
-            same = terms[place] == g if len(terms) else np.zeros(0, bool)
-            keys, times = np.unique(of[same] * len(terms) + place[same] if len(terms) else np.zeros(0, np.int64), return_counts=True)
-            rows, place = np.divmod(keys, max(1, len(terms)))
-            offs = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offs), pa.array(x.astype(np.int32))) for x in (place, times)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "terms", "times"])
+            offs, place, times = features(vocabulary.value, batch.column(2))
+            lists = [pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (place, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "terms", "times"])
 
     return run
 
 
 class Index:
-    """Block-max inverted index of unit vectors. examples: (doc_id, toxic, terms, times)."""
+    """Unit vectors of examples, for cosines with `block` texts at a time. examples: (doc_id, toxic, terms, times)."""
 
     def __init__(self, examples: list, idf: np.ndarray, weight: tuple[float, float], block: int = BLOCK):
         self.idf, self.block = idf, block
@@ -94,81 +117,100 @@ class Index:
         kept = []
         for doc, toxic, terms, times in examples:
             if len(terms):
-                kept.append((doc, toxic, np.asarray(terms), self.unit(terms, times)))
+                kept.append((doc, toxic, np.asarray(terms, np.int32), self.unit(terms, times)))
             else:
                 self.rest[toxic] += weight[toxic]
-        kept.sort(key=lambda x: (x[1], int(x[2][x[3].argmax()]), x[0]))  # like by like, so that bounds are tight
+        kept.sort(key=lambda x: x[0])
         self.ids = np.array([x[0] for x in kept], np.int64)
         self.toxic = np.array([x[1] for x in kept], np.int64)
         self.votes = np.array([weight[x[1]] for x in kept])
-        self.blocks = -(-len(kept) // block)
-        t = np.concatenate([x[2] for x in kept]) if kept else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(len(kept)), [len(x[2]) for x in kept]) if kept else np.zeros(0, np.int64)
-        v = np.concatenate([x[3] for x in kept]) if kept else np.zeros(0)
-        order = np.lexsort((row, t))
-        self.rows, self.values, t = row[order], v[order], t[order]
-        cell = t * max(1, self.blocks) + self.rows // block
-        self.starts = np.searchsorted(cell, np.arange(len(idf) * max(1, self.blocks) + 1))
-        self.most = np.zeros(len(idf) * max(1, self.blocks))
-        np.maximum.at(self.most, cell, self.values)
-        self.most = self.most.reshape(len(idf), max(1, self.blocks))
+        self.starts = np.cumsum([0, *(len(x[2]) for x in kept)])
+        self.terms = np.concatenate([x[2] for x in kept]) if kept else np.zeros(0, np.int32)
+        self.values = np.concatenate([x[3] for x in kept]) if kept else np.zeros(0)
         self.base = (sum(self.votes[self.toxic == 1]) + self.rest[1]) / max(1e-9, sum(self.votes) + sum(self.rest))
         self.none = (self.rest[1] + PRIOR * self.base) / (sum(self.rest) + PRIOR) if examples else 0.0
-        self.seen: dict = {}
         self.laid = None
 
-    def postings(self) -> np.ndarray:
-        """The postings of each term (rows), block after block: laid out once in each worker, TERMS x 2 * PER_LABEL."""
+    def postings(self):
+        """Laid out once in each worker: column of each frequent term (or -1), their matrix, and the others' postings."""
         if self.laid is None:
-            self.laid = np.zeros((len(self.idf), max(1, self.blocks) * self.block))
-            term = np.repeat(np.arange(len(self.idf)), np.diff(self.starts[:: max(1, self.blocks)]))
-            self.laid[term, self.rows] = self.values
+            count = np.bincount(self.terms, minlength=len(self.idf))
+            often = np.argsort(-count, kind="stable")[:DENSE]
+            often = often[count[often] >= max(2, SHARE * len(self.ids))]
+            column = np.full(len(self.idf), -1)
+            column[often] = np.arange(len(often))
+            row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
+            dense = column[self.terms] >= 0
+            matrix = np.zeros((len(often), len(self.ids)), np.float32)
+            matrix[column[self.terms[dense]], row[dense]] = self.values[dense]
+            order = np.flatnonzero(~dense)
+            order = order[np.argsort(self.terms[order], kind="stable")]
+            starts = np.searchsorted(self.terms[order], np.arange(len(self.idf) + 1))
+            self.laid = column, matrix, starts, row[order], self.values[order]
         return self.laid
 
     def unit(self, terms, times) -> np.ndarray:
         w = (1 + np.log(np.asarray(times, float))) * self.idf[np.asarray(terms)]
         return w / max(1e-12, float(np.sqrt((w * w).sum())))
 
+    def cosines(self, queries: list) -> np.ndarray:
+        """Cosines of some texts, each (terms, unit vector), with all examples, in single precision."""
+        column, matrix, starts, rows, values = self.postings()
+        q = np.zeros((len(queries), len(matrix)), np.float32)
+        for k, (terms, w) in enumerate(queries):
+            at = column[terms]
+            q[k, at[at >= 0]] = w[at >= 0]
+        out = q @ matrix
+        for k, (terms, w) in enumerate(queries):
+            rare = column[terms] < 0
+            begin, size = starts[terms[rare]], starts[terms[rare] + 1] - starts[terms[rare]]
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out[k] += np.bincount(rows[at], weights=values[at] * np.repeat(w[rare], size), minlength=len(self.ids))
+        return out
+
+    def best(self, terms, w, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        some = np.flatnonzero(near > 0)
+        if len(some) > k:
+            some = some[near[some] >= np.partition(near[some], -k)[-k] - SLACK]
+        size = self.starts[some + 1] - self.starts[some]
+        at = np.repeat(self.starts[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        place = np.minimum(np.searchsorted(terms, self.terms[at]), len(terms) - 1)
+        product = np.where(terms[place] == self.terms[at], w[place], 0.0) * self.values[at]
+        cosine = np.bincount(np.repeat(np.arange(len(some)), size), weights=product, minlength=len(some))
+        if len(some) > k:
+            good = cosine >= np.partition(cosine, -k)[-k] - 1e-9
+            some, cosine = some[good], cosine[good]
+        order = np.lexsort((some, -np.round(cosine, 9)))
+        return some[order], cosine[order]
+
     def nearest(self, terms, times, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
-        """Examples with a cosine above 0 and not below the k-th best, and their cosines, best first."""
-        terms, q = np.asarray(terms), self.unit(terms, times)
-        bound = q @ self.most[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, cosine = np.zeros(0, np.int64), np.zeros(0)
-        floor, at, step = 0.0, 0, 4
-        while at < len(order) and bound[order[at]] >= floor - 1e-9:
-            own = (order[at : at + step, None] * self.block + np.arange(self.block)).ravel()
-            score = q @ self.postings()[np.ix_(terms, own)]
-            good = (score > 0) & (score >= floor - 1e-9)
-            found, cosine = np.append(found, own[good]), np.append(cosine, score[good])
-            if len(cosine) >= k:
-                floor = np.partition(cosine, -k)[-k]
-                found, cosine = found[cosine >= floor - 1e-9], cosine[cosine >= floor - 1e-9]
-            at, step = at + step, step * 2
-        order = np.lexsort((found, -np.round(cosine, 9)))
-        return found[order], cosine[order]
-
-    def score(self, terms, times) -> tuple[float, list[int], list[float]]:
-        if not len(terms) or not len(self.ids):
-            return self.none, [], []
-        key = (tuple(terms), tuple(times))
-        if key not in self.seen:
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            found, cosine = self.nearest(terms, times)
-            w = self.votes[found] / (1.05 - np.minimum(1.0, cosine))
-            unit = self.votes.mean()
-            value = (float((w * self.toxic[found]).sum()) + PRIOR * unit * self.base) / (float(w.sum()) + PRIOR * unit)
-            self.seen[key] = (value, self.ids[found[:3]].tolist(), np.round(cosine[:3], 6).tolist())
-        return self.seen[key]
+        """Examples with a cosine above 0 and not below the k-th best, and their cosines, best first. terms: ascending."""
+        terms, w = np.asarray(terms), self.unit(terms, times)
+        return self.best(terms, w, self.cosines([(terms, w)])[0], k)
+
+    def score(self, offs: np.ndarray, terms: np.ndarray, times: np.ndarray) -> list[tuple[float, list[int], list[float]]]:
+        """Score, nearest doc_ids and their cosines of each text, whose terms and times lie between its offsets."""
+        out = [(self.none, [], [])] * (len(offs) - 1)
+        if not len(self.ids):
+            return out
+        some = np.flatnonzero(np.diff(offs))
+        unit = self.votes.mean()
+        for k in range(0, len(some), self.block):
+            part = some[k : k + self.block]
+            queries = [(terms[s], self.unit(terms[s], times[s])) for s in (slice(offs[i], offs[i + 1]) for i in part)]
+            for i, (t, w), near in zip(part, queries, self.cosines(queries), strict=True):
+                found, cosine = self.best(t, w, near, NEAREST)
+                v = self.votes[found] / (1.05 - np.minimum(1.0, cosine))
+                value = (float((v * self.toxic[found]).sum()) + PRIOR * unit * self.base) / (float(v.sum()) + PRIOR * unit)
+                out[i] = (value, self.ids[found[:3]].tolist(), np.round(cosine[:3], 6).tolist())
+        return out
 
 
 def fold():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, terms: int = TERMS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (doc_ids of the nearest examples), evidence_cosine of each row."""
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -176,39 +218,36 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABE
     counts = {r[0]: r[1] for r in learnable.groupBy("toxic").count().collect()}
     picks = [learnable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     sample = cut(picks[0].unionByName(picks[1]))  # 2 * per_label rows at most, so it may be broadcast
-    marked = d.join(F.broadcast(sample), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    marked = cut(d.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"))
     n1 = max(1, min(counts.get(1, 0), per_label))
     n0 = max(1, min(counts.get(0, 0), per_label))
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
-    chi2 = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / ((a + b) * (n1 + n0 - a - b) * n1 * n0)
-    chosen = (
-        marked.mapInArrow(_term_counts, "term long, toxic long, clean long")
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((a + b >= LEAST_DF) & (a + b < n1 + n0))
-        .withColumn("chi2", chi2)
-        .where((F.col("chi2") >= LEAST_CHI2) & (a * n0 > b * n1))
-        .orderBy(F.desc("chi2"), "term")
-        .limit(terms)
-    )
-    vocabulary = np.array(sorted(r[0] for r in chosen.collect()), np.uint64)
-    found = cut(d.mapInArrow(_features(vocabulary), "doc_id long, terms array<int>, times array<int>"))
-    total = found.count()
-    df = {r[0]: r[1] for r in found.select(F.explode("terms").alias("term")).groupBy("term").count().collect()}  # TERMS rows
-    idf = np.log((total + 1) / (np.array([df.get(i, 0) for i in range(len(vocabulary))], float) + 1)) + 1
-    examples = found.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", F.col("toxic").cast("int"), "terms", "times").collect()
+    counted = marked.select("text", "toxic").mapInArrow(_term_counts, "term long, toxic long, clean long")
+    found = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).orderBy("term").toArrow()
+    terms = found["term"].to_numpy().astype(np.uint64)
+    vocabulary = spark.sparkContext.broadcast(terms)
+    seen = d.select("text").mapInArrow(_frequencies(vocabulary), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    place, times = seen["term"].to_numpy(), seen["df"].to_numpy()
+    df = np.zeros(len(terms))
+    df[place[place >= 0]] = times[place >= 0]
+    idf = np.log((times[place < 0].sum() + 1) / (df + 1)) + 1
+    a, b = np.minimum(found["toxic"].to_numpy(), n1).astype(float), np.minimum(found["clean"].to_numpy(), n0).astype(float)
+    chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (np.maximum(1, (a + b) * (n1 + n0 - a - b)) * n1 * n0)
+    got = marked.dropDuplicates(["doc_id"]).mapInArrow(_examples(vocabulary), "doc_id long, toxic int, terms array<int>, times array<int>").toArrow()
+    lists = [got[c].combine_chunks() for c in ("terms", "times")]
+    ids, toxic = got["doc_id"].to_pylist(), got["toxic"].to_pylist()
+    examples = [(ids[i], toxic[i], *(x[i].values.to_numpy() for x in lists)) for i in range(len(ids))]
     weight = tuple(counts.get(y, 0) / max(1, min(counts.get(y, 0), per_label)) for y in (0, 1))
-    index = spark.sparkContext.broadcast(Index([tuple(r) for r in examples], idf, weight))
+    index = spark.sparkContext.broadcast(Index(examples, idf * (LEAST_Z + np.sqrt(chi2)), weight))
 
     def run(batches):
-        for batch in batches:
-            got = [index.value.score(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        for batch in by_bytes(batches, 2 << 20):
+            got = index.value.score(*features(vocabulary.value, batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 names=["doc_id", "score", "evidence", "evidence_cosine"],
             )
 
-    scored = found.mapInArrow(run, "doc_id long, score double, evidence array<long>, evidence_cosine array<double>")
+    scored = d.mapInArrow(run, "doc_id long, score double, evidence array<long>, evidence_cosine array<double>")
     return scored.select("doc_id", F.coalesce(fold() == HELD, F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUTOFF).cast("int").alias("predicted"), "evidence", "evidence_cosine")
 
 
