@@ -362,6 +362,64 @@ def test_lm_scores_match_a_plain_count(spark):
             assert got[i][name] == pytest.approx(want, rel=1e-4)
 
 
+def test_lm_word_scores_match_a_plain_count(spark, none):
+    texts = [None, "", " \n", "a", "abc abd abc", "The cat. The cat!", " the cat\tsat  ", "zz " * 50, "\u6f22\u5b57 \u00c9t\u00e9 ABC abd", "the cat sat", "sat cat the"]
+    ids = [*range(9), 5, None]
+    d = spark.createDataFrame(rows(texts, ids), DOCS)
+    found = lm_scoring.score_words(d, spark.createDataFrame([(4,), (6,)], "doc_id long"), 3).collect()
+    got = sorted(((x["n_tokens"], x["target_loss"], x["background_loss"]) for x in found), key=repr)
+    cls = [[lm_scoring.START] * 3 + [int(lm_scoring.CLASS[b]) for b in (t or "").encode()] for t in texts]
+
+    def losses(own):
+        c, g = Counter(), Counter()
+        for i in own:
+            s = cls[i]
+            for k in range(3, len(s)):
+                for n in range(4):
+                    c[tuple(s[k - n : k + 1])] += 1
+                    c["c", tuple(s[k - n : k])] += 1
+            w = [None, *(x.translate(AZ) for x in WORD.findall(texts[i] or ""))]
+            g["n"] += len(w) - 1
+            g[None] += len(w) > 1
+            for x, y in zip(w, w[1:], strict=False):
+                g[y] += 1
+                g[x, y] += 1
+        out = []
+        for t, s in zip(texts, cls, strict=True):
+            at, before, bits = 0, None, []
+            for m in WORD.finditer(t or ""):
+                end, spelt = len(t[: m.end()].encode()), 1.0
+                for k in range(at + 3, end + 3):
+                    p = 1 / lm_scoring.K
+                    for n in range(4):
+                        p = (c[tuple(s[k - n : k + 1])] + 10 * p) / (c["c", tuple(s[k - n : k])] + 10)
+                    spelt *= p
+                y = m.group().translate(AZ)
+                one = (g[y] + 10 * spelt) / (g["n"] + 10)
+                bits.append(-np.log2((g[before, y] + 10 * one) / (g[before] + 10)))
+                at, before = end, y
+            out.append(np.mean(bits) if bits else None)
+        return out
+
+    target, background = losses([4, 6]), losses(range(len(texts)))
+    want = sorted(((len(WORD.findall(t or "")), a, b) for t, a, b in zip(texts, target, background, strict=True)), key=repr)
+    for x, y in zip(got, want, strict=True):
+        assert x[0] == y[0] and (x[1:] == y[1:] if y[1] is None else x[1:] == pytest.approx(y[1:], rel=1e-4))
+    assert lm_scoring.score_words(none, none.select("doc_id")).count() == 0
+
+
+def test_lm_query_tells_words_of_the_same_letters_apart(spark, tmp_path):
+    """The word order of the target is what differs; capitals, digits and non-Latin words too are words of their own."""
+    a, b = "\u043c\u0438\u0440 \u0434\u043e\u043c", "\u0434\u043e\u043c \u043c\u0438\u0440"
+    texts = [" ".join([("x " + a + " y") if i % 2 else ("x " + b + " y")] * 20) for i in range(60)]
+    d = spark.createDataFrame(rows(texts), DOCS)
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x["doc_id"]: x for x in lm_scoring.op2_lm_scoring(spark, str(tmp_path)).collect()}
+    assert all(x["n_tokens"] == 80 for x in got.values())
+    assert max(got[i]["score"] for i in range(31, 60, 2)) + 1 < min(got[i]["score"] for i in range(30, 60, 2))
+
+
 def test_sketches(spark, odd):
     texts = ["", None, "a", "a b c d e f g", " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(40, 440)), "é" * 9, "x y"]
     ids = [5, 3, 1, 0, 9, 8, None, 2]
