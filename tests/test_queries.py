@@ -31,3 +31,19 @@ def test_sql_is_of_queries():
 def test_kernels_repeat(spark, sf, name):
     one, other = (sorted(map(repr, catalogue.QUERIES[name](spark, sf).collect())) for _ in range(2))
     assert one == other and one
+
+
+def test_forest_queries_take_all_samples(spark, sf):
+    n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    for name in ("enhanced_forest_prox", "merged_leaves"):
+        got = catalogue.QUERIES[name](spark, sf)
+        column = next(c for c in ("i", "sample_idx") if c in got.columns)
+        assert got.select(column).distinct().count() == n, name
+
+
+@pytest.mark.parametrize("name", ["adaptive_filter", "ensemble_importance"])
+def test_forests_are_given_all_samples(spark, sf, name, monkeypatch):
+    n, seen, grow = spark.read.parquet(f"{sf}/embeddings.parquet").count(), [], catalogue.two_blocks
+    monkeypatch.setattr(catalogue, "two_blocks", lambda *args: seen.append(grow(*args)) or seen[-1])
+    assert catalogue.QUERIES[name](spark, sf).count() > 0
+    assert [len(x) for x in seen[0]] == [n] * 3

@@ -694,10 +694,8 @@ def _(spark, sf):
 # kernels: no SQL
 
 
-def two_blocks(spark, sf, samples: int | None = None):
+def two_blocks(spark, sf):
     d = B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id", "embedding", "label"])
-    if samples:
-        d = d.where(F.col("vec_id") < samples)
     got = d.orderBy("vec_id").toPandas()
     x = np.stack(got["embedding"]).astype(float)
     x = (x - x.mean(0)) / x.std(0, ddof=1)
@@ -768,7 +766,7 @@ def _(spark, sf):
 
 @query("adaptive_filter")
 def _(spark, sf):
-    a, b, _l = two_blocks(spark, sf, 120)
+    a, b, _l = two_blocks(spark, sf)
     control = forest.Control(trees=4, nodesize=8)
     f = forest.fit(spark, b, a, control)
     names = {"X": [f"x{k}" for k in range(32)], "Y": [f"y{k}" for k in range(32)]}
@@ -782,8 +780,8 @@ def _(spark, sf):
         ])
         _nodes, m = forest.tables(grown, list(range(len(a))))
         values = spark.createDataFrame([(i, "X" if k < 32 else "Y", f"f{k}", float(v)) for i, row in enumerate(np.hstack([b, a])) for k, v in enumerate(row)], "sample_idx int, block string, feature string, value double")
-        w = leaves.oob_weights(m.withColumn("tree", F.struct("conn_id", "tree")).withColumn("sample_idx", F.col("conn_id") * 1000 + F.col("sample_idx")))
-        x = spark.range(len(jobs)).select(F.col("id").cast("int").alias("c")).crossJoin(values).withColumn("sample_idx", F.col("c") * 1000 + F.col("sample_idx"))
+        w = leaves.oob_weights(m.withColumn("tree", F.struct("conn_id", "tree")).withColumn("sample_idx", F.col("conn_id").cast("long") * len(a) + F.col("sample_idx")))
+        x = spark.range(len(jobs)).select(F.col("id").cast("int").alias("c")).crossJoin(values).withColumn("sample_idx", F.col("c").cast("long") * len(a) + F.col("sample_idx"))
         keep = spark.createDataFrame([(k, f"f{names[s].index(n) + 32 * (s == 'Y')}") for k, (t, _s) in enumerate(jobs) for s in "XY" for n in kept[t][s]], "c int, feature string")
         x = x.join(keep, ["c", "feature"], "left_semi")
         p = w.join(x.withColumnRenamed("sample_idx", "j"), "j").groupBy("i", "c", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("p"))
@@ -805,13 +803,13 @@ def _(spark, sf):
 
 @query("enhanced_forest_prox")
 def _(spark, sf):
-    a, b, _l = two_blocks(spark, sf, 200)
+    a, b, _l = two_blocks(spark, sf)
     return leaves.enhanced_of(forest.fit(spark, b, a, forest.Control(trees=6, nodesize=10)))
 
 
 @query("merged_leaves")
 def _(spark, sf):
-    a, b, _l = two_blocks(spark, sf, 200)
+    a, b, _l = two_blocks(spark, sf)
     f = forest.fit(spark, b, a, forest.Control(trees=6, nodesize=10))
     return merging.merged_membership(f, leaves.embeddings_of(f))
 
@@ -824,7 +822,7 @@ def _(spark, sf):
 
 @query("ensemble_importance")
 def _(spark, sf):
-    a, b, _l = two_blocks(spark, sf, 150)
+    a, b, _l = two_blocks(spark, sf)
     parts = reconstruct.fit_connections_subsampled(spark, {"A": (a, None), "B": (b, None)}, [("A", "B")], n_sub=3, trees=4, small=20, least_y=8, least_x=8)[0]
     return reconstruct.ensemble_importance(parts)
 
