@@ -47,3 +47,15 @@ def test_forests_are_given_all_samples(spark, sf, name, monkeypatch):
     monkeypatch.setattr(catalogue, "two_blocks", lambda *args: seen.append(grow(*args)) or seen[-1])
     assert catalogue.QUERIES[name](spark, sf).count() > 0
     assert [len(x) for x in seen[0]] == [n] * 3
+
+
+def test_tsne_places_all_samples(spark, sf):
+    got = catalogue.QUERIES["tsne"](spark, sf).toPandas()
+    assert len(got) == spark.read.parquet(f"{sf}/embeddings.parquet").count() and got.notna().all(axis=None)
+
+
+def test_cluster_imd_fits_the_whole_response(spark, sf, monkeypatch):
+    seen, fit = [], catalogue.forest.fit
+    monkeypatch.setattr(catalogue.forest, "fit", lambda spark, x, y, control: seen.append((x, y)) or fit(spark, x, y, control))
+    assert catalogue.QUERIES["cluster_imd"](spark, sf).count() > 0
+    assert seen[0][0].shape[1] == seen[0][1].shape[1] == 32

@@ -797,7 +797,7 @@ def _(spark, sf):
 @query("cluster_imd")
 def _(spark, sf):
     a, b, l = two_blocks(spark, sf)  # noqa: E741
-    f = forest.fit(spark, b, a[:, :6], forest.Control(trees=6, nodesize=20))
+    f = forest.fit(spark, b, a, forest.Control(trees=6, nodesize=20))
     return importance.cluster_imd(f, reports.labels_frame(spark, range(len(l)), l).withColumn("sample_idx", F.col("sample_idx").cast("int")))[0]
 
 
@@ -864,7 +864,7 @@ def _(spark, sf):
     s, _n = _similarity(spark, sf)
     from thicket.functions.tsne import tsne
 
-    y = tsne(s[:150, :150] + 1e-6, rounds=60, seed=1)["embedding"]
+    y = tsne(s + 1e-6, rounds=60, seed=1)["embedding"]
     return spark.createDataFrame([(i, float(p), float(q)) for i, (p, q) in enumerate(y)], "sample_idx int, x double, y double")
 
 
