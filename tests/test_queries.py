@@ -59,3 +59,17 @@ def test_cluster_imd_fits_the_whole_response(spark, sf, monkeypatch):
     monkeypatch.setattr(catalogue.forest, "fit", lambda spark, x, y, control: seen.append((x, y)) or fit(spark, x, y, control))
     assert catalogue.QUERIES["cluster_imd"](spark, sf).count() > 0
     assert seen[0][0].shape[1] == seen[0][1].shape[1] == 32
+
+
+@pytest.mark.parametrize("name", ["spectral_labels", "pam_labels", "stability", "tsne", "ao_fusion", "reconstruct_spectral"])
+def test_queries_without_sql_take_all_dims(spark, sf, name, monkeypatch):
+    class Taken(Exception):
+        pass
+
+    def weights(m):
+        raise Taken(m.agg({"tree": "max"}).first()[0], m.select("tree").distinct().count())
+
+    monkeypatch.setattr(catalogue.leaves, "forest_weights", weights)
+    with pytest.raises(Taken) as e:
+        catalogue.QUERIES[name](spark, sf)
+    assert e.value.args == ((63, 64) if name not in ("ao_fusion", "reconstruct_spectral") else (62, 32))

@@ -20,6 +20,7 @@ from thicket.plans import pipeline, reconstruct
 from thicket.sources import blocks as B
 
 DIGITS = 8
+DIMS = 64
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -69,8 +70,9 @@ def E(spark: SparkSession, sf: str) -> DataFrame:
     return B.from_arrays(B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id", "embedding"]), "vec_id", "embedding", {"A": (0, 32), "B": (32, 64)})
 
 
-def M(spark, sf) -> DataFrame:
-    e = B.from_arrays(B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id", "embedding"]), "vec_id", "embedding", {"A": (0, 8)})
+def M(spark, sf, dims: int = 8) -> DataFrame:
+    """Leaves of the first dims as in M_SQL; queries without SQL take all DIMS."""
+    e = B.from_arrays(B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id", "embedding"]), "vec_id", "embedding", {"A": (0, dims)})
     return e.select(F.col("feature_idx").alias("tree"), "sample_idx", F.floor(4 * F.col("value")).cast("int").alias("leaf"), ((7 * F.col("sample_idx") + 13 * F.col("feature_idx")) % 3).cast("int").alias("inbag"))
 
 
@@ -80,12 +82,12 @@ def N(spark) -> DataFrame:
     return base.select("tree", "node", F.floor(F.log2("node") + 1e-9).cast("int").alias("depth"), ((31 * t + 17 * k) % 10).alias("split_var"), ((13 * t + 7 * k) % 6).alias("msrv"))
 
 
-def W(spark, sf) -> DataFrame:
-    return leaves.forest_weights(M(spark, sf))
+def W(spark, sf, dims: int = 8) -> DataFrame:
+    return leaves.forest_weights(M(spark, sf, dims))
 
 
-def two_models(spark, sf) -> DataFrame:
-    m = M(spark, sf)
+def two_models(spark, sf, dims: int = 8) -> DataFrame:
+    m = M(spark, sf, dims)
     a, b = (leaves.forest_weights(m.where(F.col("tree") % 2 == k)).withColumn("model", F.lit(n)) for k, n in ((0, "A_B"), (1, "B_A")))
     return a.unionByName(b)
 
@@ -744,7 +746,7 @@ def _(spark, sf):
 
 def _similarity(spark, sf):
     n = labels(spark, sf).count()
-    return pipeline.dense(X.second_order(X.prepare(W(spark, sf), 10)), n), n
+    return pipeline.dense(X.second_order(X.prepare(W(spark, sf, DIMS), 10)), n), n
 
 
 @query("spectral_labels")
@@ -817,7 +819,7 @@ def _(spark, sf):
 @query("reconstruct_spectral")
 def _(spark, sf):
     n = labels(spark, sf).count()
-    return reports.labels_frame(spark, range(n), reconstruct.reconstruct_and_cluster(two_models(spark, sf), two_scores(spark), n, 4)["labels"])
+    return reports.labels_frame(spark, range(n), reconstruct.reconstruct_and_cluster(two_models(spark, sf, DIMS), two_scores(spark), n, 4)["labels"])
 
 
 @query("ensemble_importance")
@@ -853,7 +855,7 @@ def _(spark, sf):
 @query("stability")
 def _(spark, sf):
     s, n = _similarity(spark, sf)
-    w = X.second_order(X.prepare(W(spark, sf), 10))
+    w = X.second_order(X.prepare(W(spark, sf, DIMS), 10))
     base = C.spectral(s, [4])["labels"]
     fit = pipeline.Fit(spark, {}, None, list(range(n)), [])
     return pipeline.stability(fit, w, base, 4, repetitions=6)["base"]
@@ -871,7 +873,7 @@ def _(spark, sf):
 @query("ao_fusion")
 def _(spark, sf):
     n = labels(spark, sf).count()
-    two = X.prepare(two_models(spark, sf), 10, ["model"])
+    two = X.prepare(two_models(spark, sf, DIMS), 10, ["model"])
     got = C.fuse_alternating([pipeline.dense(two.where(F.col("model") == m), n) for m in ("A_B", "B_A")], 4)
     return spark.createDataFrame([("A_B", float(got["shares"][0])), ("B_A", float(got["shares"][1]))], "model string, alpha double")
 
