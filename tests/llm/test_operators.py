@@ -520,6 +520,14 @@ def test_toxicity_learns_rare_and_short_words(spark):
     assert min(got[i]["score"] for i in bad) > np.mean(clean)
 
 
+def test_language_model_shares_its_bound_among_rows():
+    rows_ = [np.full(n, k, np.uint8) for k, n in enumerate([3, 100, 40, 100])]
+    assert np.bincount(language_id.shared(rows_, 63)).tolist() == [3, 20, 20, 20]
+    assert len(language_id.shared(rows_, 1000)) == 243 and len(language_id.shared([], 9)) == 0
+    model = language_id.Model({"aa": ["ab" * 50, "xyz" * 30], "bb": ["q" * 90]}, 2 * 40 * 2 * language_id.ALPHABET * 4)
+    assert model.phrases(language_id.symbols(*_text.texts(__import__("pyarrow").array(["xyzxyz"])))[0], np.array([6]))[0, 0] == 1  # learned from the second row
+
+
 def test_empty_tables(spark, none, odd):
     assert minhash_dedup.near_duplicates(none).count() == 0
     assert minhash_dedup.keep_one(none).count() == 0

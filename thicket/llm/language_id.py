@@ -7,8 +7,8 @@ one separator, longer code points by their bytes. All languages are parsed in st
 symbols at a time by table look-up; a phrase ends with its segment, which costs every language the same.
 
 Labelled text is a bounded sample: of each language, some ROWS_PER_LANG rows by hash of doc_id, up to CHARS_PER_ROW
-characters of each, at a place that the hash chooses, and at most MODEL_BYTES of tables in all. Every language gets the
-same length of text at most. Prediction reads whole texts and nothing else.
+characters of each, at a place that the hash chooses, and at most MODEL_BYTES of tables in all, which is the tighter bound:
+each language gets an equal length of text at most, an equal share of every drawn row. Prediction reads whole texts and nothing else.
 
 Null texts and texts without a letter are `und` with score 0. If nothing can be learned, everything is `und`. Score: the
 share of the winner when each language weighs 2^-(its bits above the winner's / 8). Repeated rows each count; an empty
@@ -86,15 +86,24 @@ def table(go: list[dict[int, int]]) -> np.ndarray:
     return t.astype(np.int32).ravel()
 
 
+def shared(rows: list[np.ndarray], most: int) -> np.ndarray:
+    """At most `most` symbols of the rows, an equal share of each; what short rows leave goes to the longer ones."""
+    take, left = [0] * len(rows), most
+    for nth, k in enumerate(sorted(range(len(rows)), key=lambda k: len(rows[k]))):
+        take[k] = min(len(rows[k]), left // (len(rows) - nth))
+        left -= take[k]
+    return np.concatenate([r[:n] for r, n in zip(rows, take, strict=True)] or [np.zeros(0, np.uint8)])
+
+
 class Model:
     """langs, and for each its table and the bits that a phrase costs."""
 
     def __init__(self, labelled: dict[str, list[str]], model_bytes: int = MODEL_BYTES):
         self.langs = sorted(labelled)
-        parts = {k: np.concatenate([symbols(*texts(pa.array([t])))[0] for t in v] or [np.zeros(0, np.uint8)]) for k, v in labelled.items()}
-        most = model_bytes // max(1, len(parts)) // (2 * ALPHABET * 4)
-        tables = [table(automaton(parts[k][:most])) for k in self.langs]
-        self.bits = np.array([np.log2(max(2, min(most, len(parts[k])))) for k in self.langs])
+        most = model_bytes // max(1, len(labelled)) // (2 * ALPHABET * 4)
+        parts = {k: shared([symbols(*texts(pa.array([t])))[0] for t in v], most) for k, v in labelled.items()}
+        tables = [table(automaton(parts[k])) for k in self.langs]
+        self.bits = np.array([np.log2(max(2, len(parts[k]))) for k in self.langs])
         self.base = np.cumsum([0, *map(len, tables)])[:-1]
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
