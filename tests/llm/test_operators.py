@@ -481,11 +481,12 @@ def test_toxicity(spark, none):
 
 def test_nearest_examples_are_exact():
     r = np.random.default_rng(6)
-    idf = r.random(50) + 0.5
-    examples = [(i, int(r.random() < 0.3), t := np.sort(r.choice(50, r.integers(1, 9), False)), r.integers(1, 4, len(t))) for i in range(700)]
-    index = toxicity.Index(examples, idf, (1.0, 1.0), block=16)
+    weight = r.random(50) + 0.5
+    lists = [(np.sort(r.choice(50, k, False)), r.integers(1, 4, k)) for k in r.integers(1, 9, 700)]
+    index = toxicity.Index([(i, int(r.random() < 0.3), toxicity.packed(*x)) for i, x in enumerate(lists)], weight, block=16)
     dense = np.zeros((700, 50))
-    for i, _, t, n in examples:
+    for i, (t, n) in enumerate(lists):
+        assert all((x == y).all() for x, y in zip(toxicity.unpacked(toxicity.packed(t, n)), (t, n), strict=True))
         dense[i, t] = index.unit(t, n)
     for _ in range(50):
         t = np.sort(r.choice(50, 5, False))
@@ -499,6 +500,82 @@ def test_nearest_examples_are_exact():
         assert np.allclose(value, np.sort(cosine[index.ids[found]])[::-1])
 
 
+def plain_terms(text):
+    out = Counter()
+    for w in re.split(rb"[\x20\x09-\x0D]+", (text or "").translate(AZ).encode()):
+        if 0 < len(w) < 4:
+            out[b" " + w + b" "] += 1
+        w = b" " + w
+        out.update(w[k : k + 5] for k in range(len(w) - 4))
+    return out
+
+
+def plain_fit(examples, df, total):
+    """[(terms, toxic)] -> a function from terms to the share of toxic votes."""
+    n1 = sum(y for _, y in examples)
+    n0, weight = len(examples) - n1, {}
+    for t in {t for x, _ in examples for t in x}:
+        a, b = (sum(t in x for x, y in examples if y == label) for label in (1, 0))
+        chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (max(1, (a + b) * (n1 + n0 - a - b)) * n1 * n0)
+        lean = 1 if a * n0 > b * n1 else toxicity.CLEAN
+        weight[t] = (np.log((total + 1) / (df[t] + 1)) + 1) * (toxicity.LEAST + np.sqrt(chi2) * lean)
+
+    def unit(x):
+        v = {t: (1 + np.log(n)) * weight[t] for t, n in x.items() if t in weight}
+        size = np.sqrt(sum(c * c for c in v.values()))
+        return {t: c / size for t, c in v.items()}
+
+    units, base, prior = [(unit(x), y) for x, y in examples], n1 / len(examples), toxicity.PRIOR
+
+    def share(x):
+        q = unit(x)
+        if not q:
+            bare = [y for u, y in units if not u]
+            return (sum(bare) + prior * base) / (len(bare) + prior)
+        near = sorted(((sum(q[t] * c for t, c in u.items() if t in q), y) for u, y in units if u), reverse=True)
+        near = [(c, y) for c, y in near if c > 1e-12]
+        near = [(c, y) for c, y in near if c >= near[min(len(near), toxicity.NEAREST) - 1][0] - 1e-9]
+        votes = [(1 / (1.05 - min(1, c)), y) for c, y in near]
+        return (sum(v for v, y in votes if y) + prior * base) / (sum(v for v, _ in votes) + prior)
+
+    return share
+
+
+def test_toxicity_is_what_a_plain_search_gives(spark):
+    """Terms, document frequencies, weights, neighbours, votes, folds and the curve, all anew and one at a time."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 8))) for _ in range(60)]
+    texts = [" ".join([*(r.choice(words) for _ in range(r.randint(0, 12))), *(["vile" + r.choice(words)] if i % 3 == 0 else [])]) for i in range(120)]
+    texts += [None, "", "\t", texts[0], "ZZZZZZZ", texts[3] * 40]
+    labels = [(i, 1 if i % 3 == 0 else i % 17 == 0) for i in range(110)]
+    d = spark.createDataFrame(rows(texts), DOCS)
+    parts = {x["doc_id"]: x["p"] for x in d.select("doc_id", F.expr("pmod(xxhash64(coalesce(text, '')), 4)").alias("p")).collect()}
+    old, _text.SLICE = _text.SLICE, 50
+    try:
+        terms, index = toxicity.fit(d.select("doc_id", "text"), spark.createDataFrame([(i, int(y)) for i, y in labels], "doc_id long, toxic int"))
+        share = index.shares(*toxicity.features(terms, pa.array(texts, pa.string())))
+        score = index.calibrated(np.array([s[0] for s in share]))
+    finally:
+        _text.SLICE = old
+    counts = [plain_terms(t) for t in texts]
+    df = Counter(t for x in counts for t in x)
+    examples = [(i, counts[i], int(y)) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    plain = plain_fit([x[1:] for x in examples], df, len(texts))
+    assert [s[0] for s in share] == pytest.approx([plain(x) for x in counts], abs=1e-6)
+    cross, toxic = [], np.array([y for *_, y in examples])
+    for i, x, _ in examples:
+        cross.append(plain_fit([e[1:] for e in examples if parts[e[0]] != parts[i]], df, len(texts))(x))
+    odds = lambda s: np.log(np.clip(s, 1e-6, 1 - 1e-6) / (1 - np.clip(s, 1e-6, 1 - 1e-6)))
+
+    def cost(a, b):
+        z = a * odds(np.array(cross)) + b
+        return np.logaddexp(0, np.where(toxic == 1, -z, z)).sum() + ((a - 1) ** 2 + b**2) / 2
+
+    a, b = index.line
+    assert all(cost(a, b) <= cost(a + x, b + z) for x in (-1e-3, 0, 1e-3) for z in (-1e-3, 0, 1e-3))
+    assert score == pytest.approx(1 / (1 + np.exp(-(a * odds(np.array([plain(x) for x in counts])) + b))), abs=1e-6)
+
+
 def test_toxicity_learns_rare_and_short_words(spark):
     """Each insult is in two labelled texts, too few for a floor on chi-square; some have three letters or fewer."""
     r = random.Random(9)

@@ -2,33 +2,42 @@
 
 Terms are runs of five bytes within a word, the space before it included, and whole words of three bytes or fewer; A-Z
 lower-cased. Insults are inflected and compounded, and such terms still meet. Every term of every example is indexed, whatever
-its label, length or rank. A term weighs by idf, times LEAST_Z plus the root of its chi-square between the examples' labels:
-so no term is without weight, and those that tell the labels apart count most. Document frequencies are counted over all
-documents. Terms that no example has can't meet one, so they are left out, also from a document's norm.
+its label, length or rank. A term weighs by idf, times LEAST plus the root of its chi-square between the examples' labels,
+of which a term that leans to clean ones gets the part CLEAN: so no term is without weight, and what tells the labels apart
+counts most. Document frequencies are counted over all documents. Terms that no example has can't meet one, so they are
+left out, also from a document's norm.
 
 A document is compared with all examples: frequent terms (in SHARE of the examples, DENSE of them at most) by a matrix
 product, the others by their postings; what comes within SLACK of the NEAREST-th best is computed anew in double precision, so
 the neighbours found are the exact ones (ties: all examples as near as the last are taken). Votes weigh by
-1 / (1 - cosine + 0.05), and by how many labelled rows an example stands for, with PRIOR votes of the base rate. A document
-without any term is as near to every example without one as to any: it gets the base rate among those.
+1 / (1.05 - cosine), with PRIOR votes of the examples' base rate; a document without any term is as near to every example
+without one as to any.
+
+The share of toxic votes is then calibrated: the examples are dealt to FOLDS_OUT folds by hash of their text, each fold is
+scored by the others (whose labels alone weigh the terms), and a logistic curve over the log odds of those shares is fitted,
+each example counting for as many learnable rows as it stands for. So a score is a chance in the learnable rows.
 
 Examples are a bounded sample: at most PER_LABEL learnable rows of each label, by hash of doc_id; their index is broadcast.
-Learnable: label not null, crc32(doc_id as text) mod 3 not 1. Null text counts as empty. Without examples every score is 0.
-Repeated rows each count; an empty table gives an empty result; further columns are ignored."""
+Learnable: label not null, crc32(doc_id as text) mod 3 not 1. Of several texts of one labelled doc_id the least is taken.
+Null text counts as empty. Without examples every score is 0; with examples of one label only, shares aren't calibrated. Texts
+are taken in slices that end at white space, so a long one needs no more memory than its distinct terms. Repeated rows each
+count; an empty table gives an empty result; further columns are ignored."""
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._common import cut, read
-from thicket.llm._text import LOWER, SPACE, by_bytes, texts
+from thicket.llm._text import LOWER, SPACE, _slices, by_bytes, texts
 
-PER_LABEL, LEAST_Z, BLOCK, NEAREST, PRIOR, CUTOFF = 4096, 0.25, 128, 15, 0.5, 0.7
+PER_LABEL, LEAST, CLEAN, BLOCK, NEAREST, PRIOR, CUTOFF = 4096, 0.25, 0.7, 256, 7, 0.5, 0.7
 SHARE, DENSE, SLACK = 1 / 16, 4096, 1e-4
-FOLDS, HELD = 3, 1
+FOLDS, HELD, FOLDS_OUT = 3, 1, 4
 
 
 def grams(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,31 +62,51 @@ def grams(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, np.searchsorted(offs[:-1] - offs[0] + np.arange(n), i, "right") - 1
 
 
-def _term_counts(batches):
-    for batch in by_bytes(batches, 2 << 20):
-        g, of = grams(*texts(batch.column(0)))
-        toxic = np.asarray(batch.column(1))
-        order = np.lexsort((of, g))
-        g, of = g[order], of[order]
-        new = np.append(True, (g[1:] != g[:-1]) | (of[1:] != of[:-1])) if len(g) else np.zeros(0, bool)
-        terms, inverse = np.unique(g[new], return_inverse=True)
-        one = np.bincount(inverse, weights=toxic[of[new]], minlength=len(terms)).astype(np.int64)
-        all_ = np.bincount(inverse, minlength=len(terms))
-        for k in range(0, len(terms), 100_000):
-            s = slice(k, k + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(terms[s].astype(np.int64)), pa.array(one[s]), pa.array((all_ - one)[s])], names=["term", "toxic", "clean"])
+def counted(column: pa.Array):
+    """(text, term, times) arrays of each slice of a column, ascending by term and then text."""
+    offs, data = texts(column)
+    for first, n, cuts in _slices(offs, data):
+        g, of = grams(cuts, data)
+        if n == 1:
+            terms, times = np.unique(g, return_counts=True)
+            yield np.full(len(terms), first), terms, times
+            continue
+        key = np.sort(g << np.uint64(24) | of.astype(np.uint64))
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        times = np.diff(np.append(at, len(key)))
+        yield first + (key[at] & np.uint64((1 << 24) - 1)).astype(np.int64), key[at] >> np.uint64(24), times
 
 
 def features(terms: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of texts, the places of their terms in `terms` (sorted), and how often each occurs."""
-    g, of = grams(*texts(column))
-    if not len(terms):
+    """Offsets of texts, the places of their terms in `terms` (sorted), ascending, and how often each occurs."""
+    rows, places, counts, last, again = [], [], [], -1, False
+    for of, g, times in counted(column):
+        if len(of) and len(terms):
+            place = np.minimum(np.searchsorted(terms, g), len(terms) - 1)
+            same = terms[place] == g
+            again |= int(of.min()) <= last
+            last = max(last, int(of.max()))
+            rows.append(of[same])
+            places.append(place[same])
+            counts.append(times[same])
+    if not rows:
         return np.zeros(len(column) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    place = np.minimum(np.searchsorted(terms, g), len(terms) - 1)
-    same = terms[place] == g
-    keys, times = np.unique(of[same] * len(terms) + place[same], return_counts=True)
-    rows, place = np.divmod(keys, len(terms))
-    return np.searchsorted(rows, np.arange(len(column) + 1)), place, times
+    of, place, times = map(np.concatenate, (rows, places, counts))
+    if again:  # a text in several slices
+        key, inverse = np.unique(of * len(terms) + place, return_inverse=True)
+        (of, place), times = np.divmod(key, len(terms)), np.bincount(inverse, weights=times).astype(np.int64)
+    else:
+        order = np.argsort(of.astype(np.uint16) if len(column) < 1 << 16 else of, kind="stable")
+        of, place, times = of[order], place[order], times[order]
+    return np.searchsorted(of, np.arange(len(column) + 1)), place, times
+
+
+def _vocabulary(batches):
+    for batch in by_bytes(batches, 2 << 20):
+        found = [np.unique(g) for _, g, _ in counted(batch.column(0))]
+        terms = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        for k in range(0, len(terms), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(terms[k : k + 100_000].astype(np.int64))], names=["term"])
 
 
 def _frequencies(vocabulary):
@@ -98,85 +127,130 @@ def _frequencies(vocabulary):
     return run
 
 
+def packed(place: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending places and their times in few bytes."""
+    both = np.stack([np.diff(place, prepend=0), times]).astype("<u4")
+    return zlib.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").reshape(2, -1).astype(np.int64)
+    return np.cumsum(both[0]), both[1]
+
+
 def _examples(vocabulary):
     def run(batches):
         for batch in by_bytes(batches, 2 << 20):
-            offs, place, times = features(vocabulary.value, batch.column(2))
-            lists = [pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (place, times)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=["doc_id", "toxic", "terms", "times"])
+            offs, place, times = features(vocabulary.value, batch.column(3))
+            lists = [packed(place[a:z], times[a:z]) for a, z in zip(offs[:-1], offs[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(lists, pa.binary())], names=["doc_id", "toxic", "part", "terms"])
 
     return run
 
 
+def weights(idf: np.ndarray, lists: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
+    """Weight of each term by its idf and by how it tells the examples' labels apart."""
+    zeros = np.zeros(0, np.int64)
+    a, b = (np.bincount(np.concatenate([zeros, *(x for x, y in zip(lists, toxic, strict=True) if y == label)]), minlength=len(idf)).astype(float) for label in (1, 0))
+    n1, n0 = int((toxic == 1).sum()), int((toxic == 0).sum())
+    if not n1 or not n0:
+        return idf * LEAST
+    chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (np.maximum(1, (a + b) * (n1 + n0 - a - b)) * n1 * n0)
+    return idf * (LEAST + np.sqrt(chi2) * np.where(a * n0 > b * n1, 1.0, CLEAN))
+
+
+def log_odds(share: np.ndarray) -> np.ndarray:
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    return np.log(share / (1 - share))
+
+
+def curve(share: np.ndarray, toxic: np.ndarray, votes: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve from log odds of shares to labels, drawn by a unit ridge to (1, 0)."""
+    x = np.stack([log_odds(share), np.ones(len(share))], 1)
+    votes = votes * len(votes) / max(1e-9, votes.sum())
+    at = np.array([1.0, 0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
+        step = np.linalg.solve((x * (votes * p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (votes * (toxic - p)) - (at - [1.0, 0.0]))
+        at = at + step * min(1.0, 1 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-10:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
 class Index:
-    """Unit vectors of examples, for cosines with `block` texts at a time. examples: (doc_id, toxic, terms, times)."""
+    """Unit vectors of examples, for cosines with `block` texts at a time. examples: (doc_id, toxic, packed terms).
+
+    What a worker needs beyond them is laid out at its first use."""
+
+    def __init__(self, examples: list, weight: np.ndarray, line: tuple[float, float] = (1.0, 0.0), block: int = BLOCK):
+        self.examples, self.weight, self.line, self.block, self.laid = examples, weight, line, block, None
+        self.base = float(np.mean([x[1] for x in examples])) if examples else 0.0
 
-    def __init__(self, examples: list, idf: np.ndarray, weight: tuple[float, float], block: int = BLOCK):
-        self.idf, self.block = idf, block
-        self.rest = [0.0, 0.0]  # votes of examples without a term, by label
-        kept = []
-        for doc, toxic, terms, times in examples:
+    def lay(self) -> None:
+        """Unit vectors; column of each frequent term (or -1), their matrix, and the others' postings."""
+        if self.laid is not None:
+            return
+        kept, bare = [], [0, 0]
+        for doc, toxic, data in self.examples:
+            terms, times = unpacked(data)
             if len(terms):
-                kept.append((doc, toxic, np.asarray(terms, np.int32), self.unit(terms, times)))
+                kept.append((doc, toxic, terms.astype(np.int32), self.unit(terms, times)))
             else:
-                self.rest[toxic] += weight[toxic]
+                bare[toxic] += 1
         kept.sort(key=lambda x: x[0])
         self.ids = np.array([x[0] for x in kept], np.int64)
         self.toxic = np.array([x[1] for x in kept], np.int64)
-        self.votes = np.array([weight[x[1]] for x in kept])
         self.starts = np.cumsum([0, *(len(x[2]) for x in kept)])
         self.terms = np.concatenate([x[2] for x in kept]) if kept else np.zeros(0, np.int32)
         self.values = np.concatenate([x[3] for x in kept]) if kept else np.zeros(0)
-        self.base = (sum(self.votes[self.toxic == 1]) + self.rest[1]) / max(1e-9, sum(self.votes) + sum(self.rest))
-        self.none = (self.rest[1] + PRIOR * self.base) / (sum(self.rest) + PRIOR) if examples else 0.0
-        self.laid = None
-
-    def postings(self):
-        """Laid out once in each worker: column of each frequent term (or -1), their matrix, and the others' postings."""
-        if self.laid is None:
-            count = np.bincount(self.terms, minlength=len(self.idf))
-            often = np.argsort(-count, kind="stable")[:DENSE]
-            often = often[count[often] >= max(2, SHARE * len(self.ids))]
-            column = np.full(len(self.idf), -1)
-            column[often] = np.arange(len(often))
-            row = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.starts))
-            dense = column[self.terms] >= 0
-            matrix = np.zeros((len(often), len(self.ids)), np.float32)
-            matrix[column[self.terms[dense]], row[dense]] = self.values[dense]
-            order = np.flatnonzero(~dense)
-            order = order[np.argsort(self.terms[order], kind="stable")]
-            starts = np.searchsorted(self.terms[order], np.arange(len(self.idf) + 1))
-            self.laid = column, matrix, starts, row[order], self.values[order]
-        return self.laid
+        self.none = (bare[1] + PRIOR * self.base) / (sum(bare) + PRIOR)
+        count = np.bincount(self.terms, minlength=len(self.weight))
+        often = np.argsort(-count, kind="stable")[:DENSE]
+        often = often[count[often] >= max(2, SHARE * len(self.ids))]
+        column = np.full(len(self.weight), -1)
+        column[often] = np.arange(len(often))
+        row = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        dense = column[self.terms] >= 0
+        matrix = np.zeros((len(often), len(self.ids)), np.float32)
+        matrix[column[self.terms[dense]], row[dense]] = self.values[dense]
+        order = np.flatnonzero(~dense)
+        order = order[np.argsort(self.terms[order], kind="stable")]
+        starts = np.searchsorted(self.terms[order], np.arange(len(self.weight) + 1))
+        self.laid = column, matrix, starts, row[order], self.values[order]
+        self.spread = np.zeros(len(self.weight))
 
     def unit(self, terms, times) -> np.ndarray:
-        w = (1 + np.log(np.asarray(times, float))) * self.idf[np.asarray(terms)]
+        w = (1 + np.log(np.asarray(times, float))) * self.weight[np.asarray(terms)]
         return w / max(1e-12, float(np.sqrt((w * w).sum())))
 
     def cosines(self, queries: list) -> np.ndarray:
         """Cosines of some texts, each (terms, unit vector), with all examples, in single precision."""
-        column, matrix, starts, rows, values = self.postings()
-        q = np.zeros((len(queries), len(matrix)), np.float32)
+        column, matrix, starts, rows, values = self.laid
+        q, rare = np.zeros((len(queries), len(matrix)), np.float32), []
         for k, (terms, w) in enumerate(queries):
             at = column[terms]
-            q[k, at[at >= 0]] = w[at >= 0]
+            often = at >= 0
+            q[k, at[often]] = w[often]
+            rare.append((terms[~often], w[~often]))
         out = q @ matrix
-        for k, (terms, w) in enumerate(queries):
-            rare = column[terms] < 0
-            begin, size = starts[terms[rare]], starts[terms[rare] + 1] - starts[terms[rare]]
-            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-            out[k] += np.bincount(rows[at], weights=values[at] * np.repeat(w[rare], size), minlength=len(self.ids))
+        for k, (terms, w) in enumerate(rare):
+            begin = starts[terms]
+            size = starts[terms + 1] - begin
+            total = int(size.sum())
+            if total:
+                at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(total)
+                out[k] += np.bincount(rows[at], weights=values[at] * np.repeat(w, size), minlength=len(self.ids))
         return out
 
     def best(self, terms, w, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        some = np.flatnonzero(near > 0)
-        if len(some) > k:
-            some = some[near[some] >= np.partition(near[some], -k)[-k] - SLACK]
+        floor = np.partition(near, -k)[-k] - SLACK if len(near) > k else 0.0
+        some = np.flatnonzero(near >= floor) if floor > 0 else np.flatnonzero(near > 0)
         size = self.starts[some + 1] - self.starts[some]
         at = np.repeat(self.starts[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        place = np.minimum(np.searchsorted(terms, self.terms[at]), len(terms) - 1)
-        product = np.where(terms[place] == self.terms[at], w[place], 0.0) * self.values[at]
-        cosine = np.bincount(np.repeat(np.arange(len(some)), size), weights=product, minlength=len(some))
+        self.spread[terms] = w
+        cosine = np.bincount(np.repeat(np.arange(len(some)), size), weights=self.spread[self.terms[at]] * self.values[at], minlength=len(some))
+        self.spread[terms] = 0.0
         if len(some) > k:
             good = cosine >= np.partition(cosine, -k)[-k] - 1e-9
             some, cosine = some[good], cosine[good]
@@ -185,65 +259,95 @@ class Index:
 
     def nearest(self, terms, times, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Examples with a cosine above 0 and not below the k-th best, and their cosines, best first. terms: ascending."""
+        self.lay()
         terms, w = np.asarray(terms), self.unit(terms, times)
         return self.best(terms, w, self.cosines([(terms, w)])[0], k)
 
-    def score(self, offs: np.ndarray, terms: np.ndarray, times: np.ndarray) -> list[tuple[float, list[int], list[float]]]:
-        """Score, nearest doc_ids and their cosines of each text, whose terms and times lie between its offsets."""
+    def shares(self, offs: np.ndarray, terms: np.ndarray, times: np.ndarray) -> list[tuple[float, list[int], list[float]]]:
+        """Share of toxic votes, nearest doc_ids and their cosines of each text, whose terms lie between its offsets."""
+        self.lay()
         out = [(self.none, [], [])] * (len(offs) - 1)
-        if not len(self.ids):
-            return out
-        some = np.flatnonzero(np.diff(offs))
-        unit = self.votes.mean()
+        some = np.flatnonzero(np.diff(offs)) if len(self.ids) else []
         for k in range(0, len(some), self.block):
             part = some[k : k + self.block]
             queries = [(terms[s], self.unit(terms[s], times[s])) for s in (slice(offs[i], offs[i + 1]) for i in part)]
             for i, (t, w), near in zip(part, queries, self.cosines(queries), strict=True):
                 found, cosine = self.best(t, w, near, NEAREST)
-                v = self.votes[found] / (1.05 - np.minimum(1.0, cosine))
-                value = (float((v * self.toxic[found]).sum()) + PRIOR * unit * self.base) / (float(v.sum()) + PRIOR * unit)
+                v = 1 / (1.05 - np.minimum(1.0, cosine))
+                value = (float(v[self.toxic[found] == 1].sum()) + PRIOR * self.base) / (float(v.sum()) + PRIOR)
                 out[i] = (value, self.ids[found[:3]].tolist(), np.round(cosine[:3], 6).tolist())
         return out
 
+    def calibrated(self, share: np.ndarray) -> np.ndarray:
+        if not self.examples:
+            return np.zeros(len(share))
+        return 1 / (1 + np.exp(-np.clip(self.line[0] * log_odds(share) + self.line[1], -500, 500)))
+
+
+def _cross(held):
+    """Shares of toxic votes of the examples of one part by those of the others."""
+
+    def run(batches):
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                rows, parts, idf = held.value
+                lists = [unpacked(x[2]) for x in rows]
+                other = [i for i in range(len(rows)) if parts[i] != part]
+                own = [i for i in range(len(rows)) if parts[i] == part]
+                index = Index([rows[i] for i in other], weights(idf, [lists[i][0] for i in other], np.array([rows[i][1] for i in other])))
+                offs = np.cumsum([0, *(len(lists[i][0]) for i in own)])
+                got = index.shares(offs, *(np.concatenate([np.zeros(0, np.int64), *(lists[i][k] for i in own)]) for k in (0, 1)))
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([g[0] for g in got], pa.float64())], names=["row", "share"])
+
+    return run
+
 
 def fold():
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
-    """doc_id, held_out, score, predicted, evidence (doc_ids of the nearest examples), evidence_cosine of each row."""
-    spark = docs.sparkSession
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def fit(d: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tuple[np.ndarray, Index]:
+    """Terms (sorted) and the index of a sample of the labelled rows of d (doc_id, text)."""
+    spark = d.sparkSession
     learnable = labels.where((fold() != HELD) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r[0]: r[1] for r in learnable.groupBy("toxic").count().collect()}
     picks = [learnable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     sample = cut(picks[0].unionByName(picks[1]))  # 2 * per_label rows at most, so it may be broadcast
-    marked = cut(d.join(F.broadcast(sample), "doc_id").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text"))
-    n1 = max(1, min(counts.get(1, 0), per_label))
-    n0 = max(1, min(counts.get(0, 0), per_label))
-    counted = marked.select("text", "toxic").mapInArrow(_term_counts, "term long, toxic long, clean long")
-    found = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).orderBy("term").toArrow()
-    terms = found["term"].to_numpy().astype(np.uint64)
+    text = F.min(F.coalesce("text", F.lit(""))).alias("text")
+    part = F.pmod(F.xxhash64("text"), F.lit(FOLDS_OUT)).cast("int").alias("part")
+    marked = cut(d.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), text).select("doc_id", "toxic", part, "text"))
+    terms = np.sort(marked.select("text").mapInArrow(_vocabulary, "term long").distinct().toArrow()["term"].to_numpy().astype(np.uint64))
     vocabulary = spark.sparkContext.broadcast(terms)
     seen = d.select("text").mapInArrow(_frequencies(vocabulary), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     place, times = seen["term"].to_numpy(), seen["df"].to_numpy()
     df = np.zeros(len(terms))
     df[place[place >= 0]] = times[place >= 0]
     idf = np.log((times[place < 0].sum() + 1) / (df + 1)) + 1
-    a, b = np.minimum(found["toxic"].to_numpy(), n1).astype(float), np.minimum(found["clean"].to_numpy(), n0).astype(float)
-    chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (np.maximum(1, (a + b) * (n1 + n0 - a - b)) * n1 * n0)
-    got = marked.dropDuplicates(["doc_id"]).mapInArrow(_examples(vocabulary), "doc_id long, toxic int, terms array<int>, times array<int>").toArrow()
-    lists = [got[c].combine_chunks() for c in ("terms", "times")]
-    ids, toxic = got["doc_id"].to_pylist(), got["toxic"].to_pylist()
-    examples = [(ids[i], toxic[i], *(x[i].values.to_numpy() for x in lists)) for i in range(len(ids))]
-    weight = tuple(counts.get(y, 0) / max(1, min(counts.get(y, 0), per_label)) for y in (0, 1))
-    index = spark.sparkContext.broadcast(Index(examples, idf * (LEAST_Z + np.sqrt(chi2)), weight))
+    got = marked.mapInArrow(_examples(vocabulary), "doc_id long, toxic int, part int, terms binary").toArrow().sort_by("doc_id").to_pydict()
+    examples, toxic = list(zip(got["doc_id"], got["toxic"], got["terms"], strict=True)), np.array(got["toxic"], np.int64)
+    weight = weights(idf, [unpacked(x[2])[0] for x in examples], toxic)
+    if len(set(got["toxic"])) < 2:
+        return terms, Index(examples, weight)
+    held = spark.sparkContext.broadcast((examples, got["part"], idf))
+    crossed = spark.range(FOLDS_OUT, numPartitions=FOLDS_OUT).mapInArrow(_cross(held), "row int, share double").toArrow()
+    share = np.zeros(len(examples))
+    share[crossed["row"].to_numpy()] = crossed["share"].to_numpy()
+    counts = {r[0]: r[1] for r in learnable.groupBy("toxic").count().collect()}
+    stands = np.array([counts[y] / max(1, (toxic == y).sum()) for y in (0, 1)])
+    return terms, Index(examples, weight, curve(share, toxic, stands[toxic]))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> DataFrame:
+    """doc_id, held_out, score, predicted, evidence (doc_ids of the nearest examples), evidence_cosine of each row."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    terms, fitted = fit(d, labels, per_label)
+    vocabulary, index = (d.sparkSession.sparkContext.broadcast(x) for x in (terms, fitted))
 
     def run(batches):
         for batch in by_bytes(batches, 2 << 20):
-            got = index.value.score(*features(vocabulary.value, batch.column(1)))
+            got = index.value.shares(*features(vocabulary.value, batch.column(1)))
+            score = index.value.calibrated(np.array([g[0] for g in got]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
+                [batch.column(0), pa.array(score, pa.float64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.float64()))],
                 names=["doc_id", "score", "evidence", "evidence_cosine"],
             )
 
