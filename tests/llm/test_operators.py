@@ -484,15 +484,16 @@ def test_nearest_examples_are_exact():
     weight = r.random(50) + 0.5
     lists = [(np.sort(r.choice(50, k, False)), r.integers(1, 4, k)) for k in r.integers(1, 9, 700)]
     index = toxicity.Index([(i, int(r.random() < 0.3), toxicity.packed(*x)) for i, x in enumerate(lists)], weight, block=16)
+    unit = lambda t, n: index.units(np.array([0, len(t)]), t, n)
     dense = np.zeros((700, 50))
     for i, (t, n) in enumerate(lists):
         assert all((x == y).all() for x, y in zip(toxicity.unpacked(toxicity.packed(t, n)), (t, n), strict=True))
-        dense[i, t] = index.unit(t, n)
+        dense[i, t] = unit(t, n)
     for _ in range(50):
         t = np.sort(r.choice(50, 5, False))
         n = r.integers(1, 4, 5)
         q = np.zeros(50)
-        q[t] = index.unit(t, n)
+        q[t] = unit(t, n)
         cosine = dense @ q
         floor = np.sort(cosine)[-toxicity.NEAREST]
         found, value = index.nearest(t, n)

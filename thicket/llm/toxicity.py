@@ -7,8 +7,8 @@ of which a term that leans to clean ones gets the part CLEAN: so no term is with
 counts most. Document frequencies are counted over all documents. Terms that no example has can't meet one, so they are
 left out, also from a document's norm.
 
-A document is compared with all examples: frequent terms (in SHARE of the examples, DENSE of them at most) by a matrix
-product, the others by their postings; what comes within SLACK of the NEAREST-th best is computed anew in double precision, so
+A document is compared with all examples. They lie in GROUPS groups of like ones: terms that are frequent in a group (in SHARE
+of it, DENSE of them at most) go by a matrix product, the others by their postings; what comes within SLACK of the NEAREST-th best is computed anew in double precision, so
 the neighbours found are the exact ones (ties: all examples as near as the last are taken). Votes weigh by
 1 / (1.05 - cosine), with PRIOR votes of the examples' base rate; a document without any term is as near to every example
 without one as to any.
@@ -36,7 +36,7 @@ from thicket.llm._common import cut, read
 from thicket.llm._text import LOWER, SPACE, _slices, by_bytes, texts
 
 PER_LABEL, LEAST, CLEAN, BLOCK, NEAREST, PRIOR, CUTOFF = 4096, 0.25, 0.7, 256, 7, 0.5, 0.7
-SHARE, DENSE, SLACK = 1 / 16, 4096, 1e-4
+GROUPS, SHARE, DENSE, SLACK = 8, 1 / 16, 4096, 1e-4
 FOLDS, HELD, FOLDS_OUT = 3, 1, 4
 
 
@@ -178,74 +178,117 @@ def curve(share: np.ndarray, toxic: np.ndarray, votes: np.ndarray) -> tuple[floa
     return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
 
 
+def alike(x: np.ndarray, k: int) -> np.ndarray:
+    """k groups of like rows at most, by a few rounds of cosine k-means from rows at even distances."""
+    centres, group = x[np.linspace(0, len(x) - 1, k).astype(int)], np.zeros(len(x), np.int64)
+    for _ in range(6):
+        group = (x @ centres.T).argmax(1)
+        sums = np.stack([x[group == j].sum(0) for j in range(k)])
+        centres = sums / np.maximum(1e-9, np.linalg.norm(sums, axis=1, keepdims=True))
+    return group
+
+
 class Index:
     """Unit vectors of examples, for cosines with `block` texts at a time. examples: (doc_id, toxic, packed terms).
 
-    What a worker needs beyond them is laid out at its first use."""
+    What a worker needs beyond them is laid out at its first use: the examples in groups of like ones; for each group the
+    matrix of the terms that are frequent in it; and postings of all other terms."""
 
     def __init__(self, examples: list, weight: np.ndarray, line: tuple[float, float] = (1.0, 0.0), block: int = BLOCK):
         self.examples, self.weight, self.line, self.block, self.laid = examples, weight, line, block, None
         self.base = float(np.mean([x[1] for x in examples])) if examples else 0.0
 
+    def flat(self, kept: list) -> None:
+        self.ids, self.toxic = (np.array([x[k] for x in kept], np.int64) for k in (0, 1))
+        self.starts = np.cumsum([0, *(len(x[2]) for x in kept)])
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(x[2] for x in kept)])
+        self.values = np.concatenate([np.zeros(0), *(x[3] for x in kept)])
+
     def lay(self) -> None:
-        """Unit vectors; column of each frequent term (or -1), their matrix, and the others' postings."""
         if self.laid is not None:
             return
         kept, bare = [], [0, 0]
         for doc, toxic, data in self.examples:
             terms, times = unpacked(data)
             if len(terms):
-                kept.append((doc, toxic, terms.astype(np.int32), self.unit(terms, times)))
+                w = self.units(np.array([0, len(terms)]), terms, times)
+                kept.append((doc, toxic, terms.astype(np.int32), w))
             else:
                 bare[toxic] += 1
-        kept.sort(key=lambda x: x[0])
-        self.ids = np.array([x[0] for x in kept], np.int64)
-        self.toxic = np.array([x[1] for x in kept], np.int64)
-        self.starts = np.cumsum([0, *(len(x[2]) for x in kept)])
-        self.terms = np.concatenate([x[2] for x in kept]) if kept else np.zeros(0, np.int32)
-        self.values = np.concatenate([x[3] for x in kept]) if kept else np.zeros(0)
         self.none = (bare[1] + PRIOR * self.base) / (sum(bare) + PRIOR)
-        count = np.bincount(self.terms, minlength=len(self.weight))
-        often = np.argsort(-count, kind="stable")[:DENSE]
-        often = often[count[often] >= max(2, SHARE * len(self.ids))]
-        column = np.full(len(self.weight), -1)
-        column[often] = np.arange(len(often))
-        row = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
-        dense = column[self.terms] >= 0
-        matrix = np.zeros((len(often), len(self.ids)), np.float32)
-        matrix[column[self.terms[dense]], row[dense]] = self.values[dense]
-        order = np.flatnonzero(~dense)
-        order = order[np.argsort(self.terms[order], kind="stable")]
-        starts = np.searchsorted(self.terms[order], np.arange(len(self.weight) + 1))
-        self.laid = column, matrix, starts, row[order], self.values[order]
-        self.spread = np.zeros(len(self.weight))
-
-    def unit(self, terms, times) -> np.ndarray:
-        w = (1 + np.log(np.asarray(times, float))) * self.weight[np.asarray(terms)]
-        return w / max(1e-12, float(np.sqrt((w * w).sum())))
-
-    def cosines(self, queries: list) -> np.ndarray:
-        """Cosines of some texts, each (terms, unit vector), with all examples, in single precision."""
-        column, matrix, starts, rows, values = self.laid
-        q, rare = np.zeros((len(queries), len(matrix)), np.float32), []
-        for k, (terms, w) in enumerate(queries):
-            at = column[terms]
-            often = at >= 0
-            q[k, at[often]] = w[often]
-            rare.append((terms[~often], w[~often]))
-        out = q @ matrix
-        for k, (terms, w) in enumerate(rare):
-            begin = starts[terms]
-            size = starts[terms + 1] - begin
+        kept.sort(key=lambda x: x[0])
+        self.flat(kept)
+        most, n = len(self.weight), len(kept)
+        groups = max(1, min(GROUPS, n // 64))
+        mass = np.bincount(self.terms, weights=self.values**2, minlength=most)
+        column = np.full(most, -1)
+        heavy = np.argsort(-mass, kind="stable")[:512]
+        column[heavy] = np.arange(len(heavy))
+        row, at = np.repeat(np.arange(n), np.diff(self.starts)), column[self.terms]
+        x = np.zeros((n, len(heavy)), np.float32)
+        x[row[at >= 0], at[at >= 0]] = self.values[at >= 0]
+        group = alike(x, groups) if n else np.zeros(0, np.int64)
+        order = np.argsort(group, kind="stable")
+        self.flat([kept[i] for i in order])
+        bounds = np.searchsorted(group[order], np.arange(groups + 1))
+        often, matrices, rare, used = [], [], np.ones(len(self.terms), bool), np.zeros(most, bool)
+        for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+            own = slice(self.starts[a], self.starts[z])
+            terms = self.terms[own]
+            count = np.bincount(terms, minlength=most)
+            top = np.argsort(-count, kind="stable")[:DENSE]
+            top = top[count[top] >= max(2, SHARE * (z - a))]
+            column[:] = -1
+            column[top] = np.arange(len(top))
+            at, row = column[terms], np.repeat(np.arange(z - a), np.diff(self.starts[a : z + 1]))
+            rare[own] = at < 0
+            matrix = np.zeros((len(top), z - a), np.float32)
+            matrix[at[at >= 0], row[at >= 0]] = self.values[own][at >= 0]
+            often.append(top)
+            matrices.append(matrix)
+            used[top] = True
+        column[:] = -1
+        column[used] = np.arange(used.sum())
+        entry = np.flatnonzero(rare)
+        entry = entry[np.argsort(self.terms[entry], kind="stable")]
+        starts = np.searchsorted(self.terms[entry], np.arange(most + 1))
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+        self.laid = column, int(used.sum()), [column[t] for t in often], matrices, bounds, starts, row[entry], self.values[entry].astype(np.float32)
+        self.spread = np.zeros(most)
+
+    def units(self, offs: np.ndarray, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The unit vectors of texts whose terms lie between offs, one after the other; none of them without terms."""
+        w = (1 + np.log(times)) * self.weight[terms]
+        return w / np.repeat(np.maximum(1e-12, np.sqrt(np.add.reduceat(w * w, offs[:-1]))), np.diff(offs))
+
+    def cosines(self, offs: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Cosines of some texts with all examples, in single precision."""
+        column, width, often, matrices, bounds, starts, rows, values = self.laid
+        n = len(offs) - 1
+        q, out, at = np.zeros((n, width), np.float32), np.zeros((n, len(self.ids)), np.float32), column[terms]
+        q[np.repeat(np.arange(n), np.diff(offs))[at >= 0], at[at >= 0]] = w[at >= 0]
+        for top, matrix, a, z in zip(often, matrices, bounds[:-1], bounds[1:], strict=True):
+            out[:, a:z] = q[:, top] @ matrix
+        for k in range(n):
+            own = slice(offs[k], offs[k + 1])
+            begin = starts[terms[own]]
+            size = starts[terms[own] + 1] - begin
             total = int(size.sum())
             if total:
-                at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(total)
-                out[k] += np.bincount(rows[at], weights=values[at] * np.repeat(w, size), minlength=len(self.ids))
+                at = np.repeat(begin - np.cumsum(size) + size, size)
+                at += np.arange(total)
+                out[k] += np.bincount(rows[at], weights=values[at] * np.repeat(w[own].astype(np.float32), size), minlength=len(self.ids))
         return out
 
-    def best(self, terms, w, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        floor = np.partition(near, -k)[-k] - SLACK if len(near) > k else 0.0
+    def best(self, terms: np.ndarray, w: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the examples, the k with the best cosines (near: in single precision), ties of the last included."""
+        floor = 0.0
+        if len(near) > 4 * k:  # the k-th best of k or more parts' best is no better than the k-th best of all
+            part = np.maximum.reduceat(near, np.arange(0, len(near), max(1, len(near) // max(128, 2 * k))))
+            floor = np.partition(part, -k)[-k] - SLACK
         some = np.flatnonzero(near >= floor) if floor > 0 else np.flatnonzero(near > 0)
+        if len(some) > k:
+            some = some[near[some] >= np.partition(near[some], -k)[-k] - SLACK]
         size = self.starts[some + 1] - self.starts[some]
         at = np.repeat(self.starts[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
         self.spread[terms] = w
@@ -254,25 +297,28 @@ class Index:
         if len(some) > k:
             good = cosine >= np.partition(cosine, -k)[-k] - 1e-9
             some, cosine = some[good], cosine[good]
-        order = np.lexsort((some, -np.round(cosine, 9)))
+        order = np.lexsort((self.ids[some], -np.round(cosine, 9)))
         return some[order], cosine[order]
 
     def nearest(self, terms, times, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Examples with a cosine above 0 and not below the k-th best, and their cosines, best first. terms: ascending."""
         self.lay()
-        terms, w = np.asarray(terms), self.unit(terms, times)
-        return self.best(terms, w, self.cosines([(terms, w)])[0], k)
+        terms, offs = np.asarray(terms), np.array([0, len(terms)])
+        w = self.units(offs, terms, np.asarray(times))
+        return self.best(terms, w, self.cosines(offs, terms, w)[0], k)
 
     def shares(self, offs: np.ndarray, terms: np.ndarray, times: np.ndarray) -> list[tuple[float, list[int], list[float]]]:
         """Share of toxic votes, nearest doc_ids and their cosines of each text, whose terms lie between its offsets."""
         self.lay()
         out = [(self.none, [], [])] * (len(offs) - 1)
-        some = np.flatnonzero(np.diff(offs)) if len(self.ids) else []
+        some = np.flatnonzero(np.diff(offs)) if len(self.ids) else np.zeros(0, np.int64)
         for k in range(0, len(some), self.block):
             part = some[k : k + self.block]
-            queries = [(terms[s], self.unit(terms[s], times[s])) for s in (slice(offs[i], offs[i + 1]) for i in part)]
-            for i, (t, w), near in zip(part, queries, self.cosines(queries), strict=True):
-                found, cosine = self.best(t, w, near, NEAREST)
+            bounds = np.append(offs[part], offs[part[-1] + 1])  # what lies between is without terms
+            t, own = terms[bounds[0] : bounds[-1]], bounds - bounds[0]
+            w = self.units(own, t, times[bounds[0] : bounds[-1]])
+            for i, a, z, near in zip(part.tolist(), own[:-1], own[1:], self.cosines(own, t, w), strict=True):
+                found, cosine = self.best(t[a:z], w[a:z], near, NEAREST)
                 v = 1 / (1.05 - np.minimum(1.0, cosine))
                 value = (float(v[self.toxic[found] == 1].sum()) + PRIOR * self.base) / (float(v.sum()) + PRIOR)
                 out[i] = (value, self.ids[found[:3]].tolist(), np.round(cosine[:3], 6).tolist())
