@@ -252,8 +252,11 @@ class Index:
         entry = np.flatnonzero(rare)
         entry = entry[np.argsort(self.terms[entry], kind="stable")]
         starts = np.searchsorted(self.terms[entry], np.arange(most + 1))
-        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
-        self.laid = column, int(used.sum()), [column[t] for t in often], matrices, bounds, starts, row[entry], self.values[entry].astype(np.float32)
+        posting = np.empty((len(entry), 2), np.int32)  # example, and its value's bits: one look-up for both
+        posting[:, 0] = np.repeat(np.arange(n), np.diff(self.starts))[entry]
+        posting[:, 1] = self.values[entry].astype(np.float32).view(np.int32)
+        posting = posting.view(np.int64).ravel()
+        self.laid = column, int(used.sum()), [column[t] for t in often], matrices, bounds, starts, posting
         self.spread = np.zeros(most)
 
     def units(self, offs: np.ndarray, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -263,7 +266,7 @@ class Index:
 
     def cosines(self, offs: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Cosines of some texts with all examples, in single precision."""
-        column, width, often, matrices, bounds, starts, rows, values = self.laid
+        column, width, often, matrices, bounds, starts, posting = self.laid
         n = len(offs) - 1
         q, out, at = np.zeros((n, width), np.float32), np.zeros((n, len(self.ids)), np.float32), column[terms]
         q[np.repeat(np.arange(n), np.diff(offs))[at >= 0], at[at >= 0]] = w[at >= 0]
@@ -277,7 +280,9 @@ class Index:
             if total:
                 at = np.repeat(begin - np.cumsum(size) + size, size)
                 at += np.arange(total)
-                out[k] += np.bincount(rows[at], weights=values[at] * np.repeat(w[own].astype(np.float32), size), minlength=len(self.ids))
+                found = posting[at].view(np.int32).reshape(-1, 2)
+                value = found[:, 1].view(np.float32) * np.repeat(w[own].astype(np.float32), size)
+                out[k] += np.bincount(found[:, 0], weights=value, minlength=len(self.ids))
         return out
 
     def best(self, terms: np.ndarray, w: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,10 +294,9 @@ class Index:
         some = np.flatnonzero(near >= floor) if floor > 0 else np.flatnonzero(near > 0)
         if len(some) > k:
             some = some[near[some] >= np.partition(near[some], -k)[-k] - SLACK]
-        size = self.starts[some + 1] - self.starts[some]
-        at = np.repeat(self.starts[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
         self.spread[terms] = w
-        cosine = np.bincount(np.repeat(np.arange(len(some)), size), weights=self.spread[self.terms[at]] * self.values[at], minlength=len(some))
+        runs = [slice(a, z) for a, z in zip(self.starts[some].tolist(), self.starts[some + 1].tolist(), strict=True)]
+        cosine = np.array([self.spread[self.terms[r]].dot(self.values[r]) for r in runs])
         self.spread[terms] = 0.0
         if len(some) > k:
             good = cosine >= np.partition(cosine, -k)[-k] - 1e-9
