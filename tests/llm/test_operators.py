@@ -196,6 +196,46 @@ def test_mixing_schedule_and_resample(spark):
     assert again == Counter({k: int(v / (k % 7 + 1) + 0.5) for k, v in m.items() if int(v / (k % 7 + 1) + 0.5)})
 
 
+def test_mixing_is_a_queue_served_in_order_of_finish(spark):
+    """Against one loop over all documents of all passes; few ranges, so that each holds several of them."""
+    r = random.Random(5)
+    texts = ["w " * r.choice([0, 1, 1, 2, 5, 40, 700]) for _ in range(300)]
+    sources = [r.choice(["a", "b", "b", "b", "c", None]) for _ in texts]
+    d = spark.createDataFrame(rows(texts, sources=sources), DOCS)
+    old, mixing.LEAST_RANGES = mixing.LEAST_RANGES, 7
+    try:
+        got = mixing.schedule(d).collect()
+        whole = {x["doc_id"]: x for x in mixing.mix(d).collect()}
+    finally:
+        mixing.LEAST_RANGES = old
+    queue, done = [], Counter()
+    for i, x in whole.items():
+        for n in range(2):
+            a = x["start"] + n * x["source_size"]
+            goal = int(x["target"])
+            cuts = [a, goal, a + x["size"]] if a < goal < a + x["size"] else [a, a + x["size"]]
+            queue += [(z / x["target"], x["source"] is None, x["source"] or "", y, i, n, z - y) for y, z in zip(cuts, cuts[1:], strict=False) if z > y]
+    budget, at, want = sum(int(t) for t in {(x["source"], x["target"]): x["target"] for x in whole.values()}.values()), 0, []
+    for finish, _, _, _, i, n, words in sorted(queue):
+        if at < budget:
+            want.append((i, n, finish, at, min(words, budget - at)))
+            done[i] += want[-1][-1]
+        at += words
+    assert [tuple(x) for x in got] == want
+    assert all(x["taken"] == done[i] for i, x in whole.items())
+
+
+def test_mixing_shares_among_rows_that_look_alike(spark):
+    texts = [*["a b c"] * 400, *["d e f"] * 100, "x y", "x y"]
+    d = spark.createDataFrame(rows(texts, ids=[1] * 500 + [2, 2], sources=["s"] * 400 + ["t"] * 100 + ["u", "v"]), DOCS)
+    took = Counter()
+    for x in mixing.mix(d).collect():
+        took[x["source"]] += x["taken"]
+    got = Counter(x["source"] for x in mixing.resample(d).collect())
+    for source, words in (("s", 3), ("t", 3), ("u", 2), ("v", 2)):
+        assert abs(got[source] * words - took[source]) <= 0.15 * took[source] + words
+
+
 def brute_rule(host, path, rules):
     fits = [(len(r), len(r.partition("/")[0]), r, v) for r, v in rules if r for h, slash, p in [r.partition("/")] if (host == h or host.endswith("." + h)) and path.startswith(slash + p)]
     return max(fits)[2:] if fits else (None, None)
