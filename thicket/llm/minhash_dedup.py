@@ -40,6 +40,8 @@ WIDER = 16  # each round takes so many times the centres of all before
 CELL_BITS = 22
 CELLS = 1 << CELL_BITS
 ROWS_PER_PART = 50_000  # of bucket rows, for the small tables between rounds
+ROWS_PER_SALT = 256
+MARK_BITS = 24
 _EDGES = (np.arange(BINS + 1, dtype=object) * 2**64 // BINS)
 _LOW = np.array([int(x) for x in _EDGES[:-1]], np.uint64)
 _TOP = np.array([int(x) - 1 for x in _EDGES[1:]], np.uint64)
@@ -89,13 +91,48 @@ def _sign(size: int):
     return run
 
 
-def _sets(size: int):
+def place_key(place: str, text_key: str) -> Column:
+    """A number for a row by its place and text, and so (twins apart) for the row that stands for a class."""
+    return F.xxhash64(place, text_key)
+
+
+def _marks(batches):
+    bits = np.zeros(1 << MARK_BITS - 3, np.uint8)
+    for batch in batches:
+        k = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MARK_BITS)
+        np.bitwise_or.at(bits, k >> np.uint64(3), np.uint8(1) << (k & np.uint64(7)).astype(np.uint8))
+    at = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].astype(np.int64))], names=["at", "bits"])
+
+
+def marks(keys: DataFrame) -> np.ndarray:
+    """A bit for each of 2^MARK_BITS ranges of keys: whether there is a key in it. Its size is fixed; the more keys, the more
+    rows pass it in vain, and none that should pass fails to."""
+    got = keys.mapInArrow(_marks, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << MARK_BITS - 3, np.uint8)
+    out[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return out
+
+
+def _sets(size: int, marked):
+    """Sets of the rows (key, text) whose key is marked, once for each key of a task."""
+
     def run(batches):
+        seen: set[int] = set()
         for batch in by_bytes(batches, 4 << 20):
-            s = [shingle_set(w, size) for _, w in words_by_text(*texts(batch.column(1)))]
-            own = [v.as_py()[8:] == set_id(x) for v, x in zip(batch.column(0), s, strict=True)]  # not another text of that doc_id
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in s], pa.binary())], names=["v", "hashes"])
-            yield out.filter(pa.array(own, pa.bool_()))
+            keys = batch.column(0).to_numpy()
+            k = keys.view(np.uint64) >> np.uint64(64 - MARK_BITS)
+            hit = np.flatnonzero(marked.value[k >> np.uint64(3)] >> (k & np.uint64(7)).astype(np.uint8) & 1)
+            own = []
+            for i in hit.tolist():
+                if int(keys[i]) not in seen:
+                    seen.add(int(keys[i]))
+                    own.append(i)
+            if own:
+                s = [shingle_set(w, size) for _, w in words_by_text(*texts(batch.column(1).take(pa.array(own))))]
+                kinds = (pa.int64(), pa.binary(), pa.binary())
+                columns = (keys[own], [set_id(x) for x in s], [x.tobytes() for x in s])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["row_key", "sid", "hashes"])
 
     return run
 
@@ -192,40 +229,55 @@ def _first(counts, percent: int):
     return run
 
 
-def several(rows: DataFrame) -> DataFrame:
-    """The rows of buckets in which components meet."""
-    key = Window.partitionBy("key")
-    return rows.withColumns({"least": F.min("comp").over(key), "most": F.max("comp").over(key)}).where("least <> most").drop("least", "most")
+def several(rows: DataFrame, above: int = 0) -> DataFrame:
+    """The rows of buckets in which components meet and, if they have ranks, one is above `above`; rows: checkpointed."""
+    last = F.max("rank") if above else F.lit(1)
+    groups = rows.groupBy("key").agg(F.count("*").alias("held"), F.min("comp").alias("least"), F.max("comp").alias("most"), last.alias("last"))
+    groups = cut(groups.where((F.col("least") != F.col("most")) & (F.col("last") > above)).drop("least", "most", "last"))
+    return join_groups(rows, groups, "key", "held")
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """rows of several(), with a rank of their own in their bucket, large sets before small ones by and large.
+
+    A bucket is dealt to `salts` salts of some ROWS_PER_SALT rows; ranks run in turn through its salts."""
+    salted = rows.withColumn("salts", F.ceil(F.col("held") / ROWS_PER_SALT).cast("int")).withColumn("salt", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int"))
+    own = F.row_number().over(Window.partitionBy("key", "salt").orderBy(F.desc("n"), "v"))
+    return salted.withColumn("rank", ((own - 1) * F.col("salts") + F.col("salt") + 1).cast("long")).drop("held")
 
 
 def classes_with_components(docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
     """sid, rows, component (least place) of each class of equal non-empty sets."""
-    big = F.lit((1 << 63) - 1).cast("long")
+    spark, big = docs.sparkSession, F.lit((1 << 63) - 1).cast("long")
     classes = cut(
         signed.where("n_shingles > 0")
         .groupBy("sid")
-        .agg(F.count("*").alias("rows"), F.min(F.coalesce("doc_id", big)).alias("place"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .agg(
+            F.count("*").alias("rows"), F.min(F.struct(F.coalesce("doc_id", big).alias("place"), "text_key")).alias("least"),
+            F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+        )
+        .select("sid", "rows", "least.place", "least.text_key", "n", "bands")
         .withColumn("v", vertex())
     )
-    key, by_v = Window.partitionBy("key"), Window.partitionBy("v")
-    order = key.orderBy(F.desc("degree"), "v")  # by degree over all bands, so of two classes the same one leads in every bucket
-    rows = cut(
-        classes.select("v", "n", F.explode("bands").alias("key"))
-        .withColumn("members", F.count("*").over(key))
-        .where("members > 1")
-        .withColumns({"degree": F.sum("members").over(by_v), "nth": F.row_number().over(by_v.orderBy("key"))})
-        .withColumns({"rank": F.row_number().over(order), "a": F.first("v").over(order), "m": F.first("n").over(order)})
-        .drop("degree")
-    )
+    met = classes.select("v", "n", place_key("place", "text_key").alias("row_key"), F.explode("bands").alias("key"))
+    buckets = cut(met.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    by_v = Window.partitionBy("v")  # BANDS rows at most
+    rows = join_groups(met, buckets, "key", "members").withColumns({"degree": F.sum("members").over(by_v), "nth": F.row_number().over(by_v.orderBy("key"))})
+    rows = cut(rows)
     found = rows.count()
     if not found:
         return classes.select("sid", "rows", F.col("place").alias("component"))
+    # the centre: by degree over all bands, so of two classes the same one leads in every bucket
+    centres = rows.groupBy("key").agg(F.min(F.struct((-F.col("degree")).alias("d"), "v", "n")).alias("c"), F.count("*").alias("held"))
+    centres = cut(centres.select("key", "held", F.col("c.v").alias("a"), F.col("c.n").alias("m")))
     parts = max(8, found // ROWS_PER_PART)
-    fetch = rows.where("nth = 1").select("v", place_of("v").alias("_place"))
-    texts_of = docs.join(fetch, F.coalesce("doc_id", big) == F.col("_place")).select("v", "text")
-    sets = cut(texts_of.mapInArrow(_sets(size), "v binary, hashes binary").dropDuplicates(["v"]))
+    wanted = cut(rows.where("nth = 1").select("v", "row_key", F.substring("v", 9, 16).alias("sid")))
+    marked = spark.sparkContext.broadcast(marks(wanted.select("row_key")))
+    keyed = docs.select(F.coalesce("doc_id", big).alias("place"), F.xxhash64("text").alias("text_key"), "text").select(place_key("place", "text_key").alias("row_key"), "text")
+    taken = keyed.mapInArrow(_sets(size, marked), "row_key long, sid binary, hashes binary")
+    sets = cut(taken.join(wanted, ["row_key", "sid"]).select("v", "hashes").dropDuplicates(["v"]))
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    edges = rows.where((F.col("rank") > 1) & fits).select("a", F.col("v").alias("b"))
+    edges = join_groups(rows, centres, "key", "held").where((F.col("a") != F.col("v")) & fits).select("a", F.col("v").alias("b"))
     labels = None
 
     def joined(labels: DataFrame | None, edges: DataFrame) -> DataFrame | None:
@@ -235,22 +287,24 @@ def classes_with_components(docs: DataFrame, signed: DataFrame, size: int, perce
         return components(good if labels is None else good.unionByName(labels.select(F.col("v").alias("a"), F.col("comp").alias("b"))), parts)
 
     def labelled(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("comp", F.col("v")) if labels is None else rows.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        return cut(rows.withColumn("comp", F.col("v")) if labels is None else rows.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v")))
 
     labels = joined(labels, edges)
     held = cut(several(labelled(rows.where("members > 2").select("key", "v", "n"))).select("v", "comp", "n").distinct().join(sets, "v"))
     if not held.isEmpty():
-        counts = docs.sparkSession.sparkContext.broadcast(cell_counts(held))
-        firsts = held.select("v", "comp", "n", "hashes").mapInArrow(_first(counts, percent), "v binary, comp binary, n long, key long, pos long")
-        open_rows, low, high = cut(several(firsts).withColumn("rank", F.row_number().over(key.orderBy(F.desc("n"), "v")))), 1, 2
+        counts = spark.sparkContext.broadcast(cell_counts(held))
+        firsts = cut(held.select("v", "comp", "n", "hashes").mapInArrow(_first(counts, percent), "v binary, comp binary, n long, key long, pos long"))
+        wide = F.lit(float(np.log(max(1.05, 100 / percent * 1.0001))))
+        length = lambda n: F.floor(F.log(F.col(n)) / wide)  # noqa: E731  two similar sets are in one class of lengths or in neighbouring ones
+        open_rows, low, high = cut(ranked(several(firsts)).withColumn("length", length("n"))), 1, 2
         room = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
         near = fits & (room * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
         while not open_rows.isEmpty():
-            centre = open_rows.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("v").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("rank").alias("r"), F.col("pos").alias("at"))
-            edges = centre.join(open_rows, "key").where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("comp")) & near).select("a", F.col("v").alias("b"))
+            centre = open_rows.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("v").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("rank").alias("r"), F.col("pos").alias("at"), "length", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+            centre = centre.withColumn("length", F.explode(F.array(*[F.col("length") + k for k in (-1, 0, 1)])))
+            edges = centre.join(open_rows, ["key", "salt", "length"]).where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("comp")) & near).select("a", F.col("v").alias("b"))
             labels = joined(labels, edges)
-            left = open_rows.drop("comp").withColumn("last", F.max("rank").over(key)).where(F.col("last") > high).drop("last")
-            open_rows, low, high = cut(several(labelled(left)).coalesce(parts)), high, high * WIDER
+            open_rows, low, high = cut(several(labelled(open_rows.drop("comp")), high).drop("held").coalesce(parts)), high, high * WIDER
     if labels is None:
         return classes.select("sid", "rows", F.col("place").alias("component"))
     return classes.select("sid", "rows", "v", "place").join(labels, "v", "left").select("sid", "rows", F.coalesce(place_of("comp"), "place").alias("component"))
