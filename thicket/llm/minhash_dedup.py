@@ -174,11 +174,15 @@ def components(links: DataFrame, parts: int) -> DataFrame:
     Large-star and small-star in turn: each vertex's larger, then smaller, neighbours are hung on its least one, until
     every component is a star around its least vertex."""
     edges, last = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
-    by = Window.partitionBy("u")
+
+    def with_least(pairs: DataFrame) -> DataFrame:
+        return join_groups(pairs, cut(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held")).coalesce(parts)), "u", "held")
+
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(by), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        hung = large.withColumn("m", F.min("v").over(by)).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        both = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts))
+        large = cut(with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct().coalesce(parts))
+        own = lambda x, y: F.struct(F.col(x).alias("u"), F.col(y).alias("v"))
+        hung = with_least(large).select(F.explode(F.array(own("u", "m"), own("v", "m"))).alias("e"))
         edges = cut(hung.select("e.*").where("u <> v").distinct().coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == last:
@@ -300,9 +304,9 @@ def classes_with_components(docs: DataFrame, signed: DataFrame, size: int, perce
         room = 1 + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at"))
         near = fits & (room * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
         while not open_rows.isEmpty():
-            centre = open_rows.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("v").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("rank").alias("r"), F.col("pos").alias("at"), "length", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+            centre = open_rows.where((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("v").alias("a"), F.col("n").alias("m"), F.col("comp").alias("c"), F.col("rank").alias("r"), F.col("pos").alias("at"), "length")
             centre = centre.withColumn("length", F.explode(F.array(*[F.col("length") + k for k in (-1, 0, 1)])))
-            edges = centre.join(open_rows, ["key", "salt", "length"]).where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("comp")) & near).select("a", F.col("v").alias("b"))
+            edges = centre.join(open_rows, ["key", "length"]).where((F.col("rank") > F.col("r")) & (F.col("c") != F.col("comp")) & near).select("a", F.col("v").alias("b"))
             labels = joined(labels, edges)
             open_rows, low, high = cut(several(labelled(open_rows.drop("comp")), high).drop("held").coalesce(parts)), high, high * WIDER
     if labels is None:
