@@ -642,10 +642,37 @@ def test_language_model_shares_its_bound_among_rows():
     rows_ = [np.full(n, k, np.uint8) for k, n in enumerate([3, 100, 40, 100])]
     assert np.bincount(language_id.shared(rows_, 63)).tolist() == [3, 20, 20, 20]
     assert len(language_id.shared(rows_, 1000)) == 243 and len(language_id.shared([], 9)) == 0
-    model = language_id.Model({"aa": ["ab" * 50, "xyz" * 30], "bb": ["q" * 90]}, 2 * 40 * 2 * language_id.ALPHABET * 4)
+    model = language_id.Model({"aa": ["ab" * 50, "xyz" * 30], "bb": ["q" * 90]}, 40)
     assert model.phrases(language_id.symbols(*_text.texts(__import__("pyarrow").array(["xyzxyz"])))[0], np.array([6]))[0, 0] == 1  # learned from the second row
 
 
+def test_double_array_goes_where_the_automaton_does():
+    r = np.random.default_rng(3)
+    go = language_id.automaton(r.integers(0, 7, 400).astype(np.uint8))
+    base, owner, to = language_id.double_array(go)
+    for s, out in enumerate(go):
+        for c in range(language_id.ALPHABET):
+            assert (to[base[s] + c] if owner[base[s] + c] == s else None) == out.get(c)
+
+
+def test_language_of_a_long_text_is_found_in_slices(spark):
+    m = language_id.Model({"x": ["abab abab"], "y": ["bcbc cbcb"]})
+    column = pa.array(["abab ba " * 40, None, "bcbc cbcb " * 40, "12 34 " * 40, "\u6f22 " * 50])
+    whole = m.predict(column)
+    old, _text.SLICE = _text.SLICE, 64
+    try:
+        sliced = m.predict(column)
+    finally:
+        _text.SLICE = old
+    assert whole[0] == sliced[0] and whole[0][:4] == ["x", "und", "y", "und"] and whole[0][4] != "und"
+
+
+def test_language_sample_takes_one_row_of_a_doc_id(spark):
+    d = spark.createDataFrame([(1, "ab " * 30, "xx")] * 3000 + [(k, "cd " * 30, "yy") for k in range(300)], "doc_id long, text string, lang string")
+    m = language_id.train(d)
+    assert m.langs == ["xx", "yy"] and m.predict(pa.array(["ab ab", "cd cd"]))[0] == ["xx", "yy"]
+
+
 def test_empty_tables(spark, none, odd):
     assert minhash_dedup.near_duplicates(none).count() == 0
     assert minhash_dedup.keep_one(none).count() == 0

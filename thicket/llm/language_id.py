@@ -6,9 +6,11 @@ fewest for the text's length wins. Texts are normalised first: ASCII letters low
 one separator, longer code points by their bytes. All languages are parsed in step over thousands of segments of SEGMENT
 symbols at a time by table look-up; a phrase ends with its segment, which costs every language the same.
 
-Labelled text is a bounded sample: of each language, some ROWS_PER_LANG rows by hash of doc_id, up to CHARS_PER_ROW
-characters of each, at a place that the hash chooses, and at most MODEL_BYTES of tables in all, which is the tighter bound:
-each language gets an equal length of text at most, an equal share of every drawn row. Prediction reads whole texts and nothing else.
+Labelled text is a bounded sample: of each language, ROWS_PER_LANG rows at most by hash of doc_id (of rows of one doc_id, one),
+up to CHARS_PER_ROW characters of each, at a place that the hash chooses, and SYMBOLS_PER_LANG symbols of these at most, an
+equal share of every drawn row; whatever the number of languages, MAX_LANGS at most. An automaton is kept as a double array
+(states' rows of transitions laid over each other), some 0.5 MB a language. Prediction reads whole texts and nothing else,
+long ones in slices that end at white space.
 
 Null texts and texts without a letter are `und` with score 0. If nothing can be learned, everything is `und`. Score: the
 share of the winner when each language weighs 2^-(its bits above the winner's / 8). Repeated rows each count; an empty
@@ -20,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from thicket.llm._common import read
-from thicket.llm._text import by_bytes, texts
+from thicket.llm._text import _slices, by_bytes, texts
 
-ROWS_PER_LANG, CHARS_PER_ROW, MODEL_BYTES, MAX_LANGS, SEGMENT = 48, 1024, 64 << 20, 256, 512
+ROWS_PER_LANG, CHARS_PER_ROW, SYMBOLS_PER_LANG, MAX_LANGS, SEGMENT = 48, 1024, 22_528, 256, 512
 FOLDS = 5
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[97:123] = np.arange(1, 27)
@@ -75,15 +78,32 @@ def automaton(text: np.ndarray) -> list[dict[int, int]]:
     return go
 
 
-def table(go: list[dict[int, int]]) -> np.ndarray:
-    """Next state times ALPHABET for each state and symbol; where a phrase ends there, less 2^31 (a new one has begun)."""
-    t = np.full((len(go), ALPHABET), -(1 << 31), np.int64)
-    for c, s in go[0].items():
-        t[:, c] += s * ALPHABET
-    for s, out in enumerate(go):
-        for c, to in out.items():
-            t[s, c] = to * ALPHABET
-    return t.astype(np.int32).ravel()
+def double_array(go: list[dict[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base of each state, and owner and next state of each cell: s goes by c to next[base[s] + c] if owner there is s."""
+    room = sum(map(len, go)) + 2 * ALPHABET + 1
+    base, owner, to = [0] * len(go), [-1] * room, [0] * room
+    low = begin = 0  # no cell before low is free; rows of several transitions are tried from begin on
+    for s in sorted(range(len(go)), key=lambda s: -len(go[s])):
+        out = list(go[s])
+        if not out:
+            continue
+        while low < len(owner) and owner[low] >= 0:
+            low += 1
+        at, tries = max(low - min(out), 0) if len(out) == 1 else max(begin, low - min(out), 0), 0
+        while True:
+            if at + ALPHABET >= len(owner):
+                owner += [-1] * room
+                to += [0] * room
+            if all(owner[at + c] < 0 for c in out):
+                break
+            at, tries = at + 1, tries + 1
+        if tries > 20:
+            begin = at
+        base[s] = at
+        for c in out:
+            owner[at + c], to[at + c] = s, go[s][c]
+    size = max(base) + ALPHABET
+    return tuple(np.array(x, np.int32) for x in (base, (owner + [-1] * size)[:size], (to + [0] * size)[:size]))
 
 
 def shared(rows: list[np.ndarray], most: int) -> np.ndarray:
@@ -96,16 +116,15 @@ def shared(rows: list[np.ndarray], most: int) -> np.ndarray:
 
 
 class Model:
-    """langs, and for each its table and the bits that a phrase costs."""
+    """langs, and for each its automaton and the bits that a phrase costs."""
 
-    def __init__(self, labelled: dict[str, list[str]], model_bytes: int = MODEL_BYTES):
+    def __init__(self, labelled: dict[str, list[str]], symbols_per_lang: int = SYMBOLS_PER_LANG):
         self.langs = sorted(labelled)
-        most = model_bytes // max(1, len(labelled)) // (2 * ALPHABET * 4)
-        parts = {k: shared([symbols(*texts(pa.array([t])))[0] for t in v], most) for k, v in labelled.items()}
-        tables = [table(automaton(parts[k])) for k in self.langs]
+        parts = {k: shared([symbols(*texts(pa.array([t])))[0] for t in v], symbols_per_lang) for k, v in labelled.items()}
+        machines = [automaton(parts[k]) for k in self.langs]
         self.bits = np.array([np.log2(max(2, len(parts[k]))) for k in self.langs])
-        self.base = np.cumsum([0, *map(len, tables)])[:-1]
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        self.arrays = [double_array(go) for go in machines]
+        self.roots = [np.array([go[0].get(c, 0) for c in range(ALPHABET)], np.int32) for go in machines]
 
     def phrases(self, sym: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Number of phrases of each text (rows) in each language."""
@@ -121,26 +140,32 @@ class Model:
         begin, length, text = begin[order], length[order], text[order]
         alive = np.searchsorted(-length, -np.arange(length[0]), "left")
         for k in range(len(self.langs)):
-            own, n = self.table[self.base[k] :], len(begin)
+            (base, owner, to), root, n = self.arrays[k], self.roots[k], len(begin)
             state, ended = np.zeros(n, np.int32), np.ones(n, np.int32)
             for t, a in enumerate(alive.tolist()):
-                to = own[state[:a] + sym[begin[:a] + t]]
-                ended[:a] += to < 0
-                np.bitwise_and(to, 0x7FFFFFFF, out=state[:a])
+                c = sym[begin[:a] + t]
+                cell = base[state[:a]] + c
+                stop = owner[cell] != state[:a]  # a phrase ends, a new one has begun with c
+                ended[:a] += stop
+                state[:a] = np.where(stop, root[c], to[cell])
             counts[k] = np.bincount(text, weights=ended, minlength=len(sizes)).astype(np.int64)
         return counts.T
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         offs, data = texts(column)
-        sym, sizes = symbols(offs, data)
-        raw = data[offs[0] : offs[-1]]
-        letter = np.concatenate([[0], np.cumsum((_SYMBOL[raw] > 0) & (raw < 128))])
-        some = letter[offs[1:] - offs[0]] > letter[offs[:-1] - offs[0]]
-        for i in np.flatnonzero(~some & (np.diff(offs) > 0)):
-            some[i] = any(map(str.isalpha, bytes(data[offs[i] : offs[i + 1]]).decode("utf-8", "replace")))
+        n = len(offs) - 1
+        some, counts = np.zeros(n, bool), np.zeros((n, len(self.langs)), np.int64)
+        for first, rows, cuts in _slices(offs, data):
+            own = slice(first, first + rows)
+            raw = data[cuts[0] : cuts[-1]]
+            letter = np.concatenate([[0], np.cumsum((_SYMBOL[raw] > 0) & (raw < 128))])
+            some[own] |= letter[cuts[1:] - cuts[0]] > letter[cuts[:-1] - cuts[0]]
+            for i in np.flatnonzero(~some[own] & (np.diff(cuts) > 0)):
+                some[first + i] = any(map(str.isalpha, bytes(data[cuts[i] : cuts[i + 1]]).decode("utf-8", "replace")))
+            counts[own] += self.phrases(*symbols(cuts, data))
         if not self.langs:
-            return ["und"] * len(sizes), np.zeros(len(sizes))
-        bits = self.phrases(sym, sizes) * self.bits
+            return ["und"] * n, np.zeros(n)
+        bits = counts * self.bits
         best = bits.argmin(1)
         share = 1 / np.exp2((bits.min(1, keepdims=True) - bits) / 8).sum(1)
         return [self.langs[k] if s else "und" for k, s in zip(best, some, strict=True)], np.where(some, share, 0.0)
@@ -153,19 +178,20 @@ def fold(folds: int = FOLDS):
 def train(docs: DataFrame, rows: int = ROWS_PER_LANG, chars: int = CHARS_PER_ROW, folds: int = FOLDS) -> Model:
     """A model of the labelled rows whose fold is not 0."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(folds) != 0))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").agg(F.approx_count_distinct("doc_id")).limit(MAX_LANGS + 1).collect()}
     if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages: the tables would pass their bound")
     if not counts:
         return Model({})
-    share = F.element_at(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, 4.0 * rows / v))]), F.col("lang"))
+    share = F.element_at(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, 4.0 * rows / max(1, v)))]), F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     place = (draw % F.greatest(F.lit(1), F.length("text") - chars + 1) + 1).cast("int")
     drawn = usable.where(draw < share * (1 << 30)).select("lang", draw.alias("draw"), F.col("text").substr(place, F.lit(chars)).alias("part"))
-    parts: dict[str, list[tuple[int, str]]] = {}
-    for lang, at, part in drawn.collect():  # some 4 * rows of each language, chars of each
-        parts.setdefault(lang, []).append((at, part))
-    return Model({k: [p for _, p in sorted(v)[:rows]] for k, v in parts.items()})
+    one = drawn.groupBy("lang", "draw").agg(F.min("part").alias("part")).withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
+    parts: dict[str, list[str]] = {}
+    for lang, _, part in sorted(one.where(F.col("nth") <= rows).select("lang", "draw", "part").collect()):  # chars of each
+        parts.setdefault(lang, []).append(part)
+    return Model(parts)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
