@@ -26,10 +26,14 @@ def unused(df: DataFrame, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df as written to the shared checkpoint folder: computed once, lineage cut, safe when executors go.
 
-    The folder is the one that the session names in spark.checkpoint.dir; a local one is made only where it is unset."""
+    The folder is the one that the session names in spark.checkpoint.dir. Where it is unset, a local session gets a folder of
+    its own; on a cluster, whose machines don't share local folders, that is an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -47,12 +51,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     return one.unionByName(rest.join(cold, key, how), allowMissingColumns=True)
 
 
-def id_bounds(df: DataFrame, column: str, buckets: int) -> list:
+def id_bounds(df: DataFrame, column: str, buckets: int) -> list[float]:
     """At most `buckets` - 1 ascending bounds that deal the rows of a numeric column out evenly."""
     if buckets < 2:
         return []
-    found = df.select(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], 10000)).first()[0]
-    return sorted({x for x in found or [] if x is not None})
+    return sorted(set(df.approxQuantile(column, [i / buckets for i in range(1, buckets)], 1e-4)))
 
 
 def buckets_of(spark: SparkSession) -> int:

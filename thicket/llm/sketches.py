@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,26 +111,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     d = d.withColumn("place", F.coalesce("doc_id", big))
     tasks = buckets_of(spark)
     bounds = id_bounds(d, "place", 4 * tasks)
-    step = max(1, round(len(bounds) ** 0.5))
-    coarse, fine = bounds[::step], [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if bounds:
-        # bounds below the place: those before its coarse bound, and of the ones after it
-        array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-        above = F.size(F.filter(array(coarse), lambda b: b < F.col("place")))
-        inside = F.element_at(F.array(*[array(x) for x in fine]), F.greatest(above, F.lit(1)))
-        bucket = F.when(above == 0, 0).otherwise((above - 1) * step + F.size(F.filter(inside, lambda b: b < F.col("place"))))
-    else:
-        bucket = F.lit(0)
-    d = d.withColumn("bucket", bucket.cast("int"))
-    firsts = sorted(d.groupBy("bucket").agg(F.min("place")).collect())  # a row for each bucket: 4 * tasks at most
+    deal = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="place", outputCol="bucket")  # a search in an array, whatever its length
+    d = (deal.transform(d) if bounds else d.withColumn("bucket", F.lit(0))).withColumn("bucket", F.col("bucket").cast("int"))
+    firsts = sorted(d.groupBy("bucket").agg(F.min("place")).collect())  # a row for each bucket
     if not firsts:
         return d.select("doc_id", "text", F.lit(False).alias("carried")).mapInArrow(_neighbours, SCHEMA)
-    sent_to = {place: firsts[i - 1][0] for i, (_, place) in enumerate(firsts)}
-    is_first = F.col("place").isin(list(sent_to))
-    to = F.element_at(F.create_map(*[F.lit(x) for k, v in sent_to.items() for x in (F.lit(k).cast("long"), F.lit(v).cast("int"))]), F.col("place"))
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("carried"))
-    dealt = d.withColumn("to", F.explode(F.when(is_first, F.array(own, F.struct(to.alias("bucket"), F.lit(True).alias("carried")))).otherwise(F.array(own))))
-    dealt = dealt.select("doc_id", "text", "to.carried", F.col("to.bucket").alias("_bucket"), "place")
+    sent = spark.createDataFrame([(place, firsts[i - 1][0]) for i, (_, place) in enumerate(firsts)], "place long, to int")
+    own, carried = (F.struct(F.col(c).alias("bucket"), F.lit(x).alias("carried")) for c, x in (("bucket", False), ("to", True)))
+    goes = F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, carried)))
+    dealt = d.join(F.broadcast(sent), "place", "left").withColumn("goes", goes).select("doc_id", "text", "goes.carried", F.col("goes.bucket").alias("_bucket"), "place")
     rows = dealt.repartition(tasks, "_bucket").sortWithinPartitions("_bucket", "carried", "place", "text")
     return rows.select("doc_id", "text", "carried").mapInArrow(_neighbours, SCHEMA)
 
