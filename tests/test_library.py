@@ -15,6 +15,7 @@ from thicket.operators import filtering, forest, fusion, importance, leaves, met
 from thicket.operators import matrix as X
 from thicket.plans import pipeline
 from thicket.sources import blocks as B
+from thicket.sources import checks
 
 
 def coo(spark, m, **keys):
@@ -501,3 +502,98 @@ def test_kinds_and_their_tops():
     assert filtering.top_of("b", 1, 10, "manual", manual={"2": 3}) == 3 and filtering.top_of("b", 1, 10, "manual", manual=[4]) == float("inf")
     with pytest.warns(UserWarning):
         assert tops_by_kind({"other": 3, "dnam": 2}) == {"methylation": 2.0}
+
+
+def test_argument_checks(spark):
+    assert checks.seed(-3.0) == -3 and checks.flag(True, "x") is True and checks.choice("a", "ab", "x") == "a"
+    for f, bad in ((checks.seed, ("1", 1.5, math.inf, 2**31, True)), (lambda v: checks.flag(v, "x"), (1, None, "yes")), (checks.square, ([], [1, 2], [[1, 2]], [["a"]])), (lambda v: checks.choice(v, ("a",), "x"), ("b",))):
+        for v in bad:
+            with pytest.raises(ValueError):
+                f(v)
+    assert checks.square([[1, 2], [3, 4]]).shape == (2, 2)
+    assert checks.variable_weights(None, ["a"], "w") is None and checks.variable_weights({"b": 1, "a": 3}, ["a", "b"], "w") == [0.75, 0.25]
+    for bad in ([1], [0, 0], [-1, 2], [math.nan, 1], {"a": 1}):
+        with pytest.raises(ValueError):
+            checks.variable_weights(bad, ["a", "b"], "w")
+    assert checks.per_block(None, ["a"]) == {"a": None} and checks.per_block(3, ["a", "b"]) == {"a": 3, "b": 3} and checks.per_block({"b": 2.0}, ["a", "b"]) == {"a": None, "b": 2}
+    with pytest.raises(ValueError):
+        checks.per_block("2", ["a"])
+    assert checks.aligned({"b": 1, "a": 2, "c": 3}, ["a", "b"]) == [2, 1] and checks.aligned([5, 6], ["a", "b"]) == [5, 6]
+    with pytest.raises(ValueError):
+        checks.aligned([5], ["a", "b"])
+    with pytest.raises(ValueError):
+        leaves.forest_weights(spark.createDataFrame([(0, 0, 0, 1)], "tree int, sample_idx int, leaf int, inbag int"), "some")
+    with pytest.raises(ValueError):
+        forest.Control(seed=1.5).check()
+
+
+def test_giant_share(spark):
+    w = coo(spark, [[0, 1, 0, 0, 0], [0, 0, 2, 0, 0], [0, 2, 0, 0, 0], [0, 0, 0, 9, 1], [0, 0, 0, 0, 0]])
+    assert X.giant_share(w, 5) == 0.6 and X.giant_share(w, 5, over=1.0) == 0.4 and X.giant_share(w, 5, symmetric=False) == 0.4
+    assert X.giant_share(w, 1) == 1.0 and X.giant_share(w.limit(0), 4) == 0.25
+
+
+def test_reconstruction_error(spark, grown):
+    f = grown[0] if isinstance(grown, tuple) else grown
+    w = leaves.forest_weights(f.membership)
+    long = lambda m, b: spark.createDataFrame([(i, b, f"f{k}", float(v)) for i, row in enumerate(m) for k, v in enumerate(row)], "sample_idx int, block string, feature string, value double")
+    dense = back(w, len(f.x))
+    side = lambda m: np.mean(((dense @ m - m) ** 2).mean(0) / m.var(0, ddof=1))
+    assert leaves.reconstruction_error(w, long(f.x, "x")) == pytest.approx(side(f.x))
+    assert leaves.reconstruction_error(w, long(f.x, "x"), long(f.y, "y")) == pytest.approx(side(f.x) + side(f.y))
+
+
+def test_path_importance_counts_every_passing(spark, grown):
+    f = grown[0] if isinstance(grown, tuple) else grown
+    n = len(f.x)
+    labels = [None if i % 7 == 0 else i % 2 for i in range(n)]
+    got = {(r["cluster"], r["side"], r["var"]): r["imd"] for r in importance.path_importance(f, spark.createDataFrame(list(enumerate(labels)), "sample_idx int, cluster int"), unit=False).collect()}
+    trees = {}
+    for r in f.nodes.collect():
+        trees.setdefault(r["tree"], {})[r["node"]] = r
+    sums = {}
+    for nodes in trees.values():
+        for i in range(n):
+            at = nodes[0]
+            while not at["is_leaf"] and labels[i] is not None:
+                for key, s in [((labels[i], "X", at["split_var"]), at["score"]), *(((labels[i], "Y", k), v) for k, v in at["y_stats"].items() if v > 0)]:
+                    total = sums.setdefault(key, [0.0, 0])
+                    total[0] += s
+                    total[1] += 1
+                at = nodes[at["left"] if f.x[i, at["split_var"]] <= at["split_val"] else at["right"]]
+    assert got.keys() == sums.keys() and all(got[k] == pytest.approx(a / b) for k, (a, b) in sums.items())
+    unit = importance.path_importance(f, spark.createDataFrame(list(enumerate(labels)), "sample_idx int, cluster int")).groupBy("cluster", "side").agg(F.sum(F.col("imd") * F.col("imd")).alias("s")).collect()
+    assert len(unit) == 4 and all(r["s"] == pytest.approx(1) for r in unit)
+
+
+def test_choosing_among_tuning_rows():
+    assert tuning.fused_most(10) == 10 and tuning.fused_most(10, 0.25) == 3 and tuning.fused_most(3, 9) == 3
+    with pytest.raises(ValueError):
+        tuning.fused_most(0)
+    seen = []
+    rows = tuning.until_elbow(list(range(1, 40)), lambda v: seen.append(v) or (min(v, 6)))
+    assert [r[0] for r in rows] == seen and 6 < len(rows) < 39
+    table = [{"v": v, "k": k, "cost": c, "silhouette": s, "gap": None, "entropy": None} for v, k, c, s in ((5, 2, 3.0, 0.1), (6, 2, 2.0, 0.4), (7, 2, 2.0, 0.2), (5, 3, None, 0.3))]
+    assert [(r["v"], r["k"]) for r in tuning.best_rows(table)] == [(6, 2)]
+    assert [(r["v"], r["k"]) for r in tuning.best_rows(table, "silhouette")] == [(6, 2), (5, 3)]
+    assert tuning.best_rows(table, "elbow") == [table[0]] and tuning.best_rows([*table, {"v": 9, "no_cut": True, "entropy": None}], "elbow")[0]["v"] == 9
+    curve = [{"v": v, "k": 2, "entropy": float(min(v, 6))} for v in range(1, 20)]
+    assert tuning.best_rows(curve, "elbow")[0]["v"] == tuning.elbow([r["v"] for r in curve], [r["entropy"] for r in curve])[0]
+    with pytest.raises(ValueError):
+        tuning.best_rows([])
+    block = np.kron(np.eye(3), np.ones((5, 5)))
+    found = tuning.evaluate(block, 3)
+    assert found["k"] == 3 and found["silhouette"] > 0.9 and tuning.evaluate(np.zeros((4, 4)))["gap"] is None
+    series = reports.tuning_series(C.spectral(block))
+    assert sum(chosen for *_, chosen in series) == 1 and {s for s, *_ in series} == {"eigenvalue difference", "eigenvalue"}
+    assert {s for s, *_ in reports.tuning_series(C.pam_tuned(1 - block, range(2, 6)))} >= {"score"}
+
+
+def test_pipeline_with_k_by_block_and_adaptive_selection(spark):
+    long = simulate.simulate_blocks(spark, 60, {"methyl": 8, "gene": 6})[0]
+    fit = pipeline.run(spark, long, {"shared": 3, "gene": 2}, trees=8, filter_mode="none", run_imd=True, select_rule="adaptive", adaptive_options={"taus": [0.2, 0.6, 1.0], "repeats": 1})
+    assert fit.clusters["shared"]["k"] == 3 and fit.clusters["gene"]["k"] == 2 and set(fit.clusters) == {"shared", "gene", "methyl"}
+    got = fit.selected.collect()
+    assert len(got) == 14 and 0 < sum(r["selected"] for r in got) and {r["block"] for r in got if r["selected"]} == {"gene", "methyl"}
+    assert [r["block"] for r in fit.tidy_shared().collect()] == ["gene", "methyl"]
+    assert {r["block"] for r in fit.own_importance().collect()} == {"gene", "methyl"}

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from thicket.functions import tree as kernel
 from thicket.functions.rng import Stream, seed_chain
 from thicket.plans.session import cut
+from thicket.sources import checks
 
 #: Bytes of both matrices, above which a forest refuses to broadcast and asks for a column-subsampled ensemble.
 MATRIX_BYTES = 1 << 30
@@ -70,6 +71,8 @@ class Control:
     y_weights: tuple | None = None
 
     def check(self) -> Control:
+        checks.seed(self.seed)
+        checks.flag(self.with_replacement, "with_replacement")
         for name, least in (("trees", 1), ("nsplit", 0), ("nodesize", 1), ("max_depth", 0)):
             v = getattr(self, name)
             if isinstance(v, bool) or v != int(v) or v < least:

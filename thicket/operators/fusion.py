@@ -24,9 +24,10 @@ def by_response(weights: DataFrame, alphas: DataFrame) -> DataFrame:
     return M.normalise_rows(mixed, ["response"])
 
 
-def overall(fused: DataFrame, how: str = "average", v: int | None = None, normalise: bool = True, ties: bool = True, responses: list[str] | None = None) -> DataFrame:
-    """(i, j, w): mean over the responses, or their least (then normalised), cut to the v largest if asked."""
-    k = fused.select("response").distinct().count()
+def overall(fused: DataFrame, how: str = "average", v: int | None = None, normalise: bool = True, ties: bool = True, responses: list[str] | None = None, k: int | None = None) -> DataFrame:
+    """(i, j, w): mean over the responses, or their least (then normalised), cut to the v largest if asked. k: their number,
+    which is otherwise counted, by a pass of its own."""
+    k = k or fused.select("response").distinct().count()
     if responses and (missing := set(responses) - {r[0] for r in fused.select("response").distinct().collect()}):
         raise ValueError(f"blocks {sorted(missing)} are nobody's response")
     if how == "average":
@@ -41,7 +42,7 @@ def reconstruct(weights: DataFrame, scores: DataFrame, model_v: int | None = 10,
     """Fused weights by response and overall, from raw (model, i, j, w) and (model, response, score)."""
     ready = M.prepare(weights, model_v, ["model"])
     fused = by_response(ready, shares(scores, **options))
-    return fused, overall(fused, how, fused_v)
+    return fused, overall(fused, how, fused_v, k=scores.select("response").distinct().count())
 
 
 def residual(long: DataFrame, fused: DataFrame) -> DataFrame:
@@ -62,13 +63,11 @@ def rank_connections(models: DataFrame, drop: float = 0.2, one_per_pair: bool =
     """model, response, predictor, rank_sum, kept, selected from (.., quality, nmse or null): average ranks of quality (high
     is good) and error (low is good); the worst share `drop` goes; of the two directions of a pair the better stays."""
     every = Window.partitionBy()
-    def average_rank(order):
-        first = F.rank().over(Window.orderBy(order))
-        ties = F.count("*").over(Window.partitionBy(order_column(order)))
-        return first + (ties - 1) / 2
-    def order_column(order):
-        return F.col("quality") if "quality" in str(order) else F.col("nmse")
-    r = models.withColumn("rank_sum", average_rank(F.desc("quality")) + F.when(F.col("nmse").isNull(), 0.0).otherwise(average_rank(F.asc("nmse"))))
+
+    def average_rank(column: str, order):
+        return F.rank().over(Window.orderBy(order(column))) + (F.count("*").over(Window.partitionBy(column)) - 1) / 2
+
+    r = models.withColumn("rank_sum", average_rank("quality", F.desc) + F.when(F.col("nmse").isNull(), 0.0).otherwise(average_rank("nmse", F.asc)))
     r = r.withColumn("limit", F.expr(f"percentile(rank_sum, {1 - drop})").over(every))
     r = r.withColumn("kept", (F.col("rank_sum") <= F.col("limit")) | (F.col("rank_sum") == F.min("rank_sum").over(every)))
     pair = Window.partitionBy(F.least("response", "predictor"), F.greatest("response", "predictor"), "kept").orderBy("rank_sum", F.desc("quality"), "model")

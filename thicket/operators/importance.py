@@ -107,6 +107,25 @@ def cluster_imd(forest, clusters: DataFrame, least: int = 20) -> tuple[DataFrame
     return x_side.unionByName(y_side.select("cluster", F.lit("Y").alias("side"), "var", "imd")), status
 
 
+def path_importance(forest, clusters: DataFrame, unit: bool = True) -> DataFrame:
+    """(cluster, side, var, imd): the mean score of the splits that a cluster's samples pass on their ways to their leaves.
+
+    Every passing of a sample through a node counts once: on the X side with the node's score for its split feature, on the
+    Y side with the node's statistic of each response that is above 0. unit: each side is scaled to a length of 1. Features
+    that a cluster never meets are absent. Samples without a cluster count for none."""
+    visits = node_samples(forest.nodes, forest.membership, leaf_ancestors(forest.nodes)).join(clusters.where("cluster IS NOT NULL"), "sample_idx")
+    passed = visits.groupBy("cluster", "tree", "node").agg(F.count("*").alias("times"))
+    nodes = forest.nodes.where("NOT is_leaf").select("tree", "node", "split_var", "score", "y_stats")
+    at = passed.join(nodes, ["tree", "node"])
+    x = at.select("cluster", F.lit("X").alias("side"), F.col("split_var").alias("var"), F.col("score").alias("s"), "times")
+    y = at.select("cluster", F.lit("Y").alias("side"), "times", F.explode("y_stats").alias("var", "s")).where("s > 0").select("cluster", "side", "var", "s", "times")
+    out = x.unionByName(y).groupBy("cluster", "side", "var").agg((F.sum(F.col("s") * F.col("times")) / F.sum("times")).alias("imd"))
+    if not unit:
+        return out
+    length = F.sqrt(F.sum(F.col("imd") * F.col("imd")).over(Window.partitionBy("cluster", "side")))
+    return out.withColumn("length", length).withColumn("imd", F.when(F.col("length") > 0, F.col("imd") / F.col("length")).otherwise(F.col("imd"))).drop("length")
+
+
 def pairwise(nodes: DataFrame, n_trees: int) -> DataFrame:
     """var, msrv, w: each split adds 1 / (depth + 1) to its pair; by tree."""
     return nodes.where("split_var >= 0 AND msrv IS NOT NULL").groupBy(F.col("split_var").alias("var"), "msrv").agg((F.sum(1 / (F.col("depth") + 1)) / n_trees).alias("w"))

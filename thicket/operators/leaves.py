@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thicket.functions.stats import principal_scores, spearman
+from thicket.sources import checks
 
 
 def _pairs(m: DataFrame) -> DataFrame:
@@ -22,6 +23,7 @@ def _pairs(m: DataFrame) -> DataFrame:
 def forest_weights(m: DataFrame, mode: str = "all") -> DataFrame:
     """(i, j, w): mean over trees of j's share among the donors of i's leaf. all: every sample is a donor; inbag: by draws;
     oob: by draws, in trees that did not draw i. A row without a tree that counts is absent."""
+    checks.choice(mode, ("all", "inbag", "oob"), "mode")
     mass: Column = F.lit(1) if mode == "all" else F.col("inbag")
     leaf = Window.partitionBy("tree", "leaf")
     d = m.withColumn("mass", mass.cast("double")).withColumn("total", F.sum("mass").over(leaf))
@@ -136,6 +138,11 @@ def nmse(weights: DataFrame, long: DataFrame) -> DataFrame:
     return error.join(spread, ["block", "feature"]).agg(F.avg(F.col("e") / F.greatest("v", F.lit(1e-12))).alias("nmse"))
 
 
+def reconstruction_error(weights: DataFrame, x: DataFrame, y: DataFrame | None = None) -> float:
+    """The sum over the sides of the mean error of W times a side's block, each feature's over its sample variance."""
+    return sum(nmse(weights, side).first()[0] for side in (x, y) if side is not None)
+
+
 def co_membership(labels: DataFrame) -> DataFrame:
     a, b = labels.select(F.col("sample_idx").alias("i"), "cluster"), labels.select(F.col("sample_idx").alias("j"), "cluster")
     return a.join(b, "cluster").select("i", "j", F.lit(1.0).alias("w"))

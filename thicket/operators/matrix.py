@@ -103,6 +103,19 @@ def modularity(w: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.agg(F.sum("d").alias("t"), F.sum("inside").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q")).select((F.col("s") / F.col("t") - F.col("q") / (F.col("t") * F.col("t"))).alias("modularity"))
 
 
+def giant_share(w: DataFrame, n: int, over: float = 0.0, symmetric: bool = True) -> float:
+    """Share of the n samples in the largest component of the entries above `over`; 1 for one sample or none.
+
+    A component takes an entry in either direction for an edge; without `symmetric` the weaker direction must be one too."""
+    if n <= 1:
+        return 1.0
+    edges = w.where((F.col("w") > over) & (F.col("i") != F.col("j")))
+    if not symmetric:
+        edges = edges.join(transpose(edges.select("i", "j")), ["i", "j"], "left_semi")
+    largest = components(edges.select("i", "j", "w"), over).groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (largest or 1) / n
+
+
 def components(w: DataFrame, over: float = 0.0) -> DataFrame:
     """i, component (least sample reachable by entries above `over` in either direction); labels are halved in path
     length each round and every round is checkpointed."""

@@ -80,7 +80,8 @@ def network(w: DataFrame, at: float | None = None, q: float = 0.75) -> DataFrame
     pairs = w.where("i < j AND w > 0")
     if at is not None:
         return pairs.where(F.col("w") > at)
-    return pairs.withColumn("_c", F.expr(f"percentile(w, {q})").over(Window.partitionBy())).where("round(w, 12) > round(_c, 12)").drop("_c")
+    limit = pairs.agg(F.expr(f"percentile(w, {q})").alias("_c"))  # one row
+    return pairs.crossJoin(F.broadcast(limit)).where("round(w, 12) > round(_c, 12)").drop("_c")
 
 
 def chords(w: DataFrame, groups: DataFrame, over: float = 0.0) -> DataFrame:
@@ -89,5 +90,17 @@ def chords(w: DataFrame, groups: DataFrame, over: float = 0.0) -> DataFrame:
     return w.where((F.col("i") < F.col("j")) & (F.col("w") > over)).join(groups.withColumnRenamed("group", "group_i"), "i").join(other, "j").select("i", "j", "w", "group_i", "group_j")
 
 
+def tuning_series(found: dict) -> list[tuple[str, float, float, bool]]:
+    """(series, x, y, chosen) rows of a choice of k: what a plot of it shows. found: of spectral() or pam_tuned()."""
+    rows = []
+    if "gaps" in found:
+        rows += [("eigenvalue difference", float(k), float(g), k == found["k"]) for k, g in zip(found["ks"], found["gaps"], strict=True)]
+        rows += [("eigenvalue", float(i + 1), float(v), False) for i, v in enumerate(found["values"])]
+    else:
+        rows += [("score", float(k), float(s), k == found["k"]) for k, s in zip(found["tried"], found["scores"], strict=True)]
+        rows += [("step", float(k), float(s), k == found["k"]) for k, s in zip(found["tried"], found["steps"], strict=False)]
+    return rows
+
+
 def labels_frame(spark, samples: list, labels) -> DataFrame:
     return spark.createDataFrame([(int(i), int(c)) for i, c in zip(samples, labels, strict=True)], "sample_idx long, cluster int")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from thicket.functions import cluster as C
 from thicket.operators import fusion
 from thicket.operators import matrix as M
 from thicket.plans.session import cut
+from thicket.sources import checks
 
 
 def grid(lower: float, upper: float, by: float = 1, most: int | None = None) -> list[int]:
@@ -91,6 +94,56 @@ def elbow(v: list[float], entropy: list[float], rel_tol: float = 0.25, abs_tol:
     return knee(v, entropy, first, window)
 
 
+def fused_most(n: int, share: float = 1.0) -> int:
+    """The largest cut-off to try for a matrix of n samples."""
+    if not math.isfinite(n) or not math.isfinite(share) or n <= 0 or share <= 0:
+        raise ValueError("n and share must be finite and above 0")
+    return max(1, min(math.ceil(share * int(n)), int(n)))
+
+
+def until_elbow(candidates: list, entropy_of, **options) -> list[tuple]:
+    """(candidate, entropy) rows in order, up to the candidate at which the elbow by small gains is seen."""
+    rows: list[tuple] = []
+    for v in candidates:
+        rows.append((v, float(entropy_of(v))))
+        if len(rows) > 1 and elbow([r[0] for r in rows], [r[1] for r in rows], **options)[1] == "small gain":
+            break
+    return rows
+
+
+def evaluate(s, k: int | None = None) -> dict:
+    """cost, silhouette, largest gap and k of the spectral clusters of a similarity; None where there is nothing to cluster."""
+    s = np.asarray(s, float)
+    s = np.where(np.isfinite(s), s, 0.0)
+    s = (s + s.T) / 2
+    np.fill_diagonal(s, 0)
+    if len(s) < 3 or np.abs(s).sum() <= np.finfo(float).eps:
+        return {"cost": None, "silhouette": None, "gap": None, "k": k}
+    found = C.spectral(s, [k] if k else range(2, min(12, len(s) - 1) + 1))
+    return {"cost": float(found["cost"]), "silhouette": found["silhouette"], "gap": float(max(found["gaps"])), "k": len(set(found["labels"].tolist()))}
+
+
+def best_rows(rows: list[dict], by: str = "cost") -> list[dict]:
+    """Of rows (v, k, cost, silhouette, gap, entropy) the best for each k: the first of least cost, or of largest silhouette
+    or gap. by elbow: the one row at the elbow of entropy over v; without entropies the first one that cuts nothing, else the
+    one of least v."""
+    checks.choice(by, ("cost", "silhouette", "gap", "elbow"), "by")
+    if not rows:
+        raise ValueError("there are no rows to choose from")
+    if by == "elbow":
+        known = sorted((r for r in rows if r.get("entropy") is not None and math.isfinite(r["entropy"])), key=lambda r: r["v"])
+        if not known:
+            return [next((r for r in rows if r.get("no_cut")), min(rows, key=lambda r: r["v"]))]
+        place, _ = elbow([r["v"] for r in known], [r["entropy"] for r in known])
+        return [known[min(place or 4, len(known)) - 1]]
+    sign = 1 if by == "cost" else -1
+    best: dict = {}
+    for r in rows:
+        if r[by] is not None and (r["k"] not in best or sign * r[by] < sign * best[r["k"]][by]):
+            best[r["k"]] = r
+    return [best[k] for k in sorted(best)]
+
+
 def tune_model_top(weights: DataFrame, scores: DataFrame, n: int, least: int = 10, most: int = 20) -> dict:
     """The models' cut-off by the elbow of the fused matrix's entropy."""
     alphas = cut(fusion.shares(scores))

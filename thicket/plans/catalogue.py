@@ -6,7 +6,6 @@ dims; N, complete binary trees in arithmetic; W, the weights of M."""
 from __future__ import annotations
 
 import math
-from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thicket.functions import cluster as C
+from thicket.functions import tree as kernel
 from thicket.operators import filtering, forest, fusion, importance, leaves, merging, metrics, reports, selection, simulate, tuning
 from thicket.operators import matrix as X
 from thicket.plans import pipeline, reconstruct
@@ -104,6 +104,10 @@ def labels(spark, sf) -> DataFrame:
     return B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id", "label"]).select(F.col("vec_id").alias("sample_idx"), F.col("label").alias("cluster"))
 
 
+def samples(spark, sf) -> int:
+    return B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id"]).count()
+
+
 # blocks and filters
 
 
@@ -190,16 +194,16 @@ def _(spark, sf):
     " SELECT var, round(cut, 8) + 0.0 AS cut, round(score, 6) + 0.0 AS score FROM g ORDER BY g.score DESC, var, cut LIMIT 1"
 ))
 def _(spark, sf):
-    e = E(spark, sf)
-    by = Window.partitionBy("feature_idx")
-    z = e.where("feature_idx BETWEEN 32 AND 34").select("sample_idx", F.col("feature_idx").alias("response"), ((F.col("value") - F.avg("value").over(by)) / F.stddev_pop("value").over(by)).alias("z"))
-    x = e.where("feature_idx < 4").select("sample_idx", F.col("feature_idx").alias("var"), F.col("value").alias("x"))
-    w = Window.partitionBy("var", "response").orderBy("x", "sample_idx")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    o = x.join(z, "sample_idx").select("var", "x", F.sum("z").over(upto).alias("s"), F.count("*").over(upto).alias("nl"), F.lead("x").over(w).alias("nx"), F.count("*").over(Window.partitionBy("var", "response")).alias("n"))
-    s2 = F.col("s") * F.col("s")
-    g = o.where("nx > x").groupBy("var", F.col("x").alias("cut")).agg(F.avg(s2 / F.col("nl") + s2 / (F.col("n") - F.col("nl"))).alias("score"))
-    return g.orderBy(F.desc("score"), "var", "cut").limit(1).withColumn("score", F.round("score", 6))
+    a, b, _l = two_blocks(spark, sf, scale=False)
+    found = kernel.best_split(a[:, :4], b[:, :3], np.arange(len(a)), 4, 3, 0, _InOrder())
+    return spark.createDataFrame([(found[0], found[1], round(found[2], 6))], "var int, cut double, score double")
+
+
+class _InOrder:
+    """A stream that draws candidates in their order, so that the kernel tries all of them and the first wins ties."""
+
+    def without_replacement(self, pool, k):
+        return list(pool)[:k]
 
 
 @query("split_stats", E_SQL + (
@@ -320,14 +324,14 @@ def _(spark, sf):
     return X.row_entropy(X.prepare(W(spark, sf), 10))
 
 
-@query("neff_topv", ADJ_SQL + ", z AS (SELECT i, w / sum(w) OVER (PARTITION BY i) AS p FROM adj), h AS (SELECT exp(-sum(p * ln(p))) AS n FROM z GROUP BY i) SELECT least(500, greatest(10, ceil(quantile_cont(n, 0.5))))::BIGINT AS v FROM h")
+@query("neff_topv", ADJ_SQL + ", z AS (SELECT i, w / sum(w) OVER (PARTITION BY i) AS p FROM adj), h AS (SELECT exp(-sum(p * ln(p))) AS n FROM z GROUP BY i) SELECT least((SELECT count(*) FROM embeddings), greatest(10, ceil(quantile_cont(n, 0.5))))::BIGINT AS v FROM h")
 def _(spark, sf):
-    return spark.createDataFrame([(X.effective_top(X.adjust(W(spark, sf)), 500),)], "v long")
+    return spark.createDataFrame([(X.effective_top(X.adjust(W(spark, sf)), samples(spark, sf)),)], "v long")
 
 
-@query("fused_entropy", TOP_SQL + f", h AS (SELECT -sum(w * ln(w)) AS h FROM p GROUP BY i) SELECT {r('sum(h) / (500 * ln(500))')} AS entropy FROM h")
+@query("fused_entropy", TOP_SQL + f", h AS (SELECT -sum(w * ln(w)) AS h FROM p GROUP BY i) SELECT {r('sum(h) / any_value(n * ln(n))')} AS entropy FROM h, (SELECT count(*)::DOUBLE AS n FROM embeddings)")
 def _(spark, sf):
-    return X.mean_entropy(X.prepare(W(spark, sf), 10), 500)
+    return X.mean_entropy(X.prepare(W(spark, sf), 10), samples(spark, sf))
 
 
 @query("weight_concentration", TOP_SQL + f", h AS (SELECT -sum(w * ln(w)) AS h, count(*) AS k FROM p GROUP BY i) SELECT {r('1 - avg(h / ln(k))')} AS concentration FROM h")
@@ -335,11 +339,23 @@ def _(spark, sf):
     return X.concentration(X.prepare(W(spark, sf), 10))
 
 
-@query("gcc_ratio", "RECURSIVE u AS (SELECT n_nationkey AS i, n_nationkey % 7 AS j FROM nation WHERE n_nationkey % 3 > 0), v AS (SELECT i, j FROM u WHERE i <> j UNION SELECT j, i FROM u WHERE i <> j), a AS (SELECT i FROM u UNION SELECT j FROM u), c AS (SELECT i, i AS c FROM a UNION SELECT v.j, c.c FROM c JOIN v ON v.i = c.i) SELECT i, min(c)::BIGINT AS component FROM c GROUP BY i".replace("SELECT i,", "SELECT i::BIGINT AS i,"))
-def _(spark, sf):
-    n = B.read_table(spark, f"{sf}/nation.parquet", ["n_nationkey"]).where("n_nationkey % 3 > 0")
+GRAPH_SQL = "RECURSIVE u AS (SELECT n_nationkey::BIGINT AS i, (n_nationkey % 7)::BIGINT AS j FROM nation), v AS (SELECT i, j FROM u WHERE i <> j AND (i + j) % 4 > 0 UNION SELECT j, i FROM u WHERE i <> j AND (i + j) % 4 > 0), a AS (SELECT i FROM u UNION SELECT j FROM u), c AS (SELECT i, i AS c FROM a UNION SELECT v.j, c.c FROM c JOIN v ON v.i = c.i), m AS (SELECT i, min(c) AS component FROM c GROUP BY i)"
+
+
+def _graph(spark, sf) -> DataFrame:
+    """An edge from each nation's key to its remainder by 7, of weight (i + j) mod 4: some of 0, below every threshold."""
     k = F.col("n_nationkey").cast("long")
-    return X.components(n.select(k.alias("i"), (k % 7).alias("j"), F.lit(1.0).alias("w")))
+    return B.read_table(spark, f"{sf}/nation.parquet", ["n_nationkey"]).select(k.alias("i"), (k % 7).alias("j"), ((k + k % 7) % 4).cast("double").alias("w"))
+
+
+@query("components", GRAPH_SQL + " SELECT i, component FROM m")
+def _(spark, sf):
+    return X.components(_graph(spark, sf))
+
+
+@query("gcc_ratio", GRAPH_SQL + f", z AS (SELECT component, count(*) AS n FROM m GROUP BY 1) SELECT {r('max(n) / (SELECT count(*) FROM nation)::DOUBLE')} AS ratio FROM z")
+def _(spark, sf):
+    return spark.createDataFrame([(X.giant_share(_graph(spark, sf), B.read_table(spark, f"{sf}/nation.parquet").count()),)], "ratio double")
 
 
 @query("sim_second", TOP_SQL + f" SELECT a.i, b.i AS j, {r('sum(a.w * b.w)')} AS w FROM p a JOIN p b USING (j) WHERE a.i <> b.i GROUP BY ALL")
@@ -394,12 +410,12 @@ def _(spark, sf):
 
 @query("fuse_global_avg", TWO_SQL + f" SELECT i, j, {r('sum(w) / 2')} AS w FROM f GROUP BY ALL")
 def _(spark, sf):
-    return fusion.overall(fused(spark, sf))
+    return fusion.overall(fused(spark, sf), k=2)
 
 
 @query("fuse_global_pmin", TWO_SQL + f", g AS (SELECT i, j, min(w) AS w FROM f GROUP BY ALL HAVING count(*) = 2) SELECT i, j, {r('w / sum(w) OVER (PARTITION BY i)')} AS w FROM g")
 def _(spark, sf):
-    return fusion.overall(fused(spark, sf), "pmin")
+    return fusion.overall(fused(spark, sf), "pmin", k=2)
 
 
 RES_SQL = TWO_SQL + ", sh AS (SELECT f.response AS block, f.i AS vec_id, e.dim, sum(f.w * e.v) AS s FROM f JOIN e ON e.block = f.response AND e.vec_id = f.j WHERE e.dim IN (0, 1, 2, 32, 33, 34) GROUP BY ALL), rs AS (SELECT block, vec_id, dim, e.v, e.v - coalesce(s, 0) AS rv FROM e LEFT JOIN sh USING (block, vec_id, dim) WHERE dim IN (0, 1, 2, 32, 33, 34))"
@@ -434,6 +450,16 @@ def _(spark, sf):
     return leaves.nmse(leaves.oob_weights(M(spark, sf)), _six(spark, sf))
 
 
+@query("r_squared_error", W_SQL + (
+    ", pr AS (SELECT i, dim, sum(w * v) AS p FROM w JOIN e ON e.vec_id = j GROUP BY ALL), er AS (SELECT pr.dim, e.block, avg(pow(p - v, 2)) AS er FROM pr JOIN e ON e.vec_id = i AND e.dim = pr.dim GROUP BY pr.dim, e.block)"
+    ", vr AS (SELECT dim, greatest(var_samp(v), 1e-12) AS vr FROM e GROUP BY dim), bl AS (SELECT block, avg(er / vr) AS e FROM er JOIN vr USING (dim) GROUP BY block)"
+    f" SELECT {r('sum(e)')} AS error FROM bl"
+))
+def _(spark, sf):
+    e = E(spark, sf)
+    return spark.createDataFrame([(leaves.reconstruction_error(W(spark, sf), e.where("block = 'A'"), e.where("block = 'B'")),)], "error double")
+
+
 @query("elbow_table", (
     "c AS (SELECT r_regionkey AS v, ln(2 + r_regionkey::DOUBLE) AS entropy FROM region), d AS (SELECT *, entropy - lag(entropy) OVER (ORDER BY v) AS delta FROM c)"
     f" SELECT v, {r('entropy')} AS entropy, {r('delta')} AS delta, {r('CASE WHEN delta IS NOT NULL THEN greatest(delta, 0) END')} AS gain, {r('CASE WHEN delta IS NOT NULL THEN avg(greatest(delta, 0)) FILTER (WHERE delta IS NOT NULL) OVER (ORDER BY v ROWS 2 PRECEDING) END')} AS smooth FROM d"
@@ -444,9 +470,9 @@ def _(spark, sf):
 
 @query("candidate_entropies", TWO_SQL.replace(", mp AS", ", cv(v) AS (VALUES (5), (10), (20)), mp AS").replace("(SELECT model, i, j, w / sum(w) OVER (PARTITION BY model, i) AS w FROM mr WHERE rk <= 10)", "(SELECT v, model, i, j, w / sum(w) OVER (PARTITION BY v, model, i) AS w FROM mr JOIN cv ON rk <= v)")
        .replace("fx AS (SELECT response, i,", "fx AS (SELECT v, response, i,").replace("f AS (SELECT response, i, j, w / sum(w) OVER (PARTITION BY response, i)", "f AS (SELECT v, response, i, j, w / sum(w) OVER (PARTITION BY v, response, i)")
-       + f", g AS (SELECT v, i, j, sum(w) / 2 AS w FROM f GROUP BY ALL), gn AS (SELECT v, i, w / sum(w) OVER (PARTITION BY v, i) AS p FROM g), h AS (SELECT v, i, -sum(p * ln(p)) AS h FROM gn GROUP BY ALL) SELECT v, {r('sum(h) / (500 * ln(500))')} AS entropy FROM h GROUP BY v")
+       + f", g AS (SELECT v, i, j, sum(w) / 2 AS w FROM f GROUP BY ALL), gn AS (SELECT v, i, w / sum(w) OVER (PARTITION BY v, i) AS p FROM g), h AS (SELECT v, i, -sum(p * ln(p)) AS h FROM gn GROUP BY ALL) SELECT v, {r('sum(h) / any_value(n * ln(n))')} AS entropy FROM h, (SELECT count(*)::DOUBLE AS n FROM embeddings) GROUP BY v")
 def _(spark, sf):
-    return tuning.candidate_entropies(two_models(spark, sf), fusion.shares(two_scores(spark)), [5, 10, 20], 500)
+    return tuning.candidate_entropies(two_models(spark, sf), fusion.shares(two_scores(spark)), [5, 10, 20], samples(spark, sf))
 
 
 # importance and selection
@@ -696,11 +722,12 @@ def _(spark, sf):
 # kernels: no SQL
 
 
-def two_blocks(spark, sf):
+def two_blocks(spark, sf, scale: bool = True):
     d = B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id", "embedding", "label"])
     got = d.orderBy("vec_id").toPandas()
     x = np.stack(got["embedding"]).astype(float)
-    x = (x - x.mean(0)) / x.std(0, ddof=1)
+    if scale:
+        x = (x - x.mean(0)) / x.std(0, ddof=1)
     return x[:, :32], x[:, 32:], got["label"].to_numpy()
 
 
@@ -771,31 +798,21 @@ def _(spark, sf):
     a, b, _l = two_blocks(spark, sf)
     control = forest.Control(trees=4, nodesize=8)
     f = forest.fit(spark, b, a, control)
-    names = {"X": [f"x{k}" for k in range(32)], "Y": [f"y{k}" for k in range(32)]}
-    means = {"X": importance.per_tree(f.nodes), "Y": importance.per_tree(f.nodes, "msrv")}
-    weights = {s: {n: 0.0 for n in names[s]} | {names[s][v[0]]: v[1] for v in m.groupBy("var").agg((F.sum("imd") / 4).alias("w")).collect()} for s, m in means.items()}
-
-    def score(kept, jobs):
-        out = []
-        grown = forest.grow_trees(spark, [
-            {"conn_id": k, "rep": 0, "x": b[:, [names["X"].index(n) for n in kept[t]["X"]]], "y": a[:, [names["Y"].index(n) for n in kept[t]["Y"]]], "control": replace(control, seed=s)} for k, (t, s) in enumerate(jobs)
-        ])
-        _nodes, m = forest.tables(grown, list(range(len(a))))
-        values = spark.createDataFrame([(i, "X" if k < 32 else "Y", f"f{k}", float(v)) for i, row in enumerate(np.hstack([b, a])) for k, v in enumerate(row)], "sample_idx int, block string, feature string, value double")
-        w = leaves.oob_weights(m.withColumn("tree", F.struct("conn_id", "tree")).withColumn("sample_idx", F.col("conn_id").cast("long") * len(a) + F.col("sample_idx")))
-        x = spark.range(len(jobs)).select(F.col("id").cast("int").alias("c")).crossJoin(values).withColumn("sample_idx", F.col("c").cast("long") * len(a) + F.col("sample_idx"))
-        keep = spark.createDataFrame([(k, f"f{names[s].index(n) + 32 * (s == 'Y')}") for k, (t, _s) in enumerate(jobs) for s in "XY" for n in kept[t][s]], "c int, feature string")
-        x = x.join(keep, ["c", "feature"], "left_semi")
-        p = w.join(x.withColumnRenamed("sample_idx", "j"), "j").groupBy("i", "c", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("p"))
-        e = p.join(x.withColumnRenamed("sample_idx", "i"), ["i", "c", "feature"]).groupBy("c", "feature").agg(F.avg(F.pow(F.col("p") - F.col("value"), 2)).alias("e"))
-        found = dict(e.groupBy("c").agg(F.avg("e")).collect())
-        out = [found.get(k, math.nan) for k in range(len(jobs))]
-        return out
-
-    got = selection.adaptive(weights, score, [0.8, 1.0, 1.2, 1.4], 2)
+    weights = {}
+    for side, column, names in (("X", "split_var", f.x_names), ("Y", "msrv", f.y_names)):
+        mean = dict(importance.per_tree(f.nodes, column).groupBy("var").agg((F.sum("imd") / 4).alias("w")).collect())
+        weights[side] = {n: mean.get(k, 0.0) for k, n in enumerate(names)}
+    got = selection.adaptive(weights, pipeline.refit_errors(spark, b, a, f.x_names, f.y_names, control), [0.8, 1.0, 1.2, 1.4], 2)
     return spark.createDataFrame([(float(t), float(e), t == got["tau"]) for t, e in got["trace"]], "tau double, error double, chosen boolean")
 
 
+@query("path_importance")
+def _(spark, sf):
+    a, b, l = two_blocks(spark, sf)  # noqa: E741
+    f = forest.fit(spark, b, a, forest.Control(trees=6, nodesize=20))
+    return importance.path_importance(f, reports.labels_frame(spark, range(len(l)), l).withColumn("sample_idx", F.col("sample_idx").cast("int")))
+
+
 @query("cluster_imd")
 def _(spark, sf):
     a, b, l = two_blocks(spark, sf)  # noqa: E741

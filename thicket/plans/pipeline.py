@@ -5,6 +5,7 @@ to the driver; every stage's tables are DataFrames of the result."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -17,6 +18,7 @@ from thicket.operators import filtering, forest, fusion, importance, leaves, met
 from thicket.operators import matrix as M
 from thicket.plans.session import cut
 from thicket.sources import blocks as B
+from thicket.sources import checks
 
 SAMPLES = 10_000
 
@@ -104,6 +106,21 @@ class Fit:
     def get_vs_summary(self):
         return selection.summary(self.selected)
 
+    def tidy_shared(self) -> DataFrame:
+        """block, shared_frac; no rows before the fusion."""
+        if self.shared_fraction is None:
+            return self.spark.createDataFrame([], "block string, shared_frac double")
+        return self.shared_fraction.orderBy("block")
+
+    def own_importance(self, unit: bool = False) -> DataFrame:
+        """block, feature, imd of the blocks' own forests, each on what the other blocks don't share with it."""
+        out = None
+        for block, m in self.own_models.items():
+            features = self.spark.createDataFrame(list(enumerate(m.x_names)), "var int, feature string")
+            rows = importance.forest_mean(importance.per_tree(m.nodes), m.control.trees, features).select(F.lit(block).alias("model"), F.lit(block).alias("block"), "feature", "imd")
+            out = rows if out is None else out.unionByName(rows)
+        return importance.block_mean(out, unit)
+
     def tidy_clusters(self) -> DataFrame:
         return reports.tidy_clusters({b: reports.labels_frame(self.spark, self.samples, c["labels"]) for b, c in self.clusters.items()})
 
@@ -158,8 +175,10 @@ def model_weights(fit: Fit) -> DataFrame:
     return cut(out)
 
 
-def run(spark: SparkSession, long: DataFrame, k: int | None = None, trees: int = 300, model_v: int | str | None = "elbow", fused_v: int | None = None, how: str = "average", main: str = "similarity", run_imd: bool = False, select_rule: str | None = None, robust: bool = False, seed: int = 529, **options) -> Fit:
-    """All stages. model_v: a number, None (keep all), 'elbow' or 'neff'; main: similarity, proximity or enhanced."""
+def run(spark: SparkSession, long: DataFrame, k: int | dict | None = None, trees: int = 300, model_v: int | str | None = "elbow", fused_v: int | None = None, how: str = "average", main: str = "similarity", run_imd: bool = False, select_rule: str | None = None, robust: bool = False, seed: int = 529, adaptive_options: dict | None = None, **options) -> Fit:
+    """All stages. model_v: a number, None (keep all), 'elbow' or 'neff'; main: similarity, proximity or enhanced;
+    k: one number for all, or one for 'shared' and for each block, tuned where it is absent; select_rule: t, mixture, threshold
+    or adaptive."""
     control = replace(options.pop("control", None) or forest.Control(), seed=seed)
     fit = start(spark, long, trees, control=control, **options)
     n = len(fit.samples)
@@ -176,20 +195,21 @@ def run(spark: SparkSession, long: DataFrame, k: int | None = None, trees: int =
     index = spark.createDataFrame([(s, i) for i, s in enumerate(fit.samples)], "sample_idx long, at int")
     placed = fit.long.join(F.broadcast(index), "sample_idx").withColumn("sample_idx", F.col("at")).drop("at")
     answering = [p[0] for p in fit.pairs]
+    ks = checks.per_block(k, ["shared", *answering])
     fit.residual = cut(fusion.residual(placed.where(F.col("block").isin(answering)), fit.fused))
     fit.shared_fraction = fusion.shared_fraction(placed, fit.residual)
     if main == "similarity":
-        fit.clusters["shared"] = cluster_similarity(dense(M.second_order(fit.overall), n), k)
+        fit.clusters["shared"] = cluster_similarity(dense(M.second_order(fit.overall), n), ks["shared"])
     else:
         prox = [leaves.enhanced_of(m) if main == "enhanced" else leaves.proximity(m.membership) for m in fit.models]
-        fit.clusters["shared"] = cluster_proximity(prox, n, k)
+        fit.clusters["shared"] = cluster_proximity(prox, n, ks["shared"])
     for block in dict.fromkeys(answering):
         m, _, names = B.to_matrix(fit.residual.where(F.col("block") == block))
         own = forest.fit(spark, m, None, replace(control, trees=trees), names, samples=fit.samples, response=block, predictor=block)
         fit.own_models[block] = own
         fit.own_weights[block] = cut(M.prepare(leaves.forest_weights(own.membership), fit.model_v))
         s = M.second_order(fit.own_weights[block]) if main == "similarity" else leaves.proximity(own.membership)
-        fit.clusters[block] = cluster_similarity(dense(s, n), k, "spectral" if main == "similarity" else "pam")
+        fit.clusters[block] = cluster_similarity(dense(s, n), ks[block], "spectral" if main == "similarity" else "pam")
     if run_imd or select_rule:
         fit.imd = block_importance(fit)
     if select_rule:
@@ -197,6 +217,8 @@ def run(spark: SparkSession, long: DataFrame, k: int | None = None, trees: int =
             fit.selected = selection.by_t_test(per_tree_importance(fit))
         elif select_rule == "mixture":
             fit.selected = selection.by_mixture(selection.mixture_posteriors(fit.imd))
+        elif select_rule == "adaptive":
+            fit.selected = adaptive_selection(fit, **(adaptive_options or {}))
         else:
             fit.selected = selection.by_threshold(fit.imd)
         fit.selected = cut(fit.selected)
@@ -233,6 +255,46 @@ def block_importance(fit: Fit, unit: bool = False) -> DataFrame:
     return cut(importance.block_mean(_sided(fit, False), unit))
 
 
+def refit_errors(spark: SparkSession, x: np.ndarray, y: np.ndarray, x_names: list[str], y_names: list[str], control: forest.Control):
+    """A score() for selection.adaptive: the out-of-bag error of a forest on each job's features, all grown in one job."""
+
+    def score(kept: dict, jobs: list) -> list[float]:
+        grown = forest.grow_trees(spark, [
+            {"conn_id": c, "rep": 0, "x": x[:, [x_names.index(n) for n in kept[t]["X"]]], "y": y[:, [y_names.index(n) for n in kept[t]["Y"]]], "control": replace(control, seed=s)}
+            for c, (t, s) in enumerate(jobs)
+        ])
+        _, m = forest.tables(grown, list(range(len(x))))
+        values = spark.createDataFrame([(i, s, f"{s}:{n}", float(v)) for s, data, names in (("X", x, x_names), ("Y", y, y_names)) for i, row in enumerate(data) for n, v in zip(names, row, strict=True)], "sample_idx int, block string, feature string, value double")
+        keep = spark.createDataFrame([(c, f"{s}:{n}") for c, (t, _) in enumerate(jobs) for s in "XY" for n in kept[t][s]], "c int, feature string")
+        # a job's samples are samples of their own: both parts of the key are kept, in one number without overlap
+        own = lambda c, i: F.col(c).cast("long") * len(x) + F.col(i)
+        w = leaves.oob_weights(m.withColumn("tree", F.struct("conn_id", "tree")).withColumn("sample_idx", own("conn_id", "sample_idx")))
+        v = values.join(F.broadcast(keep), "feature").withColumn("sample_idx", own("c", "sample_idx"))
+        p = w.join(v.withColumnRenamed("sample_idx", "j"), "j").groupBy("i", "c", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("p"))
+        e = p.join(v.withColumnRenamed("sample_idx", "i"), ["i", "c", "feature"]).groupBy("c", "feature").agg(F.avg(F.pow(F.col("p") - F.col("value"), 2)).alias("e"))
+        found = dict(e.groupBy("c").agg(F.avg("e")).collect())
+        return [found.get(c, math.nan) for c in range(len(jobs))]
+
+    return score
+
+
+def adaptive_selection(fit: Fit, taus=None, repeats: int = 3, tol: float = 0.01) -> DataFrame:
+    """block, feature, imd, selected: a feature stays if a connection's own cut-off, at which its refits stop getting worse,
+    keeps it. Connections are refitted one after the other, all cut-offs and seeds of one in a single job."""
+    kept = set()
+    for p, m in zip(fit.pairs, fit.models, strict=True):
+        if m.y is None or len(set(p)) == 1:
+            continue
+        weights = {}
+        for side, column, names in (("X", "split_var", m.x_names), ("Y", "msrv", m.y_names)):
+            mean = dict(importance.per_tree(m.nodes, column).groupBy("var").agg((F.sum("imd") / m.control.trees).alias("w")).collect())
+            weights[side] = {n: float(mean.get(k, 0.0)) for k, n in enumerate(names)}
+        got = selection.adaptive(weights, refit_errors(fit.spark, m.x, m.y, m.x_names, m.y_names, m.control), taus, repeats, tol, m.control.seed)
+        kept |= {(b, n) for b, s in ((p[-1], "X"), (p[0], "Y")) for n in got["kept"][s]}
+    chosen = fit.spark.createDataFrame(sorted(kept), "block string, feature string").withColumn("selected", F.lit(True))
+    return fit.imd.join(chosen, ["block", "feature"], "left").withColumn("selected", F.coalesce("selected", F.lit(False)))
+
+
 def per_tree_importance(fit: Fit) -> DataFrame:
     return _sided(fit, True)
 
