@@ -336,4 +336,15 @@ def op7_minhash_dedup(spark, sf_dir):
 
 
 QUERIES = {"op7_minhash_dedup": op7_minhash_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    # all pairs that share a shingle, by their full sets: for small tables
+    "op7_minhash_dedup": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+q AS (SELECT r, doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d),
+u AS (SELECT r, len(s) AS n, unnest(s) AS sh FROM q),
+l AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.sh = b.sh AND a.r < b.r AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT r, doc_id AS c FROM q UNION SELECT e.b, c.c FROM c JOIN e ON e.a = c.r),
+m AS (SELECT r, min(c) AS component_id FROM c GROUP BY r)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM q JOIN m USING (r)"""
+}
