@@ -172,14 +172,15 @@ def components(links: DataFrame, parts: int) -> DataFrame:
     """v, comp: the least vertex of its component, for each vertex of links (a, b) that isn't the least itself.
 
     Large-star and small-star in turn: each vertex's larger, then smaller, neighbours are hung on its least one, until
-    every component is a star around its least vertex."""
+    every component is a star around its least vertex. Least neighbours are aggregated before the shuffle and come back by a
+    join, which adaptive execution may broadcast or split, so a vertex with many neighbours does not fall to one task."""
     edges, last = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), None
-    by = Window.partitionBy("u")
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least(F.min("v").over(by), "u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        hung = large.withColumn("m", F.min("v").over(by)).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut(hung.select("e.*").where("u <> v").distinct().coalesce(parts))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))  # a vertex's larger neighbours can't be its least
+        large = edges.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        hung = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        pairs = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = cut(hung.select(F.explode(pairs).alias("e")).select("e.*").where("u <> v").distinct().coalesce(parts))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == last:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("comp"))
