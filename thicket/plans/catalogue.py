@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thicket.functions import cluster as C
+from thicket.functions import stats as S
 from thicket.functions import tree as kernel
 from thicket.operators import filtering, forest, fusion, importance, leaves, merging, metrics, reports, selection, simulate, tuning
 from thicket.operators import matrix as X
@@ -169,7 +170,7 @@ def _(spark, sf):
 
 
 RANK_SQL = (
-    "m AS (SELECT a.n_name || '_' || b.n_name AS model, a.n_name AS response, b.n_name AS predictor, ((a.n_nationkey * 7 + b.n_nationkey * 3) % 11)::DOUBLE AS quality, ((a.n_nationkey * 5 + b.n_nationkey * 2) % 7)::DOUBLE AS nmse FROM nation a, nation b WHERE a.n_nationkey < 5 AND b.n_nationkey < 5 AND a.n_nationkey <> b.n_nationkey)"
+    "m AS (SELECT a.n_name || '_' || b.n_name AS model, a.n_name AS response, b.n_name AS predictor, ((a.n_nationkey * 7 + b.n_nationkey * 3) % 11)::DOUBLE AS quality, ((a.n_nationkey * 5 + b.n_nationkey * 2) % 7)::DOUBLE AS nmse FROM nation a, nation b WHERE a.n_nationkey <> b.n_nationkey)"
     ", q AS (SELECT *, rank() OVER (ORDER BY quality DESC) + (count(*) OVER (PARTITION BY quality) - 1) / 2.0::DOUBLE + rank() OVER (ORDER BY nmse) + (count(*) OVER (PARTITION BY nmse) - 1) / 2.0::DOUBLE AS rank_sum FROM m)"
     ", c AS (SELECT quantile_cont(rank_sum, 0.8) AS lim, min(rank_sum) AS lo FROM q), k AS (SELECT q.*, rank_sum <= lim OR rank_sum = lo AS kept FROM q, c)"
 )
@@ -177,13 +178,70 @@ RANK_SQL = (
 
 @query("connection_rank_select", RANK_SQL + " SELECT model, response, predictor, round(rank_sum, 8) + 0.0 AS rank_sum, kept, kept AND row_number() OVER (PARTITION BY least(response, predictor), greatest(response, predictor), kept ORDER BY rank_sum, quality DESC, model) = 1 AS selected FROM k")
 def _(spark, sf):
-    n = B.read_table(spark, f"{sf}/nation.parquet").where("n_nationkey < 5")
+    n = B.read_table(spark, f"{sf}/nation.parquet")
     a, b = (n.select(F.col("n_nationkey").alias(f"k{s}"), F.col("n_name").alias(s)) for s in ("response", "predictor"))
     x, y = F.col("kresponse"), F.col("kpredictor")
     m = a.join(b, x != y).select(F.concat_ws("_", "response", "predictor").alias("model"), "response", "predictor", ((x * 7 + y * 3) % 11).cast("double").alias("quality"), ((x * 5 + y * 2) % 7).cast("double").alias("nmse"))
     return fusion.rank_connections(m)
 
 
+# checks and numbers
+
+
+@query("sanitize_block", f"x AS (SELECT c_custkey, c_acctbal, c_nationkey FROM customer) SELECT 'customer' AS block, c_custkey AS sample_idx, unnest(['c_acctbal', 'c_nationkey']) AS feature, unnest([0, 1]) AS feature_idx, unnest([{r('c_acctbal::DOUBLE')}, c_nationkey::DOUBLE]) AS value FROM x")
+def _(spark, sf):
+    c = B.read_table(spark, f"{sf}/customer.parquet", ["c_custkey", "c_acctbal", "c_nationkey"])
+    return B.from_wide(B.check_block(c, "customer", "c_custkey"), "customer", "c_custkey", ["c_acctbal", "c_nationkey"])
+
+
+@query("connection_names", "p AS (SELECT a.r_name || '_' || b.r_name AS name, k FROM region a, region b, range(0, 3) t(k) WHERE a.r_name <> b.r_name) SELECT name || CASE WHEN k = 0 THEN '' ELSE '.' || k END AS name FROM p")
+def _(spark, sf):
+    names = [x[0] for x in B.read_table(spark, f"{sf}/region.parquet").select("r_name").orderBy("r_name").collect()]
+    pairs = B.named_connections([*B.ordered_pairs(names), *("_".join(p) for p in B.ordered_pairs(names))], names)
+    return spark.createDataFrame([(n,) for n in B.display_names([*pairs, *B.ordered_pairs(names)])], "name string")
+
+
+@query("variable_weights", f"p AS (SELECT p_partkey, p_size::DOUBLE AS size FROM part) SELECT p_partkey::VARCHAR AS feature, {r('size / (SELECT sum(size) FROM p)')} AS weight FROM p")
+def _(spark, sf):
+    x = B.read_table(spark, f"{sf}/part.parquet", ["p_partkey", "p_size"]).select(F.col("p_partkey").cast("string").alias("feature"), F.col("p_size").cast("double").alias("weight"))
+    return filtering.normalised_weights(x.select("feature"), x)
+
+
+@query("tune_grid", "n AS (SELECT count(*) AS n FROM embeddings), s AS (SELECT n, CASE WHEN n - 9 > 20 THEN ceil((n - 10) / 19.0) ELSE 1 END::BIGINT AS step FROM n) SELECT DISTINCT v::INT AS v FROM (SELECT unnest(range(10, n + 1, step)) AS v FROM s UNION ALL SELECT n FROM n)")
+def _(spark, sf):
+    return spark.createDataFrame([(v,) for v in tuning.grid(10, tuning.fused_most(samples(spark, sf)), 1, 20)], "v int")
+
+
+@query("spearman_pairs", E_SQL + ", k AS (SELECT vec_id, dim, rank() OVER (PARTITION BY dim ORDER BY v) + (count(*) OVER (PARTITION BY dim, v) - 1) / 2.0::DOUBLE AS k FROM e)"
+       f" SELECT a.dim, {r('corr(a.k, b.k)')} AS rho FROM k a JOIN k b ON a.vec_id = b.vec_id AND b.dim = (a.dim + 1) % 64 GROUP BY a.dim")
+def _(spark, sf):
+    a, b, _l = two_blocks(spark, sf, scale=False)
+    x = np.hstack([a, b])
+    return spark.createDataFrame([(d, S.spearman(x[:, d], x[:, (d + 1) % DIMS])) for d in range(DIMS)], "dim int, rho double")
+
+
+@query("simplex_rows", E_SQL + (
+    ", o AS (SELECT vec_id, v, row_number() OVER w AS k, (sum(v) OVER w - 1) / row_number() OVER w AS t FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY v DESC, dim ROWS UNBOUNDED PRECEDING))"
+    ", c AS (SELECT vec_id, max(k) AS k FROM o WHERE v > t GROUP BY 1), th AS (SELECT vec_id, t FROM o JOIN c USING (vec_id, k))"
+    f" SELECT vec_id, dim, {r('greatest(v - t, 0)')} AS w FROM e JOIN th USING (vec_id)"
+))
+def _(spark, sf):
+    a, b, _l = two_blocks(spark, sf, scale=False)
+    rows = [S.project_simplex(row) for row in np.hstack([a, b])]
+    return spark.createDataFrame([(i, d, float(v)) for i, row in enumerate(rows) for d, v in enumerate(row)], "vec_id long, dim int, w double")
+
+
+@query("density_modes", E_SQL + (
+    ", h AS (SELECT dim, 0.9 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi FROM e WHERE dim < 8 GROUP BY dim)"
+    ", g AS (SELECT dim, h, (lo - 3 * h) + k * ((hi + 3 * h) - (lo - 3 * h)) / 511 AS x FROM h, range(0, 512) t(k))"
+    ", d AS (SELECT dim, x, sum(exp(-0.5 * pow((x - v) / h, 2))) AS d FROM g JOIN e USING (dim) GROUP BY ALL)"
+    f" SELECT dim, {r('arg_max(x, d)')} AS mode FROM d GROUP BY dim"
+))
+def _(spark, sf):
+    a, _b, _l = two_blocks(spark, sf, scale=False)
+    return spark.createDataFrame([(d, S.density_mode(a[:, d])) for d in range(8)], "dim int, mode double")
+
+
 # trees and leaves
 
 
@@ -418,36 +476,32 @@ def _(spark, sf):
     return fusion.overall(fused(spark, sf), "pmin", k=2)
 
 
-RES_SQL = TWO_SQL + ", sh AS (SELECT f.response AS block, f.i AS vec_id, e.dim, sum(f.w * e.v) AS s FROM f JOIN e ON e.block = f.response AND e.vec_id = f.j WHERE e.dim IN (0, 1, 2, 32, 33, 34) GROUP BY ALL), rs AS (SELECT block, vec_id, dim, e.v, e.v - coalesce(s, 0) AS rv FROM e LEFT JOIN sh USING (block, vec_id, dim) WHERE dim IN (0, 1, 2, 32, 33, 34))"
-
-
-def _six(spark, sf) -> DataFrame:
-    return E(spark, sf).where(F.col("feature_idx").isin(0, 1, 2, 32, 33, 34))
+RES_SQL = TWO_SQL + ", sh AS (SELECT f.response AS block, f.i AS vec_id, e.dim, sum(f.w * e.v) AS s FROM f JOIN e ON e.block = f.response AND e.vec_id = f.j GROUP BY ALL), rs AS (SELECT block, vec_id, dim, e.v, e.v - coalesce(s, 0) AS rv FROM e LEFT JOIN sh USING (block, vec_id, dim))"
 
 
-@query("recon_matmul", TOP_SQL + f" SELECT e.block, p.i AS sample_idx, 'f' || e.dim AS feature, {r('sum(p.w * e.v)')} AS value FROM p JOIN e ON e.vec_id = p.j WHERE e.dim IN (0, 1, 2, 32, 33, 34) GROUP BY ALL")
+@query("recon_matmul", TOP_SQL + f" SELECT e.block, p.i AS sample_idx, 'f' || e.dim AS feature, {r('sum(p.w * e.v)')} AS value FROM p JOIN e ON e.vec_id = p.j GROUP BY ALL")
 def _(spark, sf):
-    return X.times_block(X.prepare(W(spark, sf), 10), _six(spark, sf))
+    return X.times_block(X.prepare(W(spark, sf), 10), E(spark, sf))
 
 
 @query("residual", RES_SQL + f" SELECT block, vec_id AS sample_idx, 'f' || dim AS feature, {r('rv')} AS value FROM rs")
 def _(spark, sf):
-    return fusion.residual(_six(spark, sf), fused(spark, sf)).select("block", "sample_idx", "feature", "value")
+    return fusion.residual(E(spark, sf), fused(spark, sf)).select("block", "sample_idx", "feature", "value")
 
 
 @query("shared_frac", RES_SQL + f" SELECT block, {r('1 - sum(rv * rv) / sum(v * v)')} AS shared_frac FROM rs GROUP BY block")
 def _(spark, sf):
-    x = _six(spark, sf)
+    x = E(spark, sf)
     return fusion.shared_fraction(x, fusion.residual(x, fused(spark, sf)))
 
 
 @query("oob_nmse", OOB_SQL + (
-    ", pr AS (SELECT i, dim, sum(w * v) AS p FROM ow JOIN e ON e.vec_id = j WHERE dim IN (0, 1, 2, 32, 33, 34) GROUP BY ALL), er AS (SELECT dim, avg(pow(p - v, 2)) AS er FROM pr JOIN e ON e.vec_id = i AND e.dim = pr.dim GROUP BY pr.dim AS dim)"
+    ", pr AS (SELECT i, dim, sum(w * v) AS p FROM ow JOIN e ON e.vec_id = j GROUP BY ALL), er AS (SELECT dim, avg(pow(p - v, 2)) AS er FROM pr JOIN e ON e.vec_id = i AND e.dim = pr.dim GROUP BY pr.dim AS dim)"
     ", vr AS (SELECT dim, greatest(var_samp(v), 1e-12) AS vr FROM e GROUP BY dim)"
     f" SELECT {r('avg(er / vr)')} AS nmse FROM er JOIN vr USING (dim)"
 ).replace("SELECT dim, avg(pow(p - v, 2)) AS er FROM pr JOIN e ON e.vec_id = i AND e.dim = pr.dim GROUP BY pr.dim AS dim", "SELECT pr.dim, avg(pow(p - v, 2)) AS er FROM pr JOIN e ON e.vec_id = i AND e.dim = pr.dim GROUP BY pr.dim"))
 def _(spark, sf):
-    return leaves.nmse(leaves.oob_weights(M(spark, sf)), _six(spark, sf))
+    return leaves.nmse(leaves.oob_weights(M(spark, sf)), E(spark, sf))
 
 
 @query("r_squared_error", W_SQL + (
