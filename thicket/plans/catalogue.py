@@ -1,7 +1,7 @@
 """All queries of the library on the driver's tables, each with its SQL where SQL can say it.
 
-Inputs: E, the embeddings in long form, dims 0-31 block A and 32-63 block B; M, a leaf membership read off the first eight
-dims; N, complete binary trees in arithmetic; W, the weights of M."""
+Inputs: E, the embeddings in long form, dims 0-31 block A and 32-63 block B; M, a leaf membership read off all dims, one tree
+each; N, complete binary trees in arithmetic; W, the weights of M."""
 
 from __future__ import annotations
 
@@ -21,25 +21,26 @@ from thicket.plans import pipeline, reconstruct
 from thicket.sources import blocks as B
 
 DIGITS = 8
+FINE = 12  # of sums of 1 / (64 * leaf size): at 8 digits a 5 may be the last one, and sums in another order fall to either side
 DIMS = 64
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 E_SQL = "e AS (SELECT vec_id, (d - 1)::INT AS dim, CASE WHEN d <= 32 THEN 'A' ELSE 'B' END AS block, embedding[d]::DOUBLE AS v FROM embeddings, range(1, 65) t(d))"
-M_SQL = E_SQL + ", m AS (SELECT dim AS tree, vec_id, floor(4 * v)::INT AS leaf, ((7 * vec_id + 13 * dim) % 3)::INT AS inbag FROM e WHERE dim < 8)"
+M_SQL = E_SQL + ", m AS (SELECT dim AS tree, vec_id, floor(100 * v)::INT AS leaf, ((7 * vec_id + 13 * dim) % 3)::INT AS inbag FROM e)"
 N_SQL = (
     "n AS (SELECT t::INT AS tree, k::INT AS node, floor(log2(k) + 1e-9)::INT AS depth, ((31 * t + 17 * k) % 10)::INT AS split_var, ((13 * t + 7 * k) % 6)::INT AS msrv FROM range(0, 12) a(t), range(1, 16) b(k))"
 )
 W_SQL = M_SQL + (
     ", l AS (SELECT tree, leaf, count(*) AS size FROM m GROUP BY ALL)"
-    ", w AS (SELECT a.vec_id AS i, b.vec_id AS j, sum(1.0::DOUBLE / size) / 8 AS w FROM m a JOIN m b USING (tree, leaf) JOIN l USING (tree, leaf) GROUP BY ALL)"
+    ", w AS (SELECT a.vec_id AS i, b.vec_id AS j, sum(1.0::DOUBLE / size) / 64 AS w FROM m a JOIN m b USING (tree, leaf) JOIN l USING (tree, leaf) GROUP BY ALL)"
 )
 ADJ_SQL = W_SQL + ", dg AS (SELECT i, w AS d FROM w WHERE i = j), adj AS (SELECT i, j, w / greatest(1 - coalesce(d, 0), 1e-8) AS w FROM w LEFT JOIN dg USING (i) WHERE i <> j)"
 TOP_SQL = ADJ_SQL + ", rk AS (SELECT *, rank() OVER (PARTITION BY i ORDER BY round(w, 12) DESC) AS rk FROM adj), tp AS (SELECT i, j, w FROM rk WHERE rk <= 10), p AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM tp)"
 #: Two models over the same samples: their trees are the even and the odd dims.
 TWO_SQL = M_SQL + (
     ", l AS (SELECT tree, leaf, count(*) AS size FROM m GROUP BY ALL)"
-    ", mw AS (SELECT CASE WHEN tree % 2 = 0 THEN 'A_B' ELSE 'B_A' END AS model, a.vec_id AS i, b.vec_id AS j, sum(1.0::DOUBLE / size) / 4 AS w FROM m a JOIN m b USING (tree, leaf) JOIN l USING (tree, leaf) GROUP BY ALL)"
+    ", mw AS (SELECT CASE WHEN tree % 2 = 0 THEN 'A_B' ELSE 'B_A' END AS model, a.vec_id AS i, b.vec_id AS j, sum(1.0::DOUBLE / size) / 32 AS w FROM m a JOIN m b USING (tree, leaf) JOIN l USING (tree, leaf) GROUP BY ALL)"
     ", mg AS (SELECT model, i, w AS d FROM mw WHERE i = j), ma AS (SELECT model, i, j, w / greatest(1 - d, 1e-8) AS w FROM mw JOIN mg USING (model, i) WHERE i <> j)"
     ", mr AS (SELECT *, rank() OVER (PARTITION BY model, i ORDER BY round(w, 12) DESC) AS rk FROM ma), mp AS (SELECT model, i, j, w / sum(w) OVER (PARTITION BY model, i) AS w FROM mr WHERE rk <= 10)"
     ", sc(model, response, score) AS (VALUES ('A_B', 'A', 0.9), ('B_A', 'A', 0.1), ('A_B', 'B', 0.25), ('B_A', 'B', 0.75))"
@@ -53,9 +54,9 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, digits: int = DIGITS):
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir), digits)
         if sql:
             SQL[name] = "WITH " + sql
         return f
@@ -63,18 +64,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def r(expr: str) -> str:
-    return f"round({expr}, {DIGITS}) + 0.0"
+def r(expr: str, digits: int = DIGITS) -> str:
+    return f"round({expr}, {digits}) + 0.0"
 
 
 def E(spark: SparkSession, sf: str) -> DataFrame:
     return B.from_arrays(B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id", "embedding"]), "vec_id", "embedding", {"A": (0, 32), "B": (32, 64)})
 
 
-def M(spark, sf, dims: int = 8) -> DataFrame:
-    """Leaves of the first dims as in M_SQL; queries without SQL take all DIMS."""
+def M(spark, sf, dims: int = DIMS) -> DataFrame:
+    """A tree for each dim, as in M_SQL."""
     e = B.from_arrays(B.read_table(spark, f"{sf}/embeddings.parquet", ["vec_id", "embedding"]), "vec_id", "embedding", {"A": (0, dims)})
-    return e.select(F.col("feature_idx").alias("tree"), "sample_idx", F.floor(4 * F.col("value")).cast("int").alias("leaf"), ((7 * F.col("sample_idx") + 13 * F.col("feature_idx")) % 3).cast("int").alias("inbag"))
+    return e.select(F.col("feature_idx").alias("tree"), "sample_idx", F.floor(100 * F.col("value")).cast("int").alias("leaf"), ((7 * F.col("sample_idx") + 13 * F.col("feature_idx")) % 3).cast("int").alias("inbag"))
 
 
 def N(spark) -> DataFrame:
@@ -83,11 +84,11 @@ def N(spark) -> DataFrame:
     return base.select("tree", "node", F.floor(F.log2("node") + 1e-9).cast("int").alias("depth"), ((31 * t + 17 * k) % 10).alias("split_var"), ((13 * t + 7 * k) % 6).alias("msrv"))
 
 
-def W(spark, sf, dims: int = 8) -> DataFrame:
+def W(spark, sf, dims: int = DIMS) -> DataFrame:
     return leaves.forest_weights(M(spark, sf, dims))
 
 
-def two_models(spark, sf, dims: int = 8) -> DataFrame:
+def two_models(spark, sf, dims: int = DIMS) -> DataFrame:
     m = M(spark, sf, dims)
     a, b = (leaves.forest_weights(m.where(F.col("tree") % 2 == k)).withColumn("model", F.lit(n)) for k, n in ((0, "A_B"), (1, "B_A")))
     return a.unionByName(b)
@@ -232,14 +233,14 @@ def _(spark, sf):
 
 
 @query("density_modes", E_SQL + (
-    ", h AS (SELECT dim, 0.9 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi FROM e WHERE dim < 8 GROUP BY dim)"
+    ", h AS (SELECT dim, 0.9 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34) * pow(count(*), -0.2) AS h, min(v) AS lo, max(v) AS hi FROM e GROUP BY dim)"
     ", g AS (SELECT dim, h, (lo - 3 * h) + k * ((hi + 3 * h) - (lo - 3 * h)) / 511 AS x FROM h, range(0, 512) t(k))"
     ", d AS (SELECT dim, x, sum(exp(-0.5 * pow((x - v) / h, 2))) AS d FROM g JOIN e USING (dim) GROUP BY ALL)"
     f" SELECT dim, {r('arg_max(x, d)')} AS mode FROM d GROUP BY dim"
 ))
 def _(spark, sf):
-    a, _b, _l = two_blocks(spark, sf, scale=False)
-    return spark.createDataFrame([(d, S.density_mode(a[:, d])) for d in range(8)], "dim int, mode double")
+    a, b, _l = two_blocks(spark, sf, scale=False)
+    return spark.createDataFrame([(d, S.density_mode(x)) for d, x in enumerate(np.hstack([a, b]).T)], "dim int, mode double")
 
 
 # trees and leaves
@@ -285,7 +286,7 @@ def _(spark, sf):
     return leaves.route(nodes, E(spark, sf).where("feature_idx < 3"), 2)
 
 
-@query("fw_all", W_SQL + f" SELECT i, j, {r('w')} AS w FROM w")
+@query("fw_all", W_SQL + f" SELECT i, j, {r('w', FINE)} AS w FROM w", FINE)
 def _(spark, sf):
     return W(spark, sf)
 
@@ -294,16 +295,16 @@ def _weights_sql(oob: bool) -> str:
     return M_SQL + (
         ", l AS (SELECT tree, leaf, sum(inbag) AS mass FROM m GROUP BY ALL HAVING sum(inbag) >= 1)"
         f", q AS (SELECT tree, leaf, vec_id AS i, mass FROM m JOIN l USING (tree, leaf){' WHERE inbag = 0' if oob else ''}), c AS (SELECT i, count(*) AS trees FROM q GROUP BY 1)"
-        f" SELECT i, m.vec_id AS j, {r('sum(inbag::DOUBLE / mass) / any_value(trees)')} AS w FROM q JOIN m USING (tree, leaf) JOIN c USING (i) WHERE inbag > 0 GROUP BY ALL"
+        f" SELECT i, m.vec_id AS j, {r('sum(inbag::DOUBLE / mass) / any_value(trees)', FINE)} AS w FROM q JOIN m USING (tree, leaf) JOIN c USING (i) WHERE inbag > 0 GROUP BY ALL"
     )
 
 
-@query("fw_inbag", _weights_sql(False))
+@query("fw_inbag", _weights_sql(False), FINE)
 def _(spark, sf):
     return leaves.forest_weights(M(spark, sf), "inbag")
 
 
-@query("fw_oob", _weights_sql(True))
+@query("fw_oob", _weights_sql(True), FINE)
 def _(spark, sf):
     return leaves.forest_weights(M(spark, sf), "oob")
 
@@ -314,20 +315,20 @@ OOB_SQL = M_SQL + (
 )
 
 
-@query("oob_wrapper", OOB_SQL + f" SELECT i, j, {r('w')} AS w FROM ow")
+@query("oob_wrapper", OOB_SQL + f" SELECT i, j, {r('w', FINE)} AS w FROM ow", FINE)
 def _(spark, sf):
     return leaves.oob_weights(M(spark, sf))
 
 
 @query("oob_sub", M_SQL + (
     ", l AS (SELECT tree, leaf, count(*) AS size FROM m GROUP BY ALL), c AS (SELECT vec_id AS i, count(*) AS trees FROM m WHERE inbag = 0 GROUP BY 1)"
-    f" SELECT a.vec_id AS i, b.vec_id AS j, {r('sum(1.0::DOUBLE / size) / any_value(trees)')} AS w FROM m a JOIN m b USING (tree, leaf) JOIN l USING (tree, leaf) JOIN c ON c.i = a.vec_id WHERE a.inbag = 0 GROUP BY ALL"
-))
+    f" SELECT a.vec_id AS i, b.vec_id AS j, {r('sum(1.0::DOUBLE / size) / any_value(trees)', FINE)} AS w FROM m a JOIN m b USING (tree, leaf) JOIN l USING (tree, leaf) JOIN c ON c.i = a.vec_id WHERE a.inbag = 0 GROUP BY ALL"
+), FINE)
 def _(spark, sf):
     return leaves.ensemble_oob_weights(M(spark, sf))
 
 
-@query("prox_all", M_SQL + f" SELECT a.vec_id AS i, b.vec_id AS j, {r('count(*) / 8.0::DOUBLE')} AS w FROM m a JOIN m b USING (tree, leaf) GROUP BY ALL")
+@query("prox_all", M_SQL + f" SELECT a.vec_id AS i, b.vec_id AS j, {r('count(*) / 64.0::DOUBLE')} AS w FROM m a JOIN m b USING (tree, leaf) GROUP BY ALL")
 def _(spark, sf):
     return leaves.proximity(M(spark, sf))
 
@@ -339,13 +340,13 @@ for _mode, _cond in (("inbag", "> 0"), ("oob", "= 0")):
 
 
 @query("enhanced_prox", M_SQL + (
-    ", s(tree, leaf_a, leaf_b, corr) AS (SELECT t, -1, 0, (t - 2) / 4.0::DOUBLE FROM range(0, 8) x(t)), g AS (SELECT *, least(1.0, 0.5 * greatest(corr, 0)) AS part FROM s WHERE corr > 0)"
+    ", s(tree, leaf_a, leaf_b, corr) AS (SELECT t, -1, 0, (t - 16) / 48.0::DOUBLE FROM range(0, 64) x(t)), g AS (SELECT *, least(1.0, 0.5 * greatest(corr, 0)) AS part FROM s WHERE corr > 0)"
     ", x AS (SELECT a.vec_id AS i, b.vec_id AS j, part FROM g JOIN m a ON a.tree = g.tree AND a.leaf = leaf_a JOIN m b ON b.tree = g.tree AND b.leaf = leaf_b)"
     ", u AS (SELECT a.vec_id AS i, b.vec_id AS j, 1.0::DOUBLE AS part FROM m a JOIN m b USING (tree, leaf) UNION ALL SELECT i, j, part FROM x UNION ALL SELECT j, i, part FROM x)"
-    f" SELECT i, j, {r('sum(part) / 8')} AS w FROM u GROUP BY ALL"
-))
+    f" SELECT i, j, {r('sum(part) / 64', FINE)} AS w FROM u GROUP BY ALL"
+), FINE)
 def _(spark, sf):
-    s = spark.range(8).select(F.col("id").cast("int").alias("tree"), F.lit(-1).alias("leaf_a"), F.lit(0).alias("leaf_b"), ((F.col("id") - 2) / 4.0).alias("corr"))
+    s = spark.range(64).select(F.col("id").cast("int").alias("tree"), F.lit(-1).alias("leaf_a"), F.lit(0).alias("leaf_b"), ((F.col("id") - 16) / 48.0).alias("corr"))
     return leaves.enhanced_proximity(M(spark, sf), s)
 
 
@@ -827,7 +828,7 @@ def _(spark, sf):
 
 def _similarity(spark, sf):
     n = labels(spark, sf).count()
-    return pipeline.dense(X.second_order(X.prepare(W(spark, sf, DIMS), 10)), n), n
+    return pipeline.dense(X.second_order(X.prepare(W(spark, sf), 10)), n), n
 
 
 @query("spectral_labels")
@@ -890,7 +891,7 @@ def _(spark, sf):
 @query("reconstruct_spectral")
 def _(spark, sf):
     n = labels(spark, sf).count()
-    return reports.labels_frame(spark, range(n), reconstruct.reconstruct_and_cluster(two_models(spark, sf, DIMS), two_scores(spark), n, 4)["labels"])
+    return reports.labels_frame(spark, range(n), reconstruct.reconstruct_and_cluster(two_models(spark, sf), two_scores(spark), n, 4)["labels"])
 
 
 @query("ensemble_importance")
@@ -926,7 +927,7 @@ def _(spark, sf):
 @query("stability")
 def _(spark, sf):
     s, n = _similarity(spark, sf)
-    w = X.second_order(X.prepare(W(spark, sf, DIMS), 10))
+    w = X.second_order(X.prepare(W(spark, sf), 10))
     base = C.spectral(s, [4])["labels"]
     fit = pipeline.Fit(spark, {}, None, list(range(n)), [])
     return pipeline.stability(fit, w, base, 4, repetitions=6)["base"]
@@ -944,7 +945,7 @@ def _(spark, sf):
 @query("ao_fusion")
 def _(spark, sf):
     n = labels(spark, sf).count()
-    two = X.prepare(two_models(spark, sf, DIMS), 10, ["model"])
+    two = X.prepare(two_models(spark, sf), 10, ["model"])
     got = C.fuse_alternating([pipeline.dense(two.where(F.col("model") == m), n) for m in ("A_B", "B_A")], 4)
     return spark.createDataFrame([("A_B", float(got["shares"][0])), ("B_A", float(got["shares"][1]))], "model string, alpha double")
 
