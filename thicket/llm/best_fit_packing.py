@@ -1,13 +1,12 @@
 """Best-fit packing of tokenised documents into sequences of a fixed length.
 
-Documents are tokenised where they lie; only (doc_id, piece, start, length, crc) rows go on. Packing is bulk-synchronous
-best fit: pieces sorted by length from long to short meet gaps sorted by size. Pieces of one length, and gaps of one size,
-are interchangeable, so both sorted lists are kept as runs (at most one run of pieces for each length, so 2048 rows
-whatever the corpus). A superstep takes the next run of pieces, sweeps the gaps upwards from their length (successors),
-settles who gets which gap by rank (the k-th piece gets the k-th place), cuts the gaps' runs accordingly and repeats; what
-finds no gap opens new sequences. The result is that of sequential best-fit decreasing. The pieces themselves are ranked
-within their length and placed by a range join with the matched runs, all distributed; a length that a third of the pieces
-share is ranked in buckets.
+Documents are tokenised where they lie; only (doc_id, piece, start, length, crc) rows go on. Pieces of one length, and gaps
+of one size, are interchangeable, so both are kept as runs (one run of pieces for each length: 2048 rows whatever the corpus), and
+the match of runs is a loop on the driver, not supersteps over rows (the README says why). A step takes the longest run of pieces,
+goes to the least gap that holds it (its successor), settles who gets which gap by rank (the k-th piece gets the k-th place), cuts
+the gaps' runs accordingly and repeats; what finds no gap opens new sequences. The result is that of sequential best-fit
+decreasing. The pieces themselves are ranked within their length and placed by a range join with the matched runs, all
+distributed; a length that a third of the pieces share is ranked in buckets.
 
 Null and empty texts are one piece of the closing token. A doc_id that repeats, or is null, gives pieces for each row.
 An empty table gives an empty result; further columns are ignored."""
