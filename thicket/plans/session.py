@@ -17,8 +17,12 @@ def session(name: str = "thicket", master: str | None = None, shuffle_partitions
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once into the shared checkpoint folder; a local folder is made only where the session names none."""
+    """df, computed once into the shared checkpoint folder that the session names; where it names none, a local session gets
+    a folder of its own, and a cluster, whose machines don't share local folders, an error."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
