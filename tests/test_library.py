@@ -597,3 +597,24 @@ def test_pipeline_with_k_by_block_and_adaptive_selection(spark):
     assert len(got) == 14 and 0 < sum(r["selected"] for r in got) and {r["block"] for r in got if r["selected"]} == {"gene", "methyl"}
     assert [r["block"] for r in fit.tidy_shared().collect()] == ["gene", "methyl"]
     assert {r["block"] for r in fit.own_importance().collect()} == {"gene", "methyl"}
+
+
+def test_levels_by_block(spark):
+    assert checks.level("auto", "a") == 0.05 and checks.level(0.2, "a") == 0.2 and checks.level({"b": 0.3, "a": 0.1}, "a") == 0.1 and checks.level({"b": 0.3}, "a") == 0.3
+    for bad in (0, 1, "x", None, True, math.nan, {}):
+        with pytest.raises(ValueError):
+            checks.level(bad, "a")
+    post = spark.createDataFrame([(b, f, 1.0, 0.1, 0.9, 0.0) for b in "xy" for f in "pq"], "block string, feature string, imd double, noise double, signal double, zero double")
+    got = selection.by_mixture(post, {"x": 0.2, "y": 0.05}).where("selected").collect()
+    assert {r["block"] for r in got} == {"x"} and selection.by_mixture(post, "auto").where("selected").count() == 0
+    trees = spark.createDataFrame([("x", f, t, v + t / 10) for t in range(3) for f, v in (("p", 1.0), ("q", 0.0))], "block string, feature string, tree int, imd double")
+    assert [r["feature"] for r in selection.by_t_test(trees, {"x": 0.05}).where("selected").collect()] == ["p"]
+
+
+def test_largest_and_discounted_importance(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", math.inf), ("b", math.nan), ("c", None), ("z", 9.0)], "feature string, imd double")
+    features = spark.createDataFrame([("a",), ("b",), ("c",)], "feature string")
+    assert {r["feature"]: r["imd"] for r in importance.largest_by_feature(rows, features).collect()} == {"a": 3.0, "b": 0.0, "c": 0.0}
+    imd = spark.createDataFrame([("x", "a", 4.0), ("x", "b", 2.0), ("x", "c", 0.0)], "block string, feature string, imd double")
+    counts = spark.createDataFrame([("x", "a", 1), ("x", "b", 2)], "block string, feature string, times int")
+    assert {r["feature"]: r["imd"] for r in importance.discounted(imd, counts, 0.5).collect()} == {"a": 2.0, "b": 2.0, "c": 0.0}

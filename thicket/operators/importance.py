@@ -126,6 +126,18 @@ def path_importance(forest, clusters: DataFrame, unit: bool = True) -> DataFrame
     return out.withColumn("length", length).withColumn("imd", F.when(F.col("length") > 0, F.col("imd") / F.col("length")).otherwise(F.col("imd"))).drop("length")
 
 
+def largest_by_feature(rows: DataFrame, features: DataFrame) -> DataFrame:
+    """feature, imd: the largest finite importance among a feature's rows, 0 without any; rows of no known feature go."""
+    known = rows.where("imd IS NOT NULL AND NOT isnan(imd) AND abs(imd) < double('infinity')").groupBy("feature").agg(F.max("imd").alias("imd"))
+    return features.select("feature").distinct().join(known, "feature", "left").fillna(0.0, ["imd"])
+
+
+def discounted(imd: DataFrame, counts: DataFrame, factor: float) -> DataFrame:
+    """imd (block, feature, imd), times factor for features that split once only; counts: (block, feature, times)."""
+    once = counts.where("times = 1").select("block", "feature", F.lit(True).alias("_once"))
+    return imd.join(once, ["block", "feature"], "left").withColumn("imd", F.when(F.col("_once"), F.col("imd") * F.lit(float(factor))).otherwise(F.col("imd"))).drop("_once")
+
+
 def pairwise(nodes: DataFrame, n_trees: int) -> DataFrame:
     """var, msrv, w: each split adds 1 / (depth + 1) to its pair; by tree."""
     return nodes.where("split_var >= 0 AND msrv IS NOT NULL").groupBy(F.col("split_var").alias("var"), "msrv").agg((F.sum(1 / (F.col("depth") + 1)) / n_trees).alias("w"))

@@ -6,12 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from thicket.functions.mixture import fit_mixture
 from thicket.functions.stats import t_sf
+from thicket.sources import checks
 
 
 def by_threshold(imd: DataFrame, tau: float = 1.0) -> DataFrame:
@@ -19,6 +20,17 @@ def by_threshold(imd: DataFrame, tau: float = 1.0) -> DataFrame:
     return imd.withColumn("selected", F.col("imd") > tau * F.stddev_samp("imd").over(Window.partitionBy("block")))
 
 
+def levels(level, blocks: list[str]) -> Column:
+    """Each row's level by its block; see checks.level."""
+    if not isinstance(level, dict):
+        return F.lit(checks.level(level, "all"))
+    return F.element_at(F.create_map(*[F.lit(x) for b in blocks for x in (b, checks.level(level, b))]), F.col("block"))
+
+
+def blocks_of(rows: DataFrame, level) -> list[str]:
+    return sorted(r[0] for r in rows.select("block").distinct().collect()) if isinstance(level, dict) else []
+
+
 def t_statistics(trees: DataFrame) -> DataFrame:
     """block, feature, t, df from (block, feature, tree, imd), zeros included: is a feature's mean over trees above the
     block's mean?"""
@@ -28,14 +40,15 @@ def t_statistics(trees: DataFrame) -> DataFrame:
     return f.select("block", "feature", F.when(F.col("s") > 0, (F.col("m") - overall) / (F.col("s") / F.sqrt("n"))).alias("t"), (F.col("n") - 1).alias("df"), F.col("m").alias("mean"), overall.alias("overall"))
 
 
-def by_t_test(trees: DataFrame, level: float = 0.05) -> DataFrame:
-    """t_statistics with p (one-sided) and selected; a feature that is the same in all trees is kept if above the mean."""
+def by_t_test(trees: DataFrame, level=0.05) -> DataFrame:
+    """t_statistics with p (one-sided) and selected; a feature that is the same in all trees is kept if above the mean. level: of
+    all blocks, by block, or auto."""
     @F.pandas_udf("double")
     def tail(t: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([math.nan if v != v else t_sf(v, n) for v, n in zip(t, df, strict=True)])
 
     out = t_statistics(trees).withColumn("p", tail("t", F.col("df").cast("double")))
-    return out.withColumn("selected", F.when(F.col("t").isNull(), F.col("mean") > F.col("overall")).otherwise(F.col("p") < level))
+    return out.withColumn("selected", F.when(F.col("t").isNull(), F.col("mean") > F.col("overall")).otherwise(F.col("p") < levels(level, blocks_of(trees, level))))
 
 
 def majority(votes: DataFrame, features: DataFrame) -> DataFrame:
@@ -54,12 +67,12 @@ def mixture_posteriors(imd: DataFrame, noise: str = "normal", signal: str = "nor
     return imd.select("block", "feature", "imd").groupBy("block").applyInPandas(run, "block string, feature string, imd double, noise double, signal double, zero double")
 
 
-def by_mixture(posteriors: DataFrame, level: float | None = 0.05) -> DataFrame:
+def by_mixture(posteriors: DataFrame, level=0.05) -> DataFrame:
     """selected: importance above 0 and chance of noise below level; level None: the longest run of features, by rising
     chance of noise, whose mean chance is 0.05 at most."""
     chance = F.col("noise") + F.col("zero")
     if level is not None:
-        return posteriors.withColumn("selected", (F.col("imd") > 0) & (chance < level))
+        return posteriors.withColumn("selected", (F.col("imd") > 0) & (chance < levels(level, blocks_of(posteriors, level))))
     run = Window.partitionBy("block").orderBy(F.round("chance", 12), "feature").rowsBetween(Window.unboundedPreceding, 0)
     return posteriors.withColumn("chance", chance).withColumn("fdr", F.avg("chance").over(run)).withColumn("selected", (F.col("imd") > 0) & (F.col("fdr") <= 0.05))
 

@@ -50,6 +50,17 @@ def variable_weights(weights, features: list[str], label: str) -> list[float] |
     return [x / sum(w) for x in w]
 
 
+def level(value, block: str, default: float = 0.05) -> float:
+    """A block's level between 0 and 1, of one number, of a mapping (its first value where the block is absent) or of 'auto'."""
+    if isinstance(value, str) and value == "auto":
+        return default
+    if isinstance(value, dict):
+        value = value.get(block, next(iter(value.values()), None))
+    if isinstance(value, bool) or not isinstance(value, (int, float, np.number)) or not 0 < value < 1:
+        raise ValueError(f"the level of block {block} must lie between 0 and 1")
+    return float(value)
+
+
 def per_block(k, blocks: list[str]) -> dict[str, int | None]:
     """The number of clusters of each block, None where it is to be tuned: of one number, of a mapping, or of None."""
     if k is None or isinstance(k, dict):
