@@ -460,6 +460,23 @@ def test_lm_query_tells_words_of_the_same_letters_apart(spark, tmp_path):
     assert max(got[i]["score"] for i in range(31, 60, 2)) + 1 < min(got[i]["score"] for i in range(30, 60, 2))
 
 
+def test_lm_target_is_every_labelled_row(spark, tmp_path):
+    """Where all rows are of the wanted quality, target and background are one model, however many rows there are."""
+    spark.createDataFrame(rows([f"w{i % 700} x{i} y{i % 9}" for i in range(5000)]), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i in range(5000)] + [(3, 1, 0), (None, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = lm_scoring.op2_lm_scoring(spark, str(tmp_path)).collect()
+    assert len(got) == 5000 and all(x["target_loss"] > 0 and x["score"] == 0 for x in got)
+
+
+def test_lm_target_too_large_to_broadcast(spark):
+    texts = [None, "", "a b", "The cat. The cat!", "zz " * 50, "the cat sat", "sat cat the", "x the cat"]
+    d = spark.createDataFrame(rows(texts, [0, 1, 2, 3, 4, 4, None, None]), DOCS)
+    target = spark.createDataFrame([(3,), (4,), (4,), (None,), (99,)], "doc_id long")
+    few, many = (sorted(lm_scoring.score_words(d, target, 3, most).collect(), key=repr) for most in (100, 2))
+    assert few == many and len(few) == len(texts) and any(x["score"] for x in few)
+
+
 def test_sketches(spark, odd):
     texts = ["", None, "a", "a b c d e f g", " ".join(f"w{i}" for i in range(400)), " ".join(f"w{i}" for i in range(40, 440)), "é" * 9, "x y"]
     ids = [5, 3, 1, 0, 9, 8, None, 2]

@@ -16,7 +16,8 @@ Spelling, and `score_documents`, is by 4-grams over 40 classes of bytes (letters
 marks, parts of longer code points): 40^4 cells, whose loss tables are broadcast (2 x 10 MB). Each order is interpolated with
 the one below by SMOOTH pseudo-counts, the lowest with the uniform distribution.
 
-The target is a bounded sample of labelled rows: at most TARGET_ROWS documents of the wanted quality, by hash of doc_id.
+The target is every document that is labelled with the wanted quality. Its doc_ids are broadcast as sorted numbers of 8 bytes
+if there are BROADCAST_IDS at most; beyond that they are joined to the documents, whose texts are then shuffled twice more.
 Null text counts as empty; a text without words has 0 tokens and null losses. Without target rows both losses still exist: the
 target model is then uniform. An empty table gives an empty result; further columns are ignored."""
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from thicket.llm._common import read
 from thicket.llm._text import SPACE, by_bytes, mix, texts, word_hashes
 
-K, ORDER, SMOOTH, TARGET_ROWS = 40, 4, 10.0, 4096
+K, ORDER, SMOOTH, BROADCAST_IDS = 40, 4, 10.0, 1 << 23
 CELLS = K**ORDER
 CHUNK_BYTES, LEAST_CHUNKS = 4 << 20, 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -64,19 +65,46 @@ def cells(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, sizes
 
 
-def _count(batches):
-    both = np.zeros((2, CELLS), np.int64)
-    for batch in by_bytes(batches, 2 << 20):
-        offs, data = texts(batch.column(0))
-        code, sizes = cells(offs, data)
-        wanted = np.repeat(np.asarray(batch.column(1)), sizes)
-        for row, part in ((0, code), (1, code[wanted])):
-            found, times = np.unique(part, return_counts=True)
-            both[row, found] += times
-    found = np.flatnonzero(both[0])
-    for k in range(0, len(found), 100_000):
-        part = found[k : k + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(both[0, part]), pa.array(both[1, part])], names=["cell", "background", "target"])
+def _ends(offs: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Whether each byte is a word's last."""
+    word = ~SPACE[data[offs[0] : offs[-1]]]
+    last = word.copy()
+    last[:-1] &= ~word[1:]
+    edges = (offs[1:] - offs[0])[np.diff(offs) > 0] - 1
+    last[edges] = word[edges]
+    return last
+
+
+def _wanted(rows: pa.Table | pa.RecordBatch, ids) -> np.ndarray:
+    """Whether each row is of the target: by its own column, or by the broadcast doc_ids."""
+    if ids is None:
+        return np.asarray(rows["wanted"].to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows["wanted"].to_numpy(), bool)
+    known, column = ids.value, rows["doc_id"]
+    if not len(known):
+        return np.zeros(len(column), bool)
+    x = np.asarray(column.fill_null(0))
+    return (known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x) & np.asarray(column.is_valid())
+
+
+def _count(ids):
+    """Each cell's counts, and those of words as cell -1."""
+
+    def run(batches):
+        both, total = np.zeros((2, CELLS), np.int64), np.zeros(2, np.int64)
+        for batch in by_bytes(batches, 2 << 20):
+            offs, data = texts(batch["text"])
+            code, sizes = cells(offs, data)
+            wanted, last = np.repeat(_wanted(batch, ids), sizes), _ends(offs, data)
+            for row, own in ((0, slice(None)), (1, wanted)):
+                both[row] += np.bincount(code[own], minlength=CELLS)
+                total[row] += np.count_nonzero(last[own])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *(pa.array([x]) for x in total)], names=["cell", "background", "target"])
+        found = np.flatnonzero(both[0])
+        for k in range(0, len(found), 100_000):
+            part = found[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(both[0, part]), pa.array(both[1, part])], names=["cell", "background", "target"])
+
+    return run
 
 
 def losses(counts: np.ndarray) -> np.ndarray:
@@ -107,21 +135,31 @@ def _score(tables):
     return run
 
 
-def count_cells(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
-    """Counts [background, target] of each cell over all docs. target_ids: at most TARGET_ROWS doc_ids, so broadcast."""
-    marked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(target_ids.withColumn("_t", F.lit(True))), "doc_id", "left")
-    rows = marked.select("text", F.coalesce("_t", F.lit(False)).alias("wanted")).mapInArrow(_count, COUNTS)
-    got = rows.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
+def marked(docs: DataFrame, target_ids: DataFrame, most: int = BROADCAST_IDS) -> tuple:
+    """docs as doc_id and text, and the broadcast doc_ids of the target; or with a column `wanted`, and None, if they are more than `most`."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    if ids.count() <= most:
+        return d, docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow()["doc_id"].to_numpy()))
+    key = F.coalesce("doc_id", F.xxhash64("text"))  # rows without a doc_id are no hot key
+    d = d.withColumn("key", key).join(ids.select(F.col("doc_id").alias("key"), F.lit(True).alias("wanted")), "key", "left")
+    return d.select("doc_id", "text", (F.col("doc_id").isNotNull() & F.coalesce("wanted", F.lit(False))).alias("wanted")), None
+
+
+def count_cells(d: DataFrame, ids) -> tuple[np.ndarray, np.ndarray]:
+    """Counts [background, target] of each cell, and of words, over all rows. d, ids: as marked() gives them."""
+    got = d.mapInArrow(_count(ids), COUNTS).groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
+    cell, counts = got["cell"].to_numpy(), np.stack([got[x].to_numpy() for x in ("background", "target")])
     both = np.zeros((2, CELLS), np.int64)
-    both[0, got["cell"].to_numpy()], both[1, got["cell"].to_numpy()] = got["background"].to_numpy(), got["target"].to_numpy()
-    return both
+    both[:, cell[cell >= 0]] = counts[:, cell >= 0]
+    return both, counts[:, cell < 0].sum(1)
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of each row."""
-    both = count_cells(docs, target_ids)
-    tables = docs.sparkSession.sparkContext.broadcast(np.stack([losses(c) for c in both]))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_score(tables), SCORES)
+    d, ids = marked(docs, target_ids)
+    tables = docs.sparkSession.sparkContext.broadcast(np.stack([losses(c) for c in count_cells(d, ids)[0]]))
+    return d.select("doc_id", "text").mapInArrow(_score(tables), SCORES)
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -130,14 +168,9 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     parts = [(h, of + first) for first, _n, h, of in word_hashes(offs, data)]
     h = np.concatenate([x[0] for x in parts] or [np.zeros(0, np.uint64)])
     of = np.concatenate([x[1] for x in parts] or [np.zeros(0, np.int64)])
-    word = ~SPACE[data[offs[0] : offs[-1]]]
-    last = word.copy()
-    last[:-1] &= ~word[1:]
-    edges = (offs[1:] - offs[0])[np.diff(offs) > 0] - 1
-    last[edges] = word[edges]
     before = np.append(_BEGIN, h[:-1])[: len(h)]
     before[np.append(True, of[1:] != of[:-1])[: len(of)]] = _BEGIN
-    return h, mix(before * _ODD + h), of, np.flatnonzero(last) + 1
+    return h, mix(before * _ODD + h), of, np.flatnonzero(_ends(offs, data)) + 1
 
 
 def _own(column: pa.Array, wanted: np.ndarray, parts: int):
@@ -166,20 +199,23 @@ def _numbers(data: bytes, size: int = 8) -> np.ndarray:
 
 
 def _packed(rows: list) -> pa.Table:
-    """rows: (chunk, part, keys, background, target)."""
+    """rows: (chunk, part, ascending keys, background, target). Keys as the steps between their 48 bits, counts compressed."""
+    low, codec = np.uint64((1 << 48) - 1), pa.Codec("zstd", 1)
     return pa.table([
         *[pa.array([x[k] for x in rows], pa.int32()) for k in (0, 1)],
-        *[pa.array([_planes(x[k], 6 if k == 2 else 8) for x in rows], pa.binary()) for k in (2, 3, 4)],
+        pa.array([_planes(np.diff(x[2] & low, prepend=np.uint64(0)), 6) for x in rows], pa.binary()),
+        *[pa.array([codec.compress(_planes(x[k]), asbytes=True) for x in rows], pa.binary()) for k in (3, 4)],
     ], names=["chunk", "part", "keys", "background", "target"])
 
 
-def _wanted(table: pa.Table) -> np.ndarray:
-    return table["wanted"].to_numpy().astype(bool)
+def _counts(data: bytes, n: int) -> np.ndarray:
+    """The n counts that _packed() compressed."""
+    return _numbers(pa.Codec("zstd").decompress(data, 8 * n, asbytes=True)).astype(np.int64)
 
 
-def _ask(parts: int):
+def _ask(parts: int, ids):
     def run(table: pa.Table) -> pa.Table:
-        *_, found, counts = _own(table["text"].combine_chunks(), _wanted(table), parts)
+        *_, found, counts = _own(table["text"].combine_chunks(), _wanted(table, ids), parts)
         chunk, bounds = table["chunk"][0].as_py(), np.searchsorted(found >> np.uint64(48), np.arange(parts + 1))
         return _packed([(chunk, k, found[i:j], counts[0, i:j], counts[1, i:j]) for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if j > i])
 
@@ -188,23 +224,24 @@ def _ask(parts: int):
 
 def _add(table: pa.Table) -> pa.Table:
     part, chunks = table["part"][0].as_py(), table["chunk"].to_pylist()
-    keys = [_numbers(x, 6) for x in table["keys"].to_pylist()]
+    keys = [np.cumsum(_numbers(x, 6)) for x in table["keys"].to_pylist()]
     bounds = np.cumsum([0, *map(len, keys)])
     found, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = []
     for name in ("background", "target"):
-        own = np.concatenate([_numbers(x) for x in table[name].to_pylist()]).astype(np.int64)
+        own = np.concatenate([_counts(x, len(k)) for x, k in zip(table[name].to_pylist(), keys, strict=True)])
         total.append(np.bincount(place, weights=own, minlength=len(found)).astype(np.int64)[place])
     return _packed([(chunk, part, found[:0], total[0][i:j], total[1][i:j]) for chunk, i, j in zip(chunks, bounds[:-1], bounds[1:], strict=True)])
 
 
-def _answer(tables, totals, parts: int):
+def _answer(tables, totals, parts: int, ids):
     def run(docs: pa.Table, sent: pa.Table) -> pa.Table:
         n, column = len(docs), docs["text"].combine_chunks()
-        one, two, context, of, end, first, found, counts = _own(column, _wanted(docs), parts)
+        one, two, context, of, end, first, found, counts = _own(column, _wanted(docs, ids), parts)
         bounds = np.searchsorted(found >> np.uint64(48), np.arange(parts + 1))
         for part, *c in zip(*(sent[x].to_pylist() for x in ("part", "background", "target")), strict=True):
-            counts[:, bounds[part] : bounds[part + 1]] = [_numbers(x) for x in c]
+            i, j = bounds[part : part + 2]
+            counts[:, i:j] = [_counts(x, j - i) for x in c]
         offs, data = texts(column)
         code, _sizes = cells(offs, data)
         begin = np.append(0, end[:-1])[: len(end)]
@@ -224,36 +261,28 @@ def _answer(tables, totals, parts: int):
     return run
 
 
-def _word_totals(batches):
-    for batch in by_bytes(batches, 2 << 20):
-        of = words(batch.column(0))[2]
-        wanted = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-        yield pa.RecordBatch.from_arrays([pa.array([len(of)]), pa.array([int(wanted[of].sum())])], names=["background", "target"])
-
-
-def score_words(docs: DataFrame, target_ids: DataFrame, least_chunks: int = LEAST_CHUNKS) -> DataFrame:
-    """doc_id, n_tokens (words), target_loss, background_loss, score of each row. target_ids: TARGET_ROWS at most."""
-    both = count_cells(docs, target_ids)
+def score_words(docs: DataFrame, target_ids: DataFrame, least_chunks: int = LEAST_CHUNKS, most_ids: int = BROADCAST_IDS) -> DataFrame:
+    """doc_id, n_tokens (words), target_loss, background_loss, score of each row. target_ids: doc_ids of the target, any number."""
+    d, ids = marked(docs, target_ids, most_ids)
+    both, sums = count_cells(d, ids)
     tables = docs.sparkSession.sparkContext.broadcast(np.stack([losses(c) for c in both]))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    d = d.join(F.broadcast(target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("wanted", F.lit(True))), "doc_id", "left")
-    d = d.withColumn("wanted", F.coalesce("wanted", F.lit(False)))
-    sums = d.select("text", "wanted").mapInArrow(_word_totals, "background long, target long").agg(F.sum("background"), F.sum("target")).first()
     chunks = max(least_chunks, int(both[0].sum()) // CHUNK_BYTES)
+    d = d.withColumn("text", F.coalesce("text", F.lit("")))
     d = d.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(chunks)).cast("int"))
     parts = min(1 << 16, 1 << max(0, chunks.bit_length() - 2))
     packed = "chunk int, part int, keys binary, background binary, target binary"
-    groups = d.select("doc_id", "text", "wanted", "chunk").groupBy("chunk")  # dealt once, read twice
-    totals = groups.applyInArrow(_ask(parts), packed).groupBy("part").applyInArrow(_add, packed)
-    return groups.cogroup(totals.groupBy("chunk")).applyInArrow(_answer(tables, (sums[0] or 0, sums[1] or 0), parts), SCORES)
+    groups = d.groupBy("chunk")  # dealt once, read twice
+    totals = groups.applyInArrow(_ask(parts, ids), packed).groupBy("part").applyInArrow(_add, packed)
+    return groups.cogroup(totals.groupBy("chunk")).applyInArrow(_answer(tables, sums, parts, ids), SCORES)
 
 
-def target_sample(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def target_ids(labels: DataFrame) -> DataFrame:
+    """doc_ids of all rows of the wanted quality, each once."""
+    return labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 def op2_lm_scoring(spark, sf_dir):
-    return score_words(read(spark, sf_dir, "documents"), target_sample(read(spark, sf_dir, "labels")))
+    return score_words(read(spark, sf_dir, "documents"), target_ids(read(spark, sf_dir, "labels")))
 
 
 QUERIES = {"op2_lm_scoring": op2_lm_scoring}
