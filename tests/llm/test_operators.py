@@ -634,6 +634,39 @@ def test_toxicity_is_what_a_plain_search_gives(spark):
     assert score == pytest.approx(1 / (1 + np.exp(-(a * odds(np.array([plain(x) for x in counts])) + b))), abs=1e-6)
 
 
+def test_toxicity_terms_and_frequencies_are_those_of_a_plain_count():
+    r = random.Random(8)
+    texts = [None, "", " ", "a", "ab abc abcd", "\tX yz\n", "É 漢字 🙂", "a" * 9] + ["".join(r.choice("abC \n\tÉ") for _ in range(r.randint(0, 60))) for _ in range(200)]
+    number = lambda t: int.from_bytes(t, "little")
+    for column in (texts, [*texts, "abc ab " * 200_000, "abcd b"]):  # the second with a text in several slices
+        plain = [plain_terms(t) for t in column]
+        known = sorted({number(t) for p in plain for t in p})[::2] + [1 << 41]
+        df = Counter(number(t) for p in plain for t in p)
+        array, terms = pa.array(column, pa.string()), np.array(known, np.uint64)
+        assert toxicity.frequencies(terms, array).tolist() == [df[t] for t in known]
+        offs, place, times = toxicity.features(terms, array)
+        for k, p in enumerate(plain):
+            own = slice(offs[k], offs[k + 1])
+            want = {number(t): c for t, c in p.items()}
+            assert dict(zip(terms[place[own]].tolist(), times[own].tolist(), strict=True)) == {t: want[t] for t in known if t in want}
+    assert toxicity.frequencies(np.zeros(0, np.uint64), pa.array(texts, pa.string())).tolist() == []
+
+
+def test_toxicity_multiplies_only_what_saves_postings():
+    """A term goes by a matrix product where texts meet it often enough; each entry of an example is laid out once."""
+    r = np.random.default_rng(7)
+    chance = np.array([0.5] * 20 + [0.09] * 10 + [0.02] * 200)
+    lists = [(t, np.ones(len(t), np.int64)) for t in (np.flatnonzero(r.random(230) < chance) for _ in range(700)) if len(t)]
+    index = toxicity.Index([(i, 0, toxicity.packed(*x)) for i, x in enumerate(lists)], np.ones(230))
+    index.lay()
+    _column, _width, _often, matrices, bounds, _starts, posting = index.laid
+    overall = np.bincount(index.terms, minlength=230) / len(lists)
+    for matrix, a, z in zip(matrices, bounds[:-1], bounds[1:], strict=True):
+        count = np.bincount(index.terms[index.starts[a] : index.starts[z]], minlength=230)
+        assert len(matrix) == ((overall * count >= toxicity.SHARE * (z - a)) & (count >= 2)).sum() < 40
+    assert sum((m > 0).sum() for m in matrices) + len(posting) == len(index.terms)
+
+
 def test_toxicity_learns_rare_and_short_words(spark):
     """Each insult is in two labelled texts, too few for a floor on chi-square; some have three letters or fewer."""
     r = random.Random(9)

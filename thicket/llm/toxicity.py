@@ -7,8 +7,8 @@ of which a term that leans to clean ones gets the part CLEAN: so no term is with
 counts most. Document frequencies are counted over all documents. Terms that no example has can't meet one, so they are
 left out, also from a document's norm.
 
-A document is compared with all examples. They lie in GROUPS groups of like ones: terms that are frequent in a group (in SHARE
-of it, DENSE of them at most) go by a matrix product, the others by their postings; what comes within SLACK of the NEAREST-th best is computed anew in double precision, so
+A document is compared with all examples. They lie in GROUPS groups of like ones: terms whose share of a group times their
+share of all examples is SHARE (DENSE of them at most) go by a matrix product, the others by their postings; what comes within SLACK of the NEAREST-th best is computed anew in double precision, so
 the neighbours found are the exact ones (ties: all examples as near as the last are taken). Votes weigh by
 1 / (1.05 - cosine), with PRIOR votes of the examples' base rate; a document without any term is as near to every example
 without one as to any.
@@ -33,33 +33,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thicket.llm._common import cut, read
-from thicket.llm._text import LOWER, SPACE, _slices, by_bytes, texts
+from thicket.llm._text import LOWER, SLICE, SPACE, _slices, by_bytes, texts
 
 PER_LABEL, LEAST, CLEAN, BLOCK, NEAREST, PRIOR, CUTOFF = 4096, 0.25, 0.7, 256, 7, 0.5, 0.7
-GROUPS, SHARE, DENSE, SLACK = 8, 1 / 16, 4096, 1e-4
+GROUPS, SHARE, DENSE, SLACK = 8, 1 / 512, 4096, 1e-4
 FOLDS, HELD, FOLDS_OUT = 3, 1, 4
+FOLDED = np.where(SPACE, 0x20, LOWER).astype(np.uint8).tobytes()
 
 
 def grams(offs: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms of all texts, as numbers of 40 bits, and the text of each."""
-    sizes = np.diff(offs)
-    n, total = len(sizes), int(sizes.sum())
+    n, total = len(offs) - 1, int(offs[-1] - offs[0])
+    gaps = offs[:-1] - offs[0] + np.arange(n)  # a space before each text
+    own = np.ones(total + n + 8, bool)
+    own[gaps] = own[total + n :] = False
     b = np.full(total + n + 8, 0x20, np.uint8)
-    at = np.arange(total) + np.repeat(np.arange(1, n + 1), sizes)
-    raw = LOWER[data[offs[0] : offs[-1]]]
-    raw[SPACE[raw]] = 0x20
-    b[at] = raw
+    b[own] = np.frombuffer(data[offs[0] : offs[-1]].tobytes().translate(FOLDED), np.uint8)
     word = b != 0x20
     w = np.ndarray((len(b) - 8,), dtype="<u8", buffer=b, strides=(1,))
-    at = [word[k : k + len(w)] for k in range(5)]
-    bits = np.where(at[1] & at[2] & at[3] & at[4], 40, 0)
-    first = ~at[0] & at[1]
-    for size in (1, 2, 3):  # a whole word with the spaces around it
-        first &= at[size]
-        bits[first & ~at[size + 1]] = 8 * (size + 2)
-    i = np.flatnonzero(bits)
-    g = w[i] & ((np.uint64(1) << bits[i].astype(np.uint64)) - np.uint64(1))
-    return g, np.searchsorted(offs[:-1] - offs[0] + np.arange(n), i, "right") - 1
+    pair = word[1:] & word[:-1]
+    run = np.flatnonzero(pair[1 : len(w) + 1] & pair[3 : len(w) + 3])
+    short = np.flatnonzero(~word[: len(w)] & word[1 : len(w) + 1])  # whole words of three bytes or fewer, with the spaces around them
+    two = word[short + 2]
+    three = word[short + 3] & two
+    some = ~(word[short + 4] & three)
+    short, bits = short[some], np.uint64(24) + np.uint64(8) * two[some] + np.uint64(8) * three[some]
+    g = [w[run] & np.uint64((1 << 40) - 1), w[short] & ((np.uint64(1) << bits) - np.uint64(1))]
+    of = [np.repeat(np.arange(n), np.diff(np.searchsorted(i, np.append(gaps, len(b))))) for i in (run, short)]
+    return np.concatenate(g), np.concatenate(of)
 
 
 def counted(column: pa.Array):
@@ -77,13 +78,33 @@ def counted(column: pa.Array):
         yield first + (key[at] & np.uint64((1 << 24) - 1)).astype(np.int64), key[at] >> np.uint64(24), times
 
 
+def looked_up(terms: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal numbers of g (ascending) begins, and its place in `terms`, or -1."""
+    at = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+    place = np.minimum(np.searchsorted(terms, g[at]), len(terms) - 1)
+    return at, np.where(terms[place] == g[at], place, -1)
+
+
+def frequencies(terms: np.ndarray, column: pa.Array) -> np.ndarray:
+    """In how many texts each of `terms` (sorted) is."""
+    if np.diff(texts(column)[0]).max(initial=0) > SLICE:  # a text in several slices
+        return np.bincount(features(terms, column)[1], minlength=len(terms))
+    df = np.zeros(len(terms), np.int64)
+    for _, g, _ in counted(column):
+        if len(g) and len(terms):
+            at, place = looked_up(terms, g)
+            df[place[place >= 0]] += np.diff(np.append(at, len(g)))[place >= 0]
+    return df
+
+
 def features(terms: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of texts, the places of their terms in `terms` (sorted), ascending, and how often each occurs."""
     rows, places, counts, last, again = [], [], [], -1, False
     for of, g, times in counted(column):
         if len(of) and len(terms):
-            place = np.minimum(np.searchsorted(terms, g), len(terms) - 1)
-            same = terms[place] == g
+            at, place = looked_up(terms, g)
+            place = np.repeat(place, np.diff(np.append(at, len(g))))
+            same = place >= 0
             again |= int(of.min()) <= last
             last = max(last, int(of.max()))
             rows.append(of[same])
@@ -116,7 +137,7 @@ def _frequencies(vocabulary):
         terms = vocabulary.value
         df, total = np.zeros(len(terms), np.int64), 0
         for part in by_bytes(batches, 2 << 20):
-            df += np.bincount(features(terms, part.column(0))[1], minlength=len(terms))
+            df += frequencies(terms, part.column(0))
             total += part.num_rows
         found = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total])], names=["term", "df"])
@@ -232,12 +253,14 @@ class Index:
         self.flat([kept[i] for i in order])
         bounds = np.searchsorted(group[order], np.arange(groups + 1))
         often, matrices, rare, used = [], [], np.ones(len(self.terms), bool), np.zeros(most, bool)
+        overall = np.bincount(self.terms, minlength=most) / max(1, n)
         for a, z in zip(bounds[:-1], bounds[1:], strict=True):
             own = slice(self.starts[a], self.starts[z])
             terms = self.terms[own]
             count = np.bincount(terms, minlength=most)
-            top = np.argsort(-count, kind="stable")[:DENSE]
-            top = top[count[top] >= max(2, SHARE * (z - a))]
+            gain = overall * count  # of a product: postings saved for a text, as texts have a term as often as examples
+            top = np.argsort(-gain, kind="stable")[:DENSE]
+            top = top[(count[top] >= 2) & (gain[top] >= SHARE * (z - a))]
             column[:] = -1
             column[top] = np.arange(len(top))
             at, row = column[terms], np.repeat(np.arange(z - a), np.diff(self.starts[a : z + 1]))
@@ -267,22 +290,26 @@ class Index:
     def cosines(self, offs: np.ndarray, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Cosines of some texts with all examples, in single precision."""
         column, width, often, matrices, bounds, starts, posting = self.laid
-        n = len(offs) - 1
-        q, out, at = np.zeros((n, width), np.float32), np.zeros((n, len(self.ids)), np.float32), column[terms]
-        q[np.repeat(np.arange(n), np.diff(offs))[at >= 0], at[at >= 0]] = w[at >= 0]
+        n, of = len(offs) - 1, np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        q, out, at = np.zeros((width, n), np.float32), np.zeros((len(self.ids), n), np.float32), column[terms]
+        q[at[at >= 0], of[at >= 0]] = w[at >= 0]
         for top, matrix, a, z in zip(often, matrices, bounds[:-1], bounds[1:], strict=True):
-            out[:, a:z] = q[:, top] @ matrix
+            out[a:z] = matrix.T @ q[top]  # a text in each column: so the rows of q lie together
+        out = np.ascontiguousarray(out.T)
+        begin = starts[terms]
+        size = starts[terms + 1] - begin
+        some = np.flatnonzero(size)
+        begin, size, w, cuts = begin[some], size[some], w[some], np.searchsorted(some, offs)
         for k in range(n):
-            own = slice(offs[k], offs[k + 1])
-            begin = starts[terms[own]]
-            size = starts[terms[own] + 1] - begin
-            total = int(size.sum())
-            if total:
-                at = np.repeat(begin - np.cumsum(size) + size, size)
-                at += np.arange(total)
-                found = posting[at].view(np.int32).reshape(-1, 2)
-                value = found[:, 1].view(np.float32) * np.repeat(w[own].astype(np.float32), size)
-                out[k] += np.bincount(found[:, 0], weights=value, minlength=len(self.ids))
+            own = slice(cuts[k], cuts[k + 1])
+            if cuts[k + 1] > cuts[k]:
+                first, end = begin[own], np.cumsum(size[own])
+                at = np.ones(end[-1], np.int64)
+                at[0] = first[0]
+                at[end[:-1]] = first[1:] - first[:-1] - size[own][:-1] + 1
+                found = posting[np.cumsum(at, out=at)]
+                value = found.view(np.float32)[1::2] * np.repeat(w[own], size[own])
+                out[k] += np.bincount(found & 0xFFFFFFFF, weights=value, minlength=len(self.ids))
         return out
 
     def best(self, terms: np.ndarray, w: np.ndarray, near: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
