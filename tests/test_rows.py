@@ -7,7 +7,7 @@ from thicket.operators import leaves
 from thicket.operators import matrix as X
 from thicket.plans import catalogue
 
-PAIRS = ["fw_all"]
+PAIRS = ["fw_all", "row_normalize"]
 
 
 def membership(spark, n=60, trees=7):
