@@ -376,7 +376,7 @@ def _(spark, sf):
 
 @query("topv_strict", ADJ_SQL + f", k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(w, 12) DESC, j) AS k FROM adj) SELECT i, j, {r('w')} AS w FROM k WHERE k <= 10")
 def _(spark, sf):
-    return X.top_entries(X.adjust(W(spark, sf)), 10, ties=False)
+    return X.top_entries(X.adjust(W_top(spark, sf)), 10, ties=False)
 
 
 @query("row_normalize", ADJ_SQL + f" SELECT i, j, {r('w / sum(w) OVER (PARTITION BY i)')} AS w FROM adj", by=rounded_shares)
