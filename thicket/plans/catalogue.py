@@ -391,7 +391,7 @@ def _(spark, sf):
 
 @query("row_entropy", TOP_SQL + f" SELECT i, {r('-sum(w * ln(w))')} AS entropy, count(*) AS entries, {r('exp(-sum(w * ln(w)))')} AS n_eff FROM p GROUP BY i")
 def _(spark, sf):
-    return X.row_entropy(X.prepare(W(spark, sf), 10))
+    return X.row_entropy(X.prepare(W_top(spark, sf), 10))
 
 
 @query("neff_topv", ADJ_SQL + ", z AS (SELECT i, w / sum(w) OVER (PARTITION BY i) AS p FROM adj), h AS (SELECT exp(-sum(p * ln(p))) AS n FROM z GROUP BY i) SELECT least((SELECT count(*) FROM embeddings), greatest(10, ceil(quantile_cont(n, 0.5))))::BIGINT AS v FROM h")
