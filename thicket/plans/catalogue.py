@@ -401,7 +401,7 @@ def _(spark, sf):
 
 @query("fused_entropy", TOP_SQL + f", h AS (SELECT -sum(w * ln(w)) AS h FROM p GROUP BY i) SELECT {r('sum(h) / any_value(n * ln(n))')} AS entropy FROM h, (SELECT count(*)::DOUBLE AS n FROM embeddings)")
 def _(spark, sf):
-    return X.mean_entropy(X.prepare(W(spark, sf), 10), samples(spark, sf))
+    return X.mean_entropy(X.prepare(W_top(spark, sf), 10), samples(spark, sf))
 
 
 @query("weight_concentration", TOP_SQL + f", h AS (SELECT -sum(w * ln(w)) AS h, count(*) AS k FROM p GROUP BY i) SELECT {r('1 - avg(h / ln(k))')} AS concentration FROM h")
