@@ -435,7 +435,7 @@ def _(spark, sf):
 
 @query("sim_first", TOP_SQL + f" SELECT i, j, {r('sum(w) / 2')} AS w FROM (SELECT i, j, w FROM p UNION ALL SELECT j, i, w FROM p) GROUP BY ALL")
 def _(spark, sf):
-    return X.first_order(X.prepare(W(spark, sf), 10))
+    return X.first_order(X.prepare(W_top(spark, sf), 10))
 
 
 S_SQL = TOP_SQL + ", s AS (SELECT a.i, b.i AS j, sum(a.w * b.w) AS w FROM p a JOIN p b USING (j) WHERE a.i <> b.i GROUP BY ALL)"
