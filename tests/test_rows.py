@@ -8,7 +8,7 @@ from thicket.operators import matrix as X
 from thicket.plans import catalogue
 
 PAIRS = ["fw_all", "row_normalize"]
-TOP = ["topv_ties", "topv_strict", "prepare_weight", "row_entropy", "fused_entropy", "sim_second", "sim_first"]
+TOP = ["topv_ties", "topv_strict", "prepare_weight", "row_entropy", "fused_entropy", "sim_second", "sim_first", "knn_sparsify"]
 
 
 def membership(spark, n=60, trees=7):

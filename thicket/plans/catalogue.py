@@ -444,7 +444,7 @@ KNN_SQL = S_SQL + ", kr AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY
 
 @query("knn_sparsify", KNN_SQL + f" SELECT i, j, {r('w')} AS w FROM kn")
 def _(spark, sf):
-    return X.nearest(X.second_order(X.prepare(W(spark, sf), 10)), 5)
+    return X.nearest(X.second_order(X.prepare(W_top(spark, sf), 10)), 5)
 
 
 @query("laplacian", KNN_SQL + f" SELECT i, j, {r('-w')} AS w FROM kn UNION ALL SELECT i, i, {r('sum(w)')} FROM kn GROUP BY i")
