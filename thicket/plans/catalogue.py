@@ -449,7 +449,7 @@ def _(spark, sf):
 
 @query("laplacian", KNN_SQL + f" SELECT i, j, {r('-w')} AS w FROM kn UNION ALL SELECT i, i, {r('sum(w)')} FROM kn GROUP BY i")
 def _(spark, sf):
-    return X.laplacian(X.nearest(X.second_order(X.prepare(W(spark, sf), 10)), 5))
+    return X.laplacian(X.nearest(X.second_order(X.prepare(W_top(spark, sf), 10)), 5))
 
 
 @query("modularity_score", KNN_SQL + ", c AS (SELECT vec_id AS i, label AS c FROM embeddings), a AS (SELECT x.c AS ci, sum(w) AS d, sum(CASE WHEN x.c = y.c THEN w ELSE 0 END) AS ins FROM kn JOIN c x ON x.i = kn.i JOIN c y ON y.i = kn.j GROUP BY 1)"
