@@ -455,7 +455,7 @@ def _(spark, sf):
 @query("modularity_score", KNN_SQL + ", c AS (SELECT vec_id AS i, label AS c FROM embeddings), a AS (SELECT x.c AS ci, sum(w) AS d, sum(CASE WHEN x.c = y.c THEN w ELSE 0 END) AS ins FROM kn JOIN c x ON x.i = kn.i JOIN c y ON y.i = kn.j GROUP BY 1)"
        f" SELECT {r('sum(ins) / sum(d) - sum(d * d) / (sum(d) * sum(d))')} AS modularity FROM a")
 def _(spark, sf):
-    return X.modularity(X.nearest(X.second_order(X.prepare(W(spark, sf), 10)), 5), labels(spark, sf).withColumnRenamed("sample_idx", "i"))
+    return X.modularity(X.nearest(X.second_order(X.prepare(W_top(spark, sf), 10)), 5), labels(spark, sf).withColumnRenamed("sample_idx", "i"))
 
 
 @query("silhouette_avg", E_SQL + (
