@@ -763,7 +763,7 @@ def _(spark, sf):
 
 @query("network_edges", KNN_SQL + f", q AS (SELECT quantile_cont(w, 0.75) AS c FROM kn WHERE i < j AND w > 0) SELECT i, j, {r('w')} AS w FROM kn, q WHERE i < j AND round(w, 12) > round(c, 12)")
 def _(spark, sf):
-    return reports.network(X.nearest(X.second_order(X.prepare(W(spark, sf), 10)), 5))
+    return reports.network(X.nearest(X.second_order(X.prepare(W_top(spark, sf), 10)), 5))
 
 
 @query("chord_pairs", KNN_SQL + f" SELECT i, j, {r('w')} AS w, a.label AS group_i, b.label AS group_j FROM kn JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j WHERE i < j AND w > 0.01")
