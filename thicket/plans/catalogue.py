@@ -769,7 +769,7 @@ def _(spark, sf):
 @query("chord_pairs", KNN_SQL + f" SELECT i, j, {r('w')} AS w, a.label AS group_i, b.label AS group_j FROM kn JOIN embeddings a ON a.vec_id = i JOIN embeddings b ON b.vec_id = j WHERE i < j AND w > 0.01")
 def _(spark, sf):
     groups = labels(spark, sf).select(F.col("sample_idx").alias("i"), F.col("cluster").alias("group"))
-    return reports.chords(X.nearest(X.second_order(X.prepare(W(spark, sf), 10)), 5), groups, 0.01)
+    return reports.chords(X.nearest(X.second_order(X.prepare(W_top(spark, sf), 10)), 5), groups, 0.01)
 
 
 @query("tune_subset", "s AS (SELECT vec_id FROM embeddings ORDER BY md5('529:' || vec_id), vec_id LIMIT 100), " + TOP_SQL + f" SELECT i, j, {r('w')} AS w FROM p WHERE i IN (SELECT vec_id FROM s) AND j IN (SELECT vec_id FROM s)")
