@@ -775,7 +775,7 @@ def _(spark, sf):
 @query("tune_subset", "s AS (SELECT vec_id FROM embeddings ORDER BY md5('529:' || vec_id), vec_id LIMIT 100), " + TOP_SQL + f" SELECT i, j, {r('w')} AS w FROM p WHERE i IN (SELECT vec_id FROM s) AND j IN (SELECT vec_id FROM s)")
 def _(spark, sf):
     s = filtering.draw_samples(labels(spark, sf).select("sample_idx"), 100, 529)
-    return filtering.subset_matrix(X.prepare(W(spark, sf), 10), s)
+    return filtering.subset_matrix(X.prepare(W_top(spark, sf), 10), s)
 
 
 @query("tree_edges", N_SQL + f", c AS (SELECT tree, node, CASE WHEN node < 8 THEN 2 * node END AS lf, depth, (16 // pow(2, depth)::INT)::INT AS size FROM n) SELECT a.tree, a.node AS \"from\", b.node AS \"to\", {r('1.0 / b.depth')} AS inv_depth, {r('b.size / a.size::DOUBLE')} AS share FROM c a JOIN c b ON a.tree = b.tree AND b.node // 2 = a.node")
