@@ -8,7 +8,7 @@ from thicket.operators import matrix as X
 from thicket.plans import catalogue
 
 PAIRS = ["fw_all", "row_normalize"]
-TOP = ["topv_ties", "topv_strict", "prepare_weight", "row_entropy", "fused_entropy", "sim_second", "sim_first", "knn_sparsify", "laplacian", "modularity_score", "network_edges", "chord_pairs", "tune_subset", "recon_matmul", "bench_second_order", "fuse_response", "fuse_global_avg", "fuse_global_pmin", "residual", "shared_frac"]
+TOP = ["topv_ties", "topv_strict", "prepare_weight", "row_entropy", "fused_entropy", "sim_second", "sim_first", "knn_sparsify", "laplacian", "modularity_score", "network_edges", "chord_pairs", "tune_subset", "recon_matmul", "bench_second_order", "fuse_response", "fuse_global_avg", "fuse_global_pmin", "residual", "shared_frac", "candidate_entropies"]
 
 
 def membership(spark, n=60, trees=7):

@@ -540,7 +540,7 @@ def _(spark, sf):
        .replace("fx AS (SELECT response, i,", "fx AS (SELECT v, response, i,").replace("f AS (SELECT response, i, j, w / sum(w) OVER (PARTITION BY response, i)", "f AS (SELECT v, response, i, j, w / sum(w) OVER (PARTITION BY v, response, i)")
        + f", g AS (SELECT v, i, j, sum(w) / 2 AS w FROM f GROUP BY ALL), gn AS (SELECT v, i, w / sum(w) OVER (PARTITION BY v, i) AS p FROM g), h AS (SELECT v, i, -sum(p * ln(p)) AS h FROM gn GROUP BY ALL) SELECT v, {r('sum(h) / any_value(n * ln(n))')} AS entropy FROM h, (SELECT count(*)::DOUBLE AS n FROM embeddings) GROUP BY v")
 def _(spark, sf):
-    return tuning.candidate_entropies(two_models(spark, sf), fusion.shares(two_scores(spark)), [5, 10, 20], samples(spark, sf))
+    return tuning.candidate_entropies(two_models(spark, sf, top=20), fusion.shares(two_scores(spark)), [5, 10, 20], samples(spark, sf))
 
 
 # importance and selection
