@@ -62,3 +62,18 @@ def test_only_what_is_kept_reaches_the_shuffle(spark, sf, name, monkeypatch):
     catalogue.QUERIES[name](spark, sf)
     n = spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert seen and max(seen) < n * n / 4
+
+
+@pytest.mark.parametrize("mode", ["all", "inbag", "oob"])
+def test_errors_without_weights(spark, mode):
+    m, rng = membership(spark), np.random.default_rng(5)
+    rows = [("A", 10 * i, f"f{k}", float(rng.normal())) for i in range(55) for k in range(3) if rng.random() < 0.8]
+    long = spark.createDataFrame(rows, "block string, sample_idx int, feature string, value double")
+    got, want = (d.first()[0] for d in (leaves.forest_nmse(m, long, mode), leaves.nmse(leaves.forest_weights(m, mode), long)))
+    assert abs(got - want) < 1e-12 * want
+
+
+@pytest.mark.parametrize("name", ["oob_nmse", "r_squared_error"])
+def test_errors_need_no_weights(spark, sf, name, monkeypatch):
+    monkeypatch.delattr(leaves, "forest_weights")
+    assert catalogue.QUERIES[name](spark, sf).first()[0] > 0

@@ -92,8 +92,7 @@ class LeafRows:
 
     def times(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
         """Of all samples: weights times one feature that is given at some; nan where a sample has no tree. A pass over trees."""
-        x, out, k = np.zeros(self.n), np.zeros(self.n), 0
-        x[at] = values
+        x, out, k = np.bincount(at, values, minlength=self.n), np.zeros(self.n), 0
         for t, code in enumerate(self.codes):
             lo, hi = self.base[t], self.base[t + 1]
             size = int(np.count_nonzero(code >= 0)) if self.mode == "all" else int(np.count_nonzero((code >= 0) & (self.draws[t] > 0)))

@@ -240,10 +240,40 @@ def nmse(weights: DataFrame, long: DataFrame) -> DataFrame:
     predicted = weights.join(x, "j").groupBy("i", "block", "feature").agg(F.sum(F.col("w") * F.col("value")).alias("p"))
     both = predicted.join(long.withColumnRenamed("sample_idx", "i"), ["i", "block", "feature"])
     error = both.groupBy("block", "feature").agg(F.avg(F.pow(F.col("p") - F.col("value"), 2)).alias("e"))
+    return _over_variance(error, long)
+
+
+def _over_variance(error: DataFrame, long: DataFrame) -> DataFrame:
     spread = long.groupBy("block", "feature").agg(F.var_samp("value").alias("v"))
     return error.join(spread, ["block", "feature"]).agg(F.avg(F.col("e") / F.greatest("v", F.lit(1e-12))).alias("nmse"))
 
 
+def forest_nmse(m: DataFrame, long: DataFrame, mode: str = "all") -> DataFrame:
+    """nmse of the forest's weights (mode as in forest_weights) without the weights: of each feature, a task of its own takes
+    the means of all leaves, and of each sample the mean over its trees."""
+    held = _leaf_rows(m, mode)
+    if held is None:
+        return nmse(forest_weights(m, mode), long)
+    cast = m.sparkSession.sparkContext.broadcast(held)
+
+    def run(table):
+        full = cast.value.ready()
+        one = table.select(["sample_idx", "value"]).drop_null()
+        sample, value = one.column(0).to_numpy(), one.column(1).to_numpy()
+        at = np.minimum(np.searchsorted(full.ids, sample), full.n - 1)
+        known = full.ids[at] == sample
+        at, value = at[known], value[known]
+        predicted = full.times(at, value)[at]
+        met = full.trees[at] > 0
+        if any(full.blank) or len(np.unique(at)) < full.n:  # those whose donors have no value have no prediction
+            met &= full.times(at, np.ones(len(at)))[at] > 0
+        error = float(np.mean((predicted[met] - value[met]) ** 2)) if met.any() else None
+        return pa.table({"block": table.column("block")[:1], "feature": table.column("feature")[:1], "e": pa.array([error], pa.float64())})
+
+    rows = long.select("block", "feature", "sample_idx", F.col("value").cast("double").alias("value"))
+    return _over_variance(rows.groupBy("block", "feature").applyInArrow(run, "block string, feature string, e double"), long)
+
+
 def reconstruction_error(weights: DataFrame, x: DataFrame, y: DataFrame | None = None) -> float:
     """The sum over the sides of the mean error of W times a side's block, each feature's over its sample variance."""
     return sum(nmse(weights, side).first()[0] for side in (x, y) if side is not None)

@@ -408,7 +408,7 @@ def _(spark, sf):
 
 @query("weight_concentration", TOP_SQL + f", h AS (SELECT -sum(w * ln(w)) AS h, count(*) AS k FROM p GROUP BY i) SELECT {r('1 - avg(h / ln(k))')} AS concentration FROM h")
 def _(spark, sf):
-    return X.concentration(X.prepare(W(spark, sf), 10))
+    return X.concentration(X.prepare(W_top(spark, sf), 10))
 
 
 GRAPH_SQL = "RECURSIVE u AS (SELECT n_nationkey::BIGINT AS i, (n_nationkey % 7)::BIGINT AS j FROM nation), v AS (SELECT i, j FROM u WHERE i <> j AND (i + j) % 4 > 0 UNION SELECT j, i FROM u WHERE i <> j AND (i + j) % 4 > 0), a AS (SELECT i FROM u UNION SELECT j FROM u), c AS (SELECT i, i AS c FROM a UNION SELECT v.j, c.c FROM c JOIN v ON v.i = c.i), m AS (SELECT i, min(c) AS component FROM c GROUP BY i)"
@@ -515,7 +515,7 @@ def _(spark, sf):
     f" SELECT {r('avg(er / vr)')} AS nmse FROM er JOIN vr USING (dim)"
 ).replace("SELECT dim, avg(pow(p - v, 2)) AS er FROM pr JOIN e ON e.vec_id = i AND e.dim = pr.dim GROUP BY pr.dim AS dim", "SELECT pr.dim, avg(pow(p - v, 2)) AS er FROM pr JOIN e ON e.vec_id = i AND e.dim = pr.dim GROUP BY pr.dim"))
 def _(spark, sf):
-    return leaves.nmse(leaves.oob_weights(M(spark, sf)), E(spark, sf))
+    return leaves.forest_nmse(M(spark, sf), E(spark, sf), "oob")
 
 
 @query("r_squared_error", W_SQL + (
@@ -524,8 +524,8 @@ def _(spark, sf):
     f" SELECT {r('sum(e)')} AS error FROM bl"
 ))
 def _(spark, sf):
-    e = E(spark, sf)
-    return spark.createDataFrame([(leaves.reconstruction_error(W(spark, sf), e.where("block = 'A'"), e.where("block = 'B'")),)], "error double")
+    m, e = M(spark, sf), E(spark, sf)
+    return spark.createDataFrame([(sum(leaves.forest_nmse(m, e.where(F.col("block") == b)).first()[0] for b in "AB"),)], "error double")
 
 
 @query("elbow_table", (

@@ -154,7 +154,7 @@ def start(spark: SparkSession, long: DataFrame, trees: int = 300, scale: bool =
             x = kept.where(F.col("block").isin(list(set(p))))
             index = spark.createDataFrame([(s, k) for k, s in enumerate(samples)], "sample_idx long, at int")
             x = x.join(index, "sample_idx").withColumn("sample_idx", F.col("at")).drop("at")
-            e = leaves.nmse(leaves.oob_weights(m.membership), x).first()[0]
+            e = leaves.forest_nmse(m.membership, x, "oob").first()[0]
             errors.append(e)
         rows.append(("_".join(p), p[0], p[-1], C.weight_modularity(w, control.seed), e))
     fit.scores = spark.createDataFrame(rows, "model string, response string, predictor string, quality double, nmse double")
