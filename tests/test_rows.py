@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from thicket.operators import leaves
+from thicket.operators import forest, importance, leaves
 from thicket.operators import matrix as X
 from thicket.plans import catalogue
 
@@ -77,3 +78,27 @@ def test_errors_without_weights(spark, mode):
 def test_errors_need_no_weights(spark, sf, name, monkeypatch):
     monkeypatch.delattr(leaves, "forest_weights")
     assert catalogue.QUERIES[name](spark, sf).first()[0] > 0
+
+
+@pytest.mark.parametrize("constant", [False, True])
+def test_responses_of_clusters_are_those_of_split_statistics(spark, constant):
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(240, 4)), rng.normal(size=(240, 5)) + 100
+    if constant:
+        y[:, [0, 3]] = 0.1
+    f = forest.fit(spark, x, y, forest.Control(trees=3, nodesize=6))
+    labels = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(230)], "sample_idx int, cluster string")
+    got = {(r["cluster"], r["var"]): r["imd"] for r in importance.cluster_imd(f, labels)[0].where("side = 'Y'").collect()}
+    long = spark.createDataFrame([(i, k, float(v)) for i, row in enumerate(y) for k, v in enumerate(row)], "sample_idx int, response int, y double")
+    at = importance.node_samples(f.nodes, f.membership, importance.leaf_ancestors(f.nodes)).join(labels, "sample_idx").join(long, "sample_idx")
+    stats = importance.split_statistics(at.select(F.struct("cluster", "tree", "node").alias("node"), "response", "side", "y")).where("stat > 0")
+    best = stats.groupBy("node").agg(F.max_by("response", F.struct("stat", -F.col("response"))).alias("var")).select("node.*", "var").join(f.nodes.select("tree", "node", "depth"), ["tree", "node"])
+    want = best.groupBy("cluster", "tree", "var").agg((1 / (F.min("depth") + 1)).alias("d")).groupBy("cluster", "var").agg((F.sum("d") / 3).alias("imd"))
+    assert got == {(r["cluster"], r["var"]): pytest.approx(r["imd"]) for r in want.collect()} and got
+
+
+def test_cluster_importance_does_not_repeat_samples(spark, monkeypatch):
+    monkeypatch.delattr(importance, "node_samples")
+    x = np.random.default_rng(7).normal(size=(80, 3))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "sample_idx int, cluster int")
+    assert importance.cluster_imd(forest.fit(spark, x, x[:, ::-1].copy(), forest.Control(trees=2)), labels)[0].count() > 0

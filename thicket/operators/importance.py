@@ -4,8 +4,12 @@ All of it is aggregation over nodes(tree, depth, split_var, msrv)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
 
@@ -88,6 +92,55 @@ def leaf_ancestors(nodes: DataFrame) -> DataFrame:
     return nodes.select("tree", "node", "left", "right").groupBy("tree").applyInPandas(run, "tree int, leaf_number int, ancestor int, side string")
 
 
+def largest_responses(left, right, depth, leaf, cluster, sample, y) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cluster, response, depth of one tree's inner nodes that a cluster's samples reach on both sides: of each cluster the
+    response with the largest split_statistics, the first one among equals. Counts, sums and squares (by Chan's merging)
+    go up from the leaves level by level, so a sample is read once for each response, not once for each node above it.
+
+    left, right, depth: by node, children behind their parents; leaf (from 1, left to right), cluster, sample: by row."""
+    stack, number = [0] if len(left) else [], []
+    while stack:
+        n = stack.pop()
+        if left[n] < 0:
+            number.append(n)
+        else:
+            stack += [int(right[n]), int(left[n])]
+    nodes, clusters = len(left), int(cluster.max(initial=-1)) + 1
+    inner = np.flatnonzero(left >= 0)
+    levels = [inner[depth[inner] == d] for d in range(int(depth.max(initial=0)), -1, -1)]
+    key = cluster * nodes + np.array(number, int)[leaf - 1] if len(leaf) else np.zeros(0, int)
+    order = np.argsort(key, kind="stable")
+    key, sample = key[order], sample[order]
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else key
+    count = np.bincount(key, minlength=clusters * nodes).reshape(clusters, nodes)
+    for at in levels:
+        count[:, at] = count[:, left[at]] + count[:, right[at]]
+    nl, nr, all_ = count[:, left[inner]], count[:, right[inner]], count[:, inner]
+    top, who = np.zeros((clusters, len(inner))), np.full((clusters, len(inner)), -1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k in range(y.shape[1] if len(key) else 0):
+            v = y[sample, k]
+            total, square, low, high = (np.full(clusters * nodes, x) for x in (0.0, 0.0, np.inf, -np.inf))
+            own = key[starts]
+            total[own], low[own], high[own] = np.add.reduceat(v, starts), np.minimum.reduceat(v, starts), np.maximum.reduceat(v, starts)
+            square[own] = np.add.reduceat((v - np.repeat(total[own] / count.ravel()[own], np.diff(np.r_[starts, len(v)]))) ** 2, starts)
+            total, square, low, high = (x.reshape(clusters, nodes) for x in (total, square, low, high))
+            for at in levels:
+                a, b = left[at], right[at]
+                na, nb = count[:, a], count[:, b]
+                apart = np.where((na > 0) & (nb > 0), (total[:, a] / na - total[:, b] / nb) ** 2 * na * nb / (na + nb), 0.0)
+                square[:, at] = square[:, a] + square[:, b] + apart
+                total[:, at] = total[:, a] + total[:, b]
+                low[:, at], high[:, at] = np.minimum(low[:, a], low[:, b]), np.maximum(high[:, a], high[:, b])
+            sd = np.where(high[:, inner] > low[:, inner], np.sqrt(square[:, inner] / (all_ - 1)), 0.0)
+            z = (total[:, left[inner]] - nl * (total[:, inner] / all_)) / sd
+            stat = np.where((sd > 0) & (nl > 0) & (nr > 0), z * z / nl + z * z / nr, 0.0)
+            better = stat > top
+            top, who = np.where(better, stat, top), np.where(better, k, who)
+    c, at = np.nonzero(who >= 0)
+    return c, who[c, at], depth[inner[at]]
+
+
 def cluster_imd(forest, clusters: DataFrame, least: int = 20) -> tuple[DataFrame, DataFrame]:
     """(cluster, side, var, imd) recomputed on each cluster's samples without a refit, and (cluster, samples, status).
 
@@ -98,12 +151,24 @@ def cluster_imd(forest, clusters: DataFrame, least: int = 20) -> tuple[DataFrame
     trees = forest.control.trees
     x = per_tree(forest.nodes).groupBy("var").agg((F.sum("imd") / trees).alias("imd"))
     x_side = ok.select("cluster").distinct().crossJoin(x).select("cluster", F.lit("X").alias("side"), "var", "imd")
-    spark = clusters.sparkSession
-    y = spark.createDataFrame([(i, k, float(v)) for i, row in enumerate(forest.y) for k, v in enumerate(row)], "sample_idx int, response int, y double")
-    at = node_samples(forest.nodes, forest.membership, leaf_ancestors(forest.nodes)).join(ok, "sample_idx").join(y, "sample_idx")
-    stats = split_statistics(at.select(F.struct("cluster", "tree", "node").alias("node"), "response", "side", "y"))
-    best = stats.where("stat > 0").groupBy("node").agg(F.max_by("response", F.struct("stat", -F.col("response"))).alias("msrv")).select("node.cluster", "node.tree", "node.node", "msrv")
-    y_side = per_tree(best.join(forest.nodes.select("tree", "node", "depth"), ["tree", "node"]), "msrv", ["cluster"]).groupBy("cluster", "var").agg((F.sum("imd") / trees).alias("imd"))
+    held = clusters.sparkSession.sparkContext.broadcast(np.asfortranarray(forest.y))
+    kind = clusters.schema["cluster"].dataType
+
+    def run(nodes, rows):
+        n = nodes.sort_by("node")
+        left, right, depth = (n.column(c).to_numpy() for c in ("left", "right", "depth"))
+        found, cluster = np.unique(rows.column("cluster").to_numpy(zero_copy_only=False), return_inverse=True)
+        best = largest_responses(left, right, depth, rows.column("leaf").to_numpy(), cluster, rows.column("sample_idx").to_numpy(), held.value)
+        out = {(c, v): d for c, v, d in sorted(zip(*(x.tolist() for x in best), strict=True), reverse=True)}  # the least depth comes last
+        keys = list(out)
+        names = [pa.array(found)[c].as_py() for c, _ in keys]
+        imd = pa.array([1 / (out[k] + 1) for k in keys], pa.float64())
+        return pa.table({"cluster": pa.array(names, to_arrow_type(kind)), "var": pa.array([v for _, v in keys], pa.int32()), "imd": imd})
+
+    schema = StructType([StructField("cluster", kind), *StructType.fromDDL("var int, imd double")])
+    trees_of = forest.nodes.select("tree", "node", "left", "right", "depth").groupBy("tree")
+    samples_of = forest.membership.select(F.col("tree").alias("t"), "sample_idx", "leaf").join(ok.where("cluster IS NOT NULL").select("sample_idx", "cluster"), "sample_idx").groupBy("t")
+    y_side = trees_of.cogroup(samples_of).applyInArrow(run, schema).groupBy("cluster", "var").agg((F.sum("imd") / trees).alias("imd"))
     return x_side.unionByName(y_side.select("cluster", F.lit("Y").alias("side"), "var", "imd")), status
 
 
