@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thicket.functions.rng import Stream
 from thicket.operators import forest, importance, leaves
 from thicket.operators import matrix as X
 from thicket.plans import catalogue
@@ -102,3 +103,30 @@ def test_cluster_importance_does_not_repeat_samples(spark, monkeypatch):
     x = np.random.default_rng(7).normal(size=(80, 3))
     labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "sample_idx int, cluster int")
     assert importance.cluster_imd(forest.fit(spark, x, x[:, ::-1].copy(), forest.Control(trees=2)), labels)[0].count() > 0
+
+
+def test_few_draws_do_not_copy_the_pool():
+    class Pool:
+        reads = 0
+
+        def __len__(self):
+            return 1000
+
+        def __getitem__(self, k):
+            self.reads += 1
+            if k >= 1000:
+                raise IndexError
+            return 7 * k
+
+    def plain(stream, pool, size):
+        pool, out = list(pool), []
+        for left in range(len(pool), len(pool) - size, -1):
+            at = stream.index(left)
+            out.append(pool[at])
+            pool[at] = pool[left - 1]
+        return out
+
+    pool = Pool()
+    assert Stream(-11).without_replacement(pool, 5) == plain(Stream(-11), range(0, 7000, 7), 5) and pool.reads == 5
+    a, b = Stream(-4), Stream(-4)
+    assert a.without_replacement(range(50), 50) == plain(b, range(50), 50) and a.unit() == b.unit()
