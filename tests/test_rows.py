@@ -130,3 +130,13 @@ def test_few_draws_do_not_copy_the_pool():
     assert Stream(-11).without_replacement(pool, 5) == plain(Stream(-11), range(0, 7000, 7), 5) and pool.reads == 5
     a, b = Stream(-4), Stream(-4)
     assert a.without_replacement(range(50), 50) == plain(b, range(50), 50) and a.unit() == b.unit()
+
+
+def test_sub_forests_share_one_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(60, 40)), rng.normal(size=(60, 30))
+    monkeypatch.setattr(forest, "MATRIX_BYTES", x.nbytes + y.nbytes)
+    parts = forest.fit_subsampled(spark, x, y, n_sub=3, trees=2)
+    for p in parts:
+        alone = forest.fit(spark, x[:, p["x_columns"]], y[:, p["y_columns"]], p["forest"].control)
+        assert sorted(alone.membership.select("tree", "sample_idx", "leaf").collect()) == sorted(p["forest"].membership.select("tree", "sample_idx", "leaf").collect())

@@ -122,18 +122,31 @@ def grow_one(x: np.ndarray, y: np.ndarray | None, c: Control, t: int, seeds) ->
 
 
 def grow_trees(spark: SparkSession, jobs: list[dict]) -> DataFrame:
-    """GROWN rows of all trees of all jobs in one Spark job. A job: conn_id, rep, x, y (or None), control."""
-    size = sum(j["x"].nbytes + (0 if j["y"] is None else j["y"].nbytes) for j in jobs)
+    """GROWN rows of all trees of all jobs in one Spark job. A job: conn_id, rep, x, y (or None), control; x and y are matrices
+    or kernel.Picked columns of them. A matrix that several jobs read is broadcast once."""
+    wholes: list[np.ndarray] = []
+
+    def place(m):
+        whole, columns = (m.whole, m.columns) if isinstance(m, kernel.Picked) else (m, None)
+        k = next((k for k, w in enumerate(wholes) if w is whole), len(wholes))
+        wholes.extend([whole] * (k == len(wholes)))
+        return k, columns
+
+    placed = [(j["conn_id"], j["rep"], place(j["x"]), None if j["y"] is None else place(j["y"]), j["control"], seed_chain(abs(j["control"].seed), j["control"].trees)) for j in jobs]
+    size = sum(w.nbytes for w in wholes)
     if size > MATRIX_BYTES:
         raise ValueError(f"the matrices have {size} bytes; above {MATRIX_BYTES} fit a column-subsampled ensemble")
-    held = spark.sparkContext.broadcast([(j["conn_id"], j["rep"], j["x"], j["y"], j["control"], seed_chain(abs(j["control"].seed), j["control"].trees)) for j in jobs])
+    held = spark.sparkContext.broadcast((wholes, placed))
     index = [(k, t) for k, j in enumerate(jobs) for t in range(j["control"].trees)]
     tasks = min(len(index), 4 * spark.sparkContext.defaultParallelism)
 
     def run(batches):
+        there, every = held.value
+        read = lambda p: None if p is None else there[p[0]] if p[1] is None else kernel.Picked(there[p[0]], p[1])
         for pdf in batches:
             for k, t in zip(pdf["job"], pdf["t"], strict=True):
-                conn, rep, x, y, c, seeds = held.value[k]
+                conn, rep, x, y, c, seeds = every[k]
+                x, y = read(x), read(y)
                 grown, leaf, draws = grow_one(x, y, c, int(t), seeds)
                 number = grown.preorder_leaves()
                 yield pd.DataFrame([{
@@ -214,9 +227,9 @@ def fit_subsampled(spark: SparkSession, x, y, n_sub: int = 15, share_y: float =
     size = lambda n, share, least: min(n, max(least, math.ceil(share * n)))
     for k in range(n_sub):
         xs, ys = np.sort(rng.choice(x.shape[1], size(x.shape[1], share_x, least_x), False)), np.sort(rng.choice(y.shape[1], size(y.shape[1], share_y, least_y), False))
-        jobs.append({"conn_id": 0, "rep": k, "x": x[:, xs], "y": y[:, ys], "control": replace(control, trees=trees, seed=control.seed + k).check(), "xs": xs, "ys": ys})
+        jobs.append({"conn_id": 0, "rep": k, "x": kernel.Picked(x, xs), "y": kernel.Picked(y, ys), "control": replace(control, trees=trees, seed=control.seed + k).check(), "xs": xs, "ys": ys})
     grown = grow_trees(spark, jobs)
-    return [{"forest": _forest(grown.where(F.col("rep") == k), j["x"], j["y"], j["control"], [f"x{c + 1}" for c in j["xs"]], [f"y{c + 1}" for c in j["ys"]]), "x_columns": j["xs"], "y_columns": j["ys"]} for k, j in enumerate(jobs)]
+    return [{"forest": _forest(grown.where(F.col("rep") == k), x[:, j["xs"]], y[:, j["ys"]], j["control"], [f"x{c + 1}" for c in j["xs"]], [f"y{c + 1}" for c in j["ys"]]), "x_columns": j["xs"], "y_columns": j["ys"]} for k, j in enumerate(jobs)]
 
 
 def average(parts: list[DataFrame], keys: list[str], value: str, n: int | None = None) -> DataFrame:
